@@ -240,4 +240,3 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(manifest, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-OP6_SQL = None  # DuckDB has no base32; tests compare with a plain version
