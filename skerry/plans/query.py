@@ -1,0 +1,275 @@
+"""Query trees: record queries over fields (Q), term queries (FileQ), their parser
+and printer.  Trees live on the driver; operators compile them to Columns."""
+
+from __future__ import annotations
+
+import re
+from dataclasses import dataclass, field
+from enum import Enum
+from functools import reduce
+
+
+class MatchType(str, Enum):
+    EXACT = "exact"
+    CONTAINS = "contains"
+    PARTIAL = "partial"
+    FUZZY = "fuzzy"
+    PHONETIC = "phonetic"
+    SEMANTIC = "semantic"
+    COMPOSITE = "composite"
+
+
+#: The default weights of the composite matcher.
+DEFAULT_WEIGHTS = {
+    MatchType.FUZZY: 0.35, MatchType.SEMANTIC: 0.20, MatchType.PARTIAL: 0.15,
+    MatchType.PHONETIC: 0.12, MatchType.CONTAINS: 0.10, MatchType.EXACT: 0.08,
+}
+
+
+def normalize(value: object) -> str:
+    return "" if value is None else str(value).strip().lower()
+
+
+@dataclass(frozen=True)
+class FieldConfig:
+    name: str
+    match: MatchType = MatchType.COMPOSITE
+    weight: float = 1.0
+    composite_weights: dict | None = None
+
+
+@dataclass(frozen=True)
+class Q:
+    """A leaf matches one field; AND takes the least, OR the greatest score."""
+
+    field: str | None = None
+    match: MatchType = MatchType.COMPOSITE
+    weight: float = 1.0
+    composite_weights: dict | None = None
+    op: str = "LEAF"
+    children: tuple[Q, ...] = ()
+
+    @staticmethod
+    def _join(op: str, children: tuple) -> Q:
+        if not children:
+            raise ValueError("at least one query is needed")
+        if not all(isinstance(c, Q) for c in children):
+            raise TypeError("only queries can be combined")
+        return children[0] if len(children) == 1 else Q(op=op, children=tuple(children))
+
+    @classmethod
+    def all(cls, *children: Q) -> Q:
+        return cls._join("AND", children)
+
+    @classmethod
+    def any(cls, *children: Q) -> Q:
+        return cls._join("OR", children)
+
+    def __and__(self, other: Q) -> Q:
+        return Q._join("AND", (self, other))
+
+    def __or__(self, other: Q) -> Q:
+        return Q._join("OR", (self, other))
+
+    @classmethod
+    def of(cls, field: str, match: MatchType | str, **more) -> Q:
+        return cls(field=field, match=MatchType(match), **more)
+
+
+def _constructor(match: MatchType):
+    def make(cls, field: str, **more) -> Q:
+        return cls(field=field, match=match, **more)
+
+    return classmethod(make)
+
+
+for _m in MatchType:
+    setattr(Q, _m.value, _constructor(_m))
+
+
+class FileQueryParseError(ValueError):
+    """A term query that does not follow the grammar."""
+
+
+@dataclass(frozen=True)
+class FileQ:
+    """Terms under AND and OR; a leaf's text is normalised."""
+
+    value: str | None = None
+    op: str = "LEAF"
+    children: tuple[FileQ, ...] = field(default=())
+
+    @classmethod
+    def leaf(cls, text: str) -> FileQ:
+        return cls(value=normalize(text))
+
+    @classmethod
+    def join(cls, op: str, parts: list[FileQ]) -> FileQ:
+        return parts[0] if len(parts) == 1 else cls(op=op, children=tuple(parts))
+
+    def terms(self) -> list[str]:
+        """Distinct terms that are not empty, depth first."""
+        found = [self.value] if self.op == "LEAF" else [t for c in self.children for t in c.terms()]
+        return list(dict.fromkeys(t for t in found if t))
+
+    def score(self, scores: dict[str, float]) -> float:
+        if self.op == "LEAF":
+            return scores.get(self.value, 0.0)
+        return (min if self.op == "AND" else max)(c.score(scores) for c in self.children)
+
+
+@dataclass(frozen=True)
+class _Token:
+    kind: str  # one of & | ( ) or T for a term
+    text: str
+
+
+_QUOTES = "\"'"
+
+
+def _scan(text: str):
+    """(place, character, depth, quoted) of each character, quotes followed."""
+    quote, depth, skip = "", 0, False
+    for i, c in enumerate(text):
+        if quote:
+            yield i, c, depth, True
+            if skip:
+                skip = False
+            elif c == "\\":
+                skip = True
+            elif c == quote:
+                quote = ""
+        elif c in _QUOTES:
+            quote = c
+            yield i, c, depth, True
+        else:
+            depth -= c == ")"
+            yield i, c, depth, False
+            depth += c == "("
+
+
+def has_operators(text: str) -> bool:
+    return any(c in "&|()" and not quoted for _, c, _, quoted in _scan(text))
+
+
+def split_alternatives(text: str) -> list[str]:
+    cuts = [i for i, c, depth, quoted in _scan(text) if c == "|" and not quoted and depth <= 0]
+    return [text[a:b] for a, b in zip([0, *(c + 1 for c in cuts)], [*cuts, len(text)], strict=True)]
+
+
+def tokenize(text: str) -> list[_Token]:
+    out, i = [], 0
+    while i < len(text):
+        c = text[i]
+        if c.isspace():
+            i += 1
+        elif c in "&|()":
+            out.append(_Token(c, c))
+            i += 1
+        elif c in _QUOTES:
+            word, i = [], i + 1
+            while i < len(text) and text[i] != c:
+                if text[i] == "\\" and i + 1 < len(text):
+                    i += 1
+                word.append(text[i])
+                i += 1
+            if i >= len(text):
+                raise FileQueryParseError("unterminated quote")
+            out.append(_Token("T", "".join(word)))
+            i += 1
+        else:
+            m = re.compile(r"[^\s&|()\"']+").match(text, i)
+            out.append(_Token("T", m.group()))
+            i = m.end()
+    return out
+
+
+class _Parser:
+    def __init__(self, tokens: list[_Token]) -> None:
+        self.tokens, self.at = tokens, 0
+
+    def peek(self) -> str:
+        return self.tokens[self.at].kind if self.at < len(self.tokens) else ""
+
+    def take(self) -> _Token:
+        if self.at >= len(self.tokens):
+            raise FileQueryParseError("unexpected end of query")
+        self.at += 1
+        return self.tokens[self.at - 1]
+
+    def chain(self, op: str, sign: str, part) -> FileQ:
+        left = part()
+        while self.peek() == sign:
+            self.take()
+            left = FileQ(op=op, children=(left, part()))
+        return left
+
+    def expression(self) -> FileQ:
+        return self.chain("OR", "|", lambda: self.chain("AND", "&", self.primary))
+
+    def primary(self) -> FileQ:
+        t = self.take()
+        if t.kind == "T":
+            return FileQ.leaf(t.text)
+        if t.kind != "(":
+            raise FileQueryParseError(f"unexpected {t.text!r}")
+        inner = self.expression()
+        if self.take().kind != ")":
+            raise FileQueryParseError("a parenthesis is not closed")
+        return inner
+
+
+def _segment(text: str) -> FileQ:
+    if not has_operators(text):
+        tokens = tokenize(text)
+        return FileQ.leaf(tokens[0].text if len(tokens) == 1 else text)
+    p = _Parser(tokenize(text))
+    out = p.expression()
+    if p.peek():
+        raise FileQueryParseError(f"unexpected {p.take().text!r}")
+    return out
+
+
+def parse_file_query(text: str) -> FileQ:
+    """Without an operator outside quotes the whole text is one leaf, quotes kept."""
+    text = text.strip()
+    if not has_operators(text):
+        return FileQ.leaf(text)
+    return FileQ.join("OR", [_segment(s) for s in split_alternatives(text)])
+
+
+def format_file_query(q: FileQ) -> str:
+    """The inverse of parsing: nested equal operators flattened, others in parentheses."""
+
+    def flat(node: FileQ, op: str) -> list[FileQ]:
+        return [x for c in node.children for x in flat(c, op)] if node.op == op else [node]
+
+    def show(node: FileQ, above: str) -> str:
+        if node.op == "LEAF":
+            v = node.value or ""
+            return '"' + v.replace("\\", "\\\\").replace('"', '\\"') + '"' if re.search(r"[\s&|()\"\\]", v) or not v else v
+        inside = (" & " if node.op == "AND" else " | ").join(show(c, node.op) for c in flat(node, node.op))
+        return f"({inside})" if above and above != node.op else inside
+
+    return show(q, "")
+
+
+def file_query_from_rows(rows: list[tuple[str, str]]) -> FileQ:
+    """(term, join) rows to a tree; the join links a row to those before it."""
+    if not rows:
+        raise ValueError("at least one row is needed")
+    joins = [j.upper() for _, j in rows[1:]]
+    if bad := [j for j in joins if j not in ("AND", "OR")]:
+        raise ValueError(f"unknown join {bad[0]!r}")
+    leaves = [FileQ.leaf(t) for t, _ in rows]
+    if len(set(joins)) <= 1:
+        return FileQ.join(joins[0] if joins else "AND", leaves)
+    return reduce(lambda left, step: FileQ(op=step[0], children=(left, step[1])), zip(joins, leaves[1:], strict=True), leaves[0])
+
+
+def file_query_to_dict(q: FileQ) -> dict:
+    return {"op": q.op, "value": q.value, "children": [file_query_to_dict(c) for c in q.children]}
+
+
+def file_query_from_dict(d: dict) -> FileQ:
+    return FileQ(d.get("value"), d.get("op", "LEAF"), tuple(map(file_query_from_dict, d.get("children", ()))))
