@@ -151,7 +151,7 @@ def u_multiword(spark, d):
     return out.where("score > 0").select("doc_id", "score")
 
 
-@query("""SELECT p_partkey, CAST(round_even((p_partkey % 200) / 200.0 * 100, 0) AS INT)::VARCHAR || '%' AS pct,
+@query("""SELECT p_partkey, CAST(round_even((p_partkey % 200) / 2.0, 0) AS INT)::VARCHAR || '%' AS pct,
 lpad(CAST(p_partkey // 60 AS VARCHAR), CAST(greatest(2, length(CAST(p_partkey // 60 AS VARCHAR))) AS INT), '0') || ':' || lpad(CAST(p_partkey % 60 AS VARCHAR), 2, '0') AS at FROM part""")
 def k_labels(spark, d):
     share = (F.col("p_partkey") % 200).cast("decimal(10,4)") / 200
