@@ -6,6 +6,7 @@ import json
 import os
 import statistics
 import time
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -16,6 +17,7 @@ HEADLINE = ("m_contains", "c_native", "q_nested", "s_topk", "m_semantic", "m_fuz
 
 
 def main() -> None:
+    os.environ["PYTHONPATH"] = f"{Path(__file__).resolve().parent}{os.pathsep}{os.environ.get('PYTHONPATH', '')}"
     sf_dir, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").config("spark.sql.shuffle.partitions", cpus).config("spark.ui.enabled", "false")
