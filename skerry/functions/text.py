@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 #: Letters, digits and underscore of any script, and the apostrophe.
 WORD = r"[\p{L}\p{N}_']+"
+BETWEEN = r"[^\p{L}\p{N}_']+"
 _ENDS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
 
@@ -22,8 +23,9 @@ def collapse(value: Column) -> Column:
 
 
 def tokens(value: Column) -> Column:
-    """Words of at least three characters with a letter."""
-    return F.filter(F.regexp_extract_all(value, F.lit(WORD), F.lit(0)), lambda t: (F.length(t) >= 3) & t.rlike(r"\p{L}"))
+    """Words of at least three characters with a letter.  Split at what lies between
+    them: to extract matches copies the whole text for each."""
+    return F.filter(F.split(value, BETWEEN, -1), lambda t: (F.length(t) >= 3) & t.rlike(r"\p{L}"))
 
 
 def query_words(text: str) -> list[str]:

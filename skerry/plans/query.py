@@ -273,3 +273,9 @@ def file_query_to_dict(q: FileQ) -> dict:
 
 def file_query_from_dict(d: dict) -> FileQ:
     return FileQ(d.get("value"), d.get("op", "LEAF"), tuple(map(file_query_from_dict, d.get("children", ()))))
+
+
+def query_terms(q: FileQ) -> list[str]:
+    """What to mark in a preview: whole terms first, then their words."""
+    terms = q.terms()
+    return list(dict.fromkeys([*terms, *(w for t in terms for w in re.findall(r"[\w']+", t) if len(w) >= 3)]))

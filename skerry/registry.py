@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from .functions import kernels
 from .functions.text import clock, collapse, normalize, percent, tokens
-from .operators import matchers, records, units
-from .plans.query import FieldConfig, MatchType, Q, parse_file_query
+from .operators import matchers, output, records, units
+from .plans.query import FieldConfig, MatchType, Q, parse_file_query, query_terms
+from .sources.files import list_files
 
 NATIVE = {"exact": 0.2, "contains": 0.5, "partial": 0.3}
 QUERIES: dict = {}
@@ -197,3 +198,28 @@ def m_phonetic(spark, d):
 @query()
 def magic_search(spark, d):
     return records.magic_search(_t(spark, d, "part"), "large", fields=["p_name", "p_type"]).select("p_partkey", F.round("score", 6).alias("score"))
+
+
+_PREVIEW_SQL = """SELECT doc_id, CASE WHEN hit = 0 THEN CASE WHEN length(f) <= 100 THEN f ELSE f[1:97] || '...' END
+ WHEN length(f) + 2 <= 100 THEN f[1:hit - 1] || '«' || f[hit:hit + 2] || '»' || f[hit + 3:]
+ ELSE CASE WHEN hit - 47 > 1 THEN '...' ELSE '' END || f[greatest(1, hit - 47):hit - 1] || '«' || f[hit:hit + 2] || '»' || f[hit + 3:hit + 2 + 48] || CASE WHEN hit + 2 + 48 < length(f) THEN '...' ELSE '' END END AS preview
+FROM (SELECT doc_id, f, instr(lower(f), 'the') AS hit FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS f FROM documents))"""
+
+
+@query(_PREVIEW_SQL)
+def k_preview(spark, d):
+    return _t(spark, d, "documents").select("doc_id", output.preview(F.col("text"), query_terms(parse_file_query("the"))).alias("preview"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_nationkey % 3 = 0 THEN 'transcript at 00:' || lpad(CAST(c_nationkey AS VARCHAR), 2, '0')
+WHEN c_nationkey % 3 = 1 THEN 'line ' || CAST(c_nationkey AS VARCHAR) ELSE 'tag' END AS label FROM customer""")
+def k_location(spark, d):
+    n = F.col("c_nationkey")
+    kind = F.when(n % 3 == 0, "transcript").when(n % 3 == 1, "line").otherwise("tag")
+    return _t(spark, d, "customer").select("c_custkey", output.location_label(kind, n).alias("label"))
+
+
+@query()
+def s_walk(spark, d):
+    """The test tables' own folder, as the file source lists it."""
+    return list_files(spark, d).select("rel_path", "suffix", "size_bytes")
