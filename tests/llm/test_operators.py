@@ -325,3 +325,9 @@ def test_toxicity_restores_and_scores(spark):
     assert np.mean([(s[i] >= 0.7) == (i % 4 == 0) for i in range(160)]) > 0.97
     assert s[160] >= 0.7 and s[161] >= 0.7 and s[162] < 0.7 and s[163] < 0.7
     assert toxicity.scored(docs, toxicity.fit(docs, labels.limit(0))).where("toxicity > 0.1").count() == 0
+
+
+def test_pii_fit_on_few_documents_leaves_base_spans(spark):
+    docs = spark.createDataFrame([(i, f"write to a{i}@b.org or call +49 30 123456{i % 10}0") for i in range(60)], "doc_id long, text string")
+    few = {r["doc_id"]: r["pii_base"] for r in pii.tagged(docs, pii.fit(docs, documents=10)).collect()}
+    assert few == {r["doc_id"]: r["pii_base"] for r in pii.tagged(docs, None).collect()} and all(len(v) == 2 for v in few.values())
