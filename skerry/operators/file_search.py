@@ -38,20 +38,24 @@ def name_scores(files: DataFrame, q: FileQ, weights: dict | None) -> DataFrame:
 def content_scores(found: DataFrame, q: FileQ, weights: dict | None, threshold: float, max_matches: int) -> DataFrame:
     """A row per file: content_0 ... (each term's best unit), ``kept`` lines, best
     first, and ``rescued``: best units of single terms that reach the threshold
-    where their whole score does not.  Best units combine map-side; kept lines are
+    where their whole score does not; ``near``: the best OCR or transcript unit close
+    under its threshold.  Best units combine map-side; kept lines are
     cut to ``max_matches`` before they are gathered."""
-    scored = units.score_units(found, q, weights)
+    scored = units.score_units(found, q, weights, threshold)
     limit = F.when(F.col("location_kind") == "transcript", units.TRANSCRIPT_THRESHOLD).otherwise(threshold)
     aggregates, terms = [], q.terms()
     for i, t in enumerate(terms):
         own = F.col(f"term_{i}")
-        line = F.struct(_line(F.col("line_number"), F.col("text"), own, F.col("location_kind"), F.lit(t)).alias("line"), ((F.col("score") < limit) & (own > 0) & (own >= limit)).alias("ok"))
+        line = F.struct(_line(F.col("line_number"), F.col("text"), own, F.col("location_kind"), F.lit(t)).alias("line"), ((F.col("score") < limit) & (own > 0) & (own >= threshold)).alias("ok"))
         aggregates += [F.max(own).alias(f"content_{i}"), F.min_by(line, F.struct(-own, F.col("unit_ord"))).alias(f"_best_{i}")]
+    close = F.col("location_kind").isin(*units.PREVIEW_KINDS) & (F.col("score") < limit) & (F.col("score") >= units.PREVIEW_THRESHOLD)
+    whole = _line(F.col("line_number"), F.col("text"), F.col("score"), F.col("location_kind"), F.lit(None))
+    aggregates.append(F.min_by(F.when(close, whole), F.when(close, F.struct(-F.col("score"), F.col("unit_ord")))).alias("near"))
     best = scored.groupBy("file_id").agg(*aggregates)
     rescued = F.array_compact(F.array(*(F.when(F.col(f"_best_{i}")["ok"], F.col(f"_best_{i}")["line"]) for i in range(len(terms))))) if len(terms) > 1 else F.array().cast(f"array<{LINE}>")
     best = best.withColumn("rescued", rescued).drop(*(f"_best_{i}" for i in range(len(terms))))
     kept = units.kept_lines(scored, threshold, max_matches).groupBy("file_id").agg(
-        F.array_sort(F.collect_list(F.struct("rank", _line(F.col("line_number"), F.col("text"), F.col("score"), F.col("location_kind"), F.lit(None)).alias("line")))).alias("kept")
+        F.array_sort(F.collect_list(F.struct("rank", whole.alias("line")))).alias("kept")
     )
     return best.join(kept.select("file_id", F.transform("kept", lambda k: k["line"]).alias("kept")), "file_id", "left")
 
@@ -89,6 +93,8 @@ def search_files(
         rows = rows.withColumn("lines", merge_lines(F.col("kept"), F.col("rescued"), max_matches)).withColumn("content", F.coalesce(F.try_element_at("lines", F.lit(1))["score"], F.lit(0.0)))
     else:
         rows = rows.withColumns({"lines": none, "content": F.lit(0.0)})
+    top = F.try_element_at("lines", F.lit(1))["location_kind"]
+    lines = F.when((F.size("lines") == 0) & F.col("near").isNotNull(), F.array("near")).otherwise(F.col("lines")) if contents else F.col("lines")
     read = F.lit(contents) & ~F.col("names_only")
 
     def surfaces(i: int) -> dict[str, Column]:
@@ -101,8 +107,7 @@ def search_files(
     name = units.combine(q, {t: F.col(f"name_{i}") for i, t in enumerate(terms)}) if names else None
     shown = ({"name": name} if names else {}) | ({"content": F.when(read, F.col("content"))} if contents else {})
     total = F.greatest(F.lit(0.0), *shown.values()) if q.op == "LEAF" else units.combine(q, bests)
-    top = F.try_element_at("lines", F.lit(1))["location_kind"]
-    rows = rows.select("path", total.alias("score"), as_map(shown).alias("breakdown"), "lines", F.create_map(*(x for i, t in enumerate(terms) for x in (F.lit(t), as_map(surfaces(i))))).alias("term_surfaces"), top.alias("_top"))
+    rows = rows.select("path", total.alias("score"), as_map(shown).alias("breakdown"), lines.alias("lines"), F.create_map(*(x for i, t in enumerate(terms) for x in (F.lit(t), as_map(surfaces(i))))).alias("term_surfaces"), top.alias("_top"))
     cutoff = F.when((F.col("_top") == "transcript") & (F.col("breakdown")["content"] >= F.col("score")), units.TRANSCRIPT_THRESHOLD).otherwise(threshold)
     rows = rows.where((F.size("breakdown") > 0) & (F.col("score") > 0) & (F.col("score") >= cutoff)).drop("_top").orderBy(F.col("score").desc(), "path")
     return FileSearch(rows.limit(limit) if limit else rows, skipped)

@@ -13,8 +13,10 @@ from ..functions.text import normalize, query_words, tag_value, tokens
 from ..plans.query import FileQ, MatchType
 from . import matchers
 
-THRESHOLD, TRANSCRIPT_THRESHOLD = 0.35, 0.25
+# Fixed values.
+THRESHOLD, TRANSCRIPT_THRESHOLD, PREVIEW_THRESHOLD = 0.35, 0.25, 0.18
 TOKEN_KINDS = ("ocr", "tag", "transcript")
+PREVIEW_KINDS = ("ocr", "transcript")
 
 
 def lines(df: DataFrame, file_id: str, text: str, kind: str = "line") -> DataFrame:
@@ -24,22 +26,26 @@ def lines(df: DataFrame, file_id: str, text: str, kind: str = "line") -> DataFra
     return rows.select("file_id", "unit_ord", (F.col("unit_ord") + 1).alias("line_number"), "text", F.lit(kind).alias("location_kind"))
 
 
-def term_score(term: str, text: Column, kind: Column, weights: dict | None) -> Column:
+def term_score(term: str, text: Column, kind: Column, weights: dict | None, rescue_below: float | None = None) -> Column:
     """Score of one unit for one term.  Several query words: each needs a token, the
     weakest counts.  One word: the best token for tags, OCR and transcripts, else
-    the whole line.  Weights of native matchers alone stay in the JVM."""
-    native = {k: w for k, w in matchers.active_weights(weights).items() if k in matchers.NATIVE}
-    words = query_words(term)
+    the whole line; with an encoder, a line near in meaning whose score is under
+    ``rescue_below`` gets its cosine.  Weights of native matchers alone stay in the JVM."""
+    words = list(dict.fromkeys(query_words(term)))
     body = normalize(F.when(kind == "tag", tag_value(text)).otherwise(text))
-
-    def best(word: str) -> Column:
-        hits = F.transform(tokens(body), lambda t: matchers.score(MatchType.COMPOSITE, word, t, native))
-        return F.coalesce(F.array_max(hits), F.lit(0.0))
-
-    if len(words) >= 2:
-        return F.least(*(best(w) for w in words)) if len(set(words)) > 1 else best(words[0])
-    whole = matchers.score(MatchType.COMPOSITE, term, body, weights)
-    return F.when(kind.isin(*TOKEN_KINDS), best(term)).otherwise(whole)
+    if len(query_words(term)) >= 2:
+        best = [matchers.best_token(w, tokens(body), weights, among_words=True) for w in words]
+        return F.least(*best) if len(best) > 1 else best[0]
+    token_kind = kind.isin(*TOKEN_KINDS)
+    # Python functions run on all rows, whatever branch they are in: each gets its own
+    whole_body = F.when(~token_kind, body).otherwise("") if matchers.has_python(weights) else body
+    own_tokens = F.when(token_kind, tokens(body)) if matchers.has_python(weights) else tokens(body)
+    found = matchers.parts(MatchType.COMPOSITE, term, whole_body, weights)
+    whole = matchers.combined(found, weights)
+    if rescue_below is not None and MatchType.SEMANTIC in found:
+        near = found[MatchType.SEMANTIC]
+        whole = F.when((near >= matchers.TOKEN_COSINE) & (whole < rescue_below), F.greatest(whole, near)).otherwise(whole)
+    return F.when(token_kind, matchers.best_token(term, own_tokens, weights, among_words=False)).otherwise(whole)
 
 
 def combine(q: FileQ, columns: dict[str, Column]) -> Column:
@@ -48,11 +54,11 @@ def combine(q: FileQ, columns: dict[str, Column]) -> Column:
     return (F.least if q.op == "AND" else F.greatest)(*(combine(c, columns) for c in q.children))
 
 
-def score_units(units: DataFrame, q: FileQ, weights: dict | None = None) -> DataFrame:
+def score_units(units: DataFrame, q: FileQ, weights: dict | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """``units`` with term_0 ... and ``score``; blank units are dropped."""
     scored = units.where(normalize(F.col("text")) != "")
     names = {t: f"term_{i}" for i, t in enumerate(q.terms())}
-    scored = scored.withColumns({n: term_score(t, F.col("text"), F.col("location_kind"), weights) for t, n in names.items()})
+    scored = scored.withColumns({n: term_score(t, F.col("text"), F.col("location_kind"), weights, threshold) for t, n in names.items()})
     return scored.withColumn("score", combine(q, {t: F.col(n) for t, n in names.items()}))
 
 
