@@ -1,21 +1,26 @@
 """Text units of files: a reader for each kind of content, chosen by suffix.
 
 ``READERS`` maps a suffix to a function from bytes to (number, text, kind); more can
-be given to ``units`` (PDF, OCR, transcripts) where a library for them is installed."""
+be given to ``units`` (OCR, transcripts) where a library for them is installed."""
 
 from __future__ import annotations
 
 import io
+import os
+import plistlib
 import re
+import struct
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
+from xml.parsers.expat import ExpatError
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import archives
+from . import archives, media, pdf
 
 SNIFFED = 8192
 UNITS = "file_id long, unit_ord int, line_number int, text string, location_kind string"
@@ -114,8 +119,33 @@ def _office(body: Callable[[zipfile.ZipFile], Iterator[Unit]]) -> Callable[[byte
     return read
 
 
-READERS: dict[str, Callable[[bytes], Iterator[Unit]]] = {".docx": _office(docx), ".xlsx": _office(xlsx), ".pptx": _office(pptx)}
-_BROKEN = (zipfile.BadZipFile, ElementTree.ParseError, KeyError, IndexError, ValueError, StopIteration, RuntimeError)
+# Extended attributes that hold tags and comments.
+TAG_ATTRIBUTES = ("user.xdg.tags", "user.dolphin.tags", "com.apple.metadata:_kMDItemUserTags")
+COMMENT_ATTRIBUTES = ("user.xdg.comment", "com.apple.metadata:kMDItemFinderComment", "com.apple.metadata:kMDItemComment")
+
+
+def _attribute(path: str, name: str) -> list[str]:
+    """Texts of an attribute: a property list's strings without their colours, or one
+    text; none where it is missing or cannot be had."""
+    try:
+        raw = os.getxattr(path, name)
+        value = plistlib.loads(raw) if raw.startswith((b"bplist", b"<?xml")) else raw.decode("utf-8", "ignore")
+    except (OSError, AttributeError, plistlib.InvalidFileException, ExpatError):
+        return []
+    texts = value if isinstance(value, list) else [value]
+    return [str(t).split("\n")[0].strip("\0 ") for t in texts]
+
+
+def attributes(path: str) -> Iterator[Unit]:
+    """Tags of a file, each once, and its comments, from extended attributes."""
+    tags = [t.strip() for name in TAG_ATTRIBUTES for text in _attribute(path, name) for t in text.split(",")]
+    comments = [t for name in COMMENT_ATTRIBUTES for t in _attribute(path, name)]
+    shown = [f"[{label}] {t}" for label, texts in (("Tags", tags), ("Comment", comments)) for t in dict.fromkeys(texts) if t]
+    yield from ((i, t, "tag") for i, t in enumerate(shown, 1))
+
+
+READERS: dict[str, Callable[[bytes], Iterator[Unit]]] = {".docx": _office(docx), ".xlsx": _office(xlsx), ".pptx": _office(pptx), ".pdf": pdf.pages, **media.READERS}
+_BROKEN = (zipfile.BadZipFile, ElementTree.ParseError, KeyError, IndexError, ValueError, TypeError, StopIteration, RuntimeError, struct.error, zlib.error)
 
 
 def _read(path: str, archive: str | None, member: str | None) -> bytes:
@@ -130,7 +160,7 @@ def _read(path: str, archive: str | None, member: str | None) -> bytes:
 
 def units(files: DataFrame, readers: dict[str, Callable[[bytes], Iterator[Unit]]] | None = None) -> DataFrame:
     """Units of files whose content may be read.  What cannot be parsed gives those
-    units that come before the fault."""
+    units that come before the fault.  Extended attributes follow the content."""
     chosen = {**READERS, **(readers or {})}
 
     def produce(row: dict) -> Iterator[Unit]:
@@ -139,7 +169,9 @@ def units(files: DataFrame, readers: dict[str, Callable[[bytes], Iterator[Unit]]
         try:
             yield from reader(data)
         except _BROKEN:
-            return
+            pass
+        if row["archive"] is None:
+            yield from attributes(row["path"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []

@@ -1,0 +1,193 @@
+"""Text of PDF pages: objects, object streams, the page tree, and the strings that
+content streams show, mapped to Unicode where a font says how.  Encrypted files and
+filters other than Flate give no text."""
+
+from __future__ import annotations
+
+import re
+import zlib
+from collections.abc import Iterator
+
+Unit = tuple[int, str, str]
+_TOKEN = re.compile(
+    rb"\s+|%[^\r\n]*|(?P<name>/[^\s()<>\[\]{}/%]*)|(?P<open><<)|(?P<close>>>)|(?P<hex><[0-9A-Fa-f\s]*>)|(?P<text>\()|(?P<list>\[)|(?P<end>\])"
+    rb"|(?P<ref>\d+\s+\d+\s+R(?![A-Za-z]))|(?P<num>[+-]?(?:\d+\.?\d*|\.\d+))|(?P<word>[^\s()<>\[\]{}/%]+)|."
+)
+_ESCAPES = {ord(a): b for a, b in zip("nrtbf", b"\n\r\t\b\f", strict=True)}
+#: A gap in a TJ array, in thousandths of an em, that stands for a space.
+WORD_GAP = 180
+
+
+class Ref(int):
+    """The number of an object."""
+
+
+class Op(bytes):
+    """An operator or keyword."""
+
+
+def _literal(data: bytes, at: int) -> tuple[bytes, int]:
+    out, depth = bytearray(), 1
+    while at < len(data):
+        c = data[at]
+        at += 1
+        if c == 0x5C and at < len(data):
+            if m := re.compile(rb"[0-7]{1,3}").match(data, at):
+                out.append(int(m.group(), 8) & 255)
+                at = m.end()
+            elif data[at] in b"\r\n":
+                at += 2 if data[at:at + 2] == b"\r\n" else 1
+            else:
+                out.append(_ESCAPES.get(data[at], data[at]))
+                at += 1
+            continue
+        depth += (c == 0x28) - (c == 0x29)
+        if not depth:
+            break
+        out.append(c)
+    return bytes(out), at
+
+
+def tokens(data: bytes, at: int = 0) -> Iterator[tuple[object, int]]:
+    """Values and operators with the place behind each; dictionaries and lists whole."""
+    stack: list[tuple[str, list]] = []
+    while at < len(data):
+        m = _TOKEN.match(data, at)
+        if not m:
+            return
+        kind, raw, at = m.lastgroup, m.group(), m.end()
+        if kind is None:
+            continue
+        if kind in ("open", "list"):
+            stack.append((kind, []))
+            continue
+        if kind in ("close", "end"):
+            if not stack:
+                continue
+            opened, items = stack.pop()
+            value = {k: v for k, v in zip(items[::2], items[1::2], strict=False) if isinstance(k, str)} if opened == "open" else items
+        elif kind == "text":
+            value, at = _literal(data, at)
+        elif kind == "hex":
+            digits = re.sub(rb"\s", b"", raw[1:-1])
+            value = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+        else:
+            value = raw[1:].decode("latin-1") if kind == "name" else Ref(raw.split()[0]) if kind == "ref" else float(raw) if kind == "num" else Op(raw)
+        if stack:
+            stack[-1][1].append(value)
+        else:
+            yield value, at
+
+
+class Document:
+    def __init__(self, data: bytes) -> None:
+        self.objects: dict[int, object] = {}
+        self.streams: dict[int, bytes] = {}
+        for m in re.finditer(rb"(?<!\d)(\d+)\s+\d+\s+obj\b", data):
+            n = int(m[1])
+            value, at = next(tokens(data, m.end()), (None, m.end()))
+            self.objects[n] = value
+            self.streams.pop(n, None)
+            if isinstance(value, dict) and (s := re.compile(rb"\s*stream(\r\n|\n|\r)").match(data, at)):
+                size = value.get("Length")
+                stop = s.end() + int(size) if isinstance(size, float) else -1
+                if not re.compile(rb"\s*endstream").match(data, stop) if stop >= 0 else True:
+                    stop = data.find(b"endstream", s.end())
+                self.streams[n] = data[s.end():stop if stop >= 0 else len(data)]
+        self.encrypted = b"/Encrypt" in data
+        for n in [k for k, v in self.objects.items() if isinstance(v, dict) and v.get("Type") == "ObjStm"]:
+            body, head = self.content(Ref(n)), self.objects[n]
+            numbers = [int(x) for x in body[:int(head["First"])].split()]
+            for k, offset in zip(numbers[::2], numbers[1::2], strict=False):
+                self.objects.setdefault(k, next(tokens(body, int(head["First"]) + offset), (None, 0))[0])
+
+    def get(self, value: object) -> object:
+        for _ in range(16):
+            if not isinstance(value, Ref):
+                break
+            value = self.objects.get(int(value))
+        return value
+
+    def content(self, ref: object) -> bytes:
+        if not isinstance(ref, Ref) or int(ref) not in self.streams:
+            return b""
+        names = self.get(self.objects[int(ref)].get("Filter", []))
+        raw = self.streams[int(ref)]
+        for name in names if isinstance(names, list) else [names]:
+            if name != "FlateDecode":
+                return b""
+            raw = zlib.decompressobj().decompress(raw)
+        return raw
+
+    def pages(self) -> Iterator[dict]:
+        root = next((v for v in self.objects.values() if isinstance(v, dict) and v.get("Type") == "Catalog"), {})
+        todo, seen = [(root.get("Pages"), {})], set()
+        while todo:
+            ref, above = todo.pop()
+            node = self.get(ref)
+            if not isinstance(node, dict) or (isinstance(ref, Ref) and int(ref) in seen):
+                continue
+            seen.add(int(ref) if isinstance(ref, Ref) else -1)
+            here = {**above, **({"Resources": node["Resources"]} if "Resources" in node else {})}
+            if "Kids" in node:
+                todo += [(k, here) for k in reversed(self.get(node["Kids"]) or [])]
+            else:
+                yield {**here, **node}
+
+    def unicode_map(self, font: object) -> tuple[int, dict[int, str]]:
+        """(bytes of a code, text by code) of a font."""
+        font = self.get(font)
+        font = font if isinstance(font, dict) else {}
+        width, table, args = 2 if font.get("Subtype") == "Type0" else 1, {}, []
+        text = lambda b: b.decode("utf-16-be", "ignore")
+        for value, _ in tokens(self.content(font.get("ToUnicode"))):
+            if not isinstance(value, Op):
+                args.append(value)
+                continue
+            if value == b"endbfchar":
+                table |= {int.from_bytes(a, "big"): text(b) for a, b in zip(args[::2], args[1::2], strict=False)}
+            elif value == b"endbfrange":
+                for a, b, c in zip(args[::3], args[1::3], args[2::3], strict=False):
+                    for i, code in enumerate(range(int.from_bytes(a, "big"), int.from_bytes(b, "big") + 1)):
+                        table[code] = text(c[i]) if isinstance(c, list) and i < len(c) else text(c)[:-1] + chr(ord(text(c)[-1]) + i) if isinstance(c, bytes) and c else ""
+            args = []
+        return width, table
+
+    def text(self, page: dict) -> str:
+        fonts = self.get((self.get(page.get("Resources")) or {}).get("Font")) or {}
+        maps = {k: self.unicode_map(v) for k, v in fonts.items()}
+        body = self.get(page.get("Contents"))
+        refs = body if isinstance(body, list) else [page.get("Contents")]
+        out, args, (width, table) = [], [], (1, {})
+
+        def show(raw: bytes) -> str:
+            if width == 1 and not table:
+                return raw.decode("cp1252", "replace")
+            return "".join(table.get(int.from_bytes(raw[i:i + width], "big"), chr(raw[i]) if width == 1 else "") for i in range(0, len(raw), width))
+
+        for value, _ in tokens(b"\n".join(map(self.content, refs))):
+            if not isinstance(value, Op):
+                args.append(value)
+                continue
+            if value == b"Tf" and len(args) >= 2:
+                width, table = maps.get(args[-2], (1, {}))
+            elif value in (b"T*", b"'", b'"', b"BT") or (value in (b"Td", b"TD") and args and args[-1]):
+                out.append("\n")
+            elif value in (b"Td", b"TD", b"Tm"):
+                out.append(" ")
+            if value in (b"Tj", b"'", b'"') and args and isinstance(args[-1], bytes):
+                out.append(show(args[-1]))
+            elif value == b"TJ" and args and isinstance(args[-1], list):
+                out += [show(x) if isinstance(x, bytes) else " " for x in args[-1] if isinstance(x, bytes) or (isinstance(x, float) and -x > WORD_GAP)]
+            args = []
+        lines = (" ".join(line.split()) for line in "".join(out).split("\n"))
+        return "\n".join(line for line in lines if line)
+
+
+def pages(data: bytes) -> Iterator[Unit]:
+    """Text of the pages that have any, numbered over all pages."""
+    document = Document(data)
+    if not document.encrypted:
+        for i, page in enumerate(document.pages(), 1):
+            if text := document.text(page):
+                yield i, text, "page"
