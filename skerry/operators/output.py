@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.previews import snippets
 from ..functions.text import clock, collapse, percent
 from ..plans.query import FileQ, query_terms
 from .units import number_ranges
@@ -39,14 +40,16 @@ def preview(text: Column, terms: list[str], length: int = PREVIEW) -> Column:
     return F.when(at > 0, marked).otherwise(beginning)
 
 
-def json_rows(results: DataFrame, q: FileQ) -> DataFrame:
-    """(path, score, json): one object for each file."""
-    terms = query_terms(q)
-    lines = F.transform("lines", lambda x: F.struct(
-        x["line_number"].alias("line_number"), x["location_kind"].alias("location_kind"), location_label(x["location_kind"], x["line_number"]).alias("location_label"),
-        preview(x["text"], terms).alias("preview"), x["text"].alias("text"), x["score"].alias("score"),
+def json_rows(results: DataFrame, q: FileQ, marks: str = "guillemets") -> DataFrame:
+    """(path, score, json): one object for each file.  Previews mark places that are
+    only like a term, too; they are made of the few lines kept."""
+    shown = results.withColumn("_previews", snippets(F.transform("lines", lambda x: x["text"]), query_terms(q), PREVIEW, marks))
+    lines = F.transform(F.arrays_zip("lines", "_previews"), lambda z: F.struct(
+        z["lines"]["line_number"].alias("line_number"), z["lines"]["location_kind"].alias("location_kind"),
+        location_label(z["lines"]["location_kind"], z["lines"]["line_number"]).alias("location_label"),
+        z["_previews"].alias("preview"), z["lines"]["text"].alias("text"), z["lines"]["score"].alias("score"),
     ))
-    return results.select("path", "score", F.to_json(F.struct("path", "score", "breakdown", "term_surfaces", lines.alias("lines"))).alias("json"))
+    return shown.select("path", "score", F.to_json(F.struct("path", "score", "breakdown", "term_surfaces", lines.alias("lines"))).alias("json"))
 
 
 def flat_lines(results: DataFrame) -> DataFrame:
@@ -69,3 +72,9 @@ def grouped_lines(results: DataFrame, q: FileQ) -> DataFrame:
     same are one, their numbers as ranges."""
     rows = results.select("path", F.inline("lines")).withColumn("preview", preview(F.col("text"), query_terms(q)))
     return number_ranges(rows, ["path", "score", "location_kind", "preview"], "line_number")
+
+
+def skip_warning(path: str, size: int, reason: str, limit: int) -> str:
+    """Why content was not read, and the limit in MiB that would do."""
+    what = {"ocr_too_large": "OCR", "transcribe_too_large": "transcription"}.get(reason, "content search")
+    return f"warning: skipped {what} in {path} ({size:,} bytes > {limit:,})\n  hint: rerun with a limit of {-(-size // (1 << 20))} MiB"
