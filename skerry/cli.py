@@ -22,15 +22,21 @@ def _share(text: str) -> float:
     return value
 
 
+def _positive(text: str) -> int:
+    if (value := int(text)) < 1:
+        raise argparse.ArgumentTypeError("a number above 0 is needed")
+    return value
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="skerry")
     p.add_argument("query")
     p.add_argument("folder")
     p.add_argument("--threshold", type=_share, default=0.35, help="percent")
-    p.add_argument("--limit", type=int)
-    p.add_argument("--max-matches", type=int, default=50)
+    p.add_argument("--limit", type=_positive)
+    p.add_argument("--max-matches", type=_positive, default=50)
     p.add_argument("--max-mib", type=int, default=100, help="0: no limit")
-    p.add_argument("--format", choices=("flat", "json"), default="flat")
+    p.add_argument("--format", choices=("flat", "json", "text"), default="flat")
     p.add_argument("-o", "--output", help="file to write to as well")
     only = p.add_mutually_exclusive_group()
     only.add_argument("--names-only", action="store_true")
@@ -56,7 +62,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     except FileNotFoundError as e:
         print(f"not found: {e}", file=sys.stderr)
         return 2
-    rows = output.json_rows(found.results, q).select("json") if a.format == "json" else output.flat_lines(found.results).select("flat")
+    shown = {"json": lambda: output.json_rows(found.results, q).select("json"), "text": lambda: output.text_blocks(found.results, q).select("block"), "flat": lambda: output.flat_lines(found.results).select("flat")}
+    rows = shown[a.format]()
     n, sink = 0, open(a.output, "w", encoding="utf-8") if a.output else None
     try:
         for n, row in enumerate(rows.toLocalIterator(), 1):
@@ -67,7 +74,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if sink:
             sink.close()
     for s in found.skipped.toLocalIterator():
-        print(f"skipped ({s['reason']}): {s['path']}", file=sys.stderr)
+        print(output.skip_warning(s["path"], s["size_bytes"], s["reason"], a.max_mib << 20), file=sys.stderr)
     return 0 if n else 1
 
 

@@ -74,6 +74,16 @@ def grouped_lines(results: DataFrame, q: FileQ) -> DataFrame:
     return number_ranges(rows, ["path", "score", "location_kind", "preview"], "line_number")
 
 
+def text_blocks(results: DataFrame, q: FileQ) -> DataFrame:
+    """(path, score, block): a file's path, percentage and kinds of match, then its
+    lines, best first, those that look the same as one.  Best files first."""
+    lines = grouped_lines(results, q).groupBy("path").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "location_kind", "ranges", "preview"))).alias("g"))
+    shown = F.transform("g", lambda x: F.concat(F.lit("  "), x["location_kind"], F.lit(" "), x["ranges"], F.lit(" ("), percent(-x["s"]), F.lit("): "), x["preview"]))
+    rows = results.select("path", "score").join(match_labels(results), "path").join(lines, "path", "left")
+    head = F.concat("path", F.lit(" "), percent(F.col("score")), F.lit(" ["), "labels", F.lit("]"))
+    return rows.select("path", "score", F.concat_ws("\n", head, shown).alias("block")).orderBy(F.col("score").desc(), "path")
+
+
 def skip_warning(path: str, size: int, reason: str, limit: int) -> str:
     """Why content was not read, and the limit in MiB that would do."""
     what = {"ocr_too_large": "OCR", "transcribe_too_large": "transcription"}.get(reason, "content search")

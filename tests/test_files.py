@@ -121,5 +121,9 @@ def test_outputs(spark, tree):
 def test_command_line(spark, tree, capsys):
     assert cli.main(["revenue", str(tree), "--content-only", "-o", str(tree / "out.log")], spark) == 0
     assert "quarterly revenue projections" in capsys.readouterr().out
+    assert cli.main(["revenue", str(tree), "--content-only", "--format", "text", "--no-archives"], spark) == 0
+    assert "notes.txt" in (out := capsys.readouterr().out) and "  line 2 (" in out
+    with pytest.raises(SystemExit):
+        cli.main(["a", str(tree), "--limit", "0"], spark)
     assert cli.main(["zzzzqqqq", str(tree), "--threshold", "99"], spark) == 1
     assert cli.main(["a&", str(tree)], spark) == 2 and cli.main(["a", str(tree / "none")], spark) == 2
