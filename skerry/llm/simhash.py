@@ -23,7 +23,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_map, materialize, read_table, slices
@@ -37,6 +37,14 @@ BUCKET = 2000
 #: Node pairs followed at once; bounds a task's memory.
 FRONTIER = 400_000
 
+#: Near copies of ``deduplicated``: runs of five words with a Jaccard similarity of
+#: 0.8 or more.  A pair at 0.8 shares none of the bands with probability 0.0005.
+NEAR_SHINGLE = 5
+BANDS, BAND_ROWS = 25, 6
+_RANDOM = np.random.default_rng(SEED)
+_TURNS = _RANDOM.integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX = _RANDOM.integers(0, 1 << 63, (BANDS, BAND_ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+
 
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     """The fingerprint of one text, by the definition; tests compare with it."""
@@ -221,9 +229,122 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def near_sets(texts: list[bytes | None]) -> Iterator[np.ndarray]:
+    """The distinct hashes of each text's runs of NEAR_SHINGLE words, sorted."""
+    for data in texts:
+        yield np.unique(np.array(shingle_hashes(data or b"", NEAR_SHINGLE), np.uint64))
+
+
+def band_keys(found: np.ndarray) -> np.ndarray:
+    """A key for each band of the MinHash signature of a set that is not empty."""
+    least = [(found[i : i + 10_000, None] * _TURNS).min(axis=0) for i in range(0, len(found), 10_000)]
+    return (np.min(least, axis=0).reshape(BANDS, BAND_ROWS) * _MIX).sum(axis=1, dtype=np.uint64)
+
+
+def _near_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches, "text", 2_000_000):
+        nodes, bands = [], []
+        for found in near_sets(b.column("text").cast(pa.binary()).to_pylist()):
+            nodes.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
+            bands.append(band_keys(found).view(np.int64) if len(found) else [])
+        node = pa.array(np.array(nodes, np.uint64).view(np.int64))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("digest"), node, pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "digest", "node", "bands"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches, "text", 2_000_000):
+        found = [x.view(np.int64) for x in near_sets(b.column("text").cast(pa.binary()).to_pylist())]
+        yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(found, pa.list_(pa.int64()))], ["node", "found"])
+
+
+def similar(both: int, a: int, b: int) -> bool:
+    """Whether sets of ``a`` and ``b`` members, ``both`` of them shared, have a Jaccard similarity of 0.8 or more."""
+    return 5 * both >= 4 * (a + b - both)
+
+
+def bucket_links(sets: list[np.ndarray], label: np.ndarray) -> list[tuple[int, int]]:
+    """Links between similar sets whose labels differ, enough of them to connect
+    all that similar pairs connect; pairs that are connected are not compared."""
+    n, label, out = len(sets), label.copy(), []
+    sizes = np.array([len(x) for x in sets])
+    values = np.concatenate(sets)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], np.repeat(np.arange(n), sizes)[order]
+    for i in range(n):
+        if (label == label[i]).all():
+            continue
+        lo, hi = np.searchsorted(values, sets[i]), np.searchsorted(values, sets[i], "right")
+        count = np.zeros(n, np.int64)
+        for a, b in zip(lo.tolist(), hi.tolist(), strict=True):
+            count[owner[a:b]] += 1
+        for j in np.flatnonzero((label != label[i]) & (5 * count >= 4 * (sizes + sizes[i] - count))).tolist():
+            if label[j] != label[i]:
+                out.append((i, j))
+                label[label == label[j]] = label[i]
+    return out
+
+
+def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    got = list(batches)
+    if not got:
+        return
+    t = pa.Table.from_batches(got).sort_by("key")
+    key, node, root = (t.column(c).to_numpy() for c in ("key", "node", "root"))
+    cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+    a, b = [], []
+    for lo, hi in zip(cut, cut[1:], strict=False):
+        sets = [np.array(x, np.int64) for x in t.column("found").slice(lo, hi - lo).to_pylist()]
+        for i, j in bucket_links(sets, np.unique(root[lo:hi], return_inverse=True)[1]):
+            a.append(node[lo + i])
+            b.append(node[lo + j])
+    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def near_components(docs: DataFrame) -> DataFrame:
+    """(doc_id, digest, component), a row a document: connected by a Jaccard
+    similarity of NEAR_SHINGLE-word shingles of 0.8 or more.
+
+    Texts of one set are one node.  Nodes that share a band are compared with the
+    bucket's smallest; buckets that this leaves in several components are then
+    compared among themselves, each list of nodes once."""
+    digested = docs.select("doc_id", _digest().alias("digest"), "text")
+    prints = materialize(arrow_map(digested, _near_prints, "doc_id long, digest binary, node long, bands array<long>"), "near")
+    nodes = prints.groupBy("node").agg(F.min("digest").alias("digest"), F.first("bands").alias("bands"))
+    keyed = nodes.select("node", "digest", F.explode("bands").alias("key"))
+    sizes = keyed.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members")).where("n > 1")
+    # bands that hold the same nodes are one bucket
+    sizes = materialize(sizes, "near-buckets")
+    buckets = sizes.groupBy("a", "n", "members").agg(F.min("key").alias("key"))
+    shared = materialize(keyed.join(buckets.select("key", "a", "n"), "key"), "near-shared")
+    involved = shared.select("node", "digest").distinct()
+    sets = digested.join(involved, "digest").select("node", "text").dropDuplicates(["node"])
+    sets = materialize(arrow_map(sets, _sets, "node long, found array<long>"), "near-sets")
+    pairs = shared.where("a <> node").select("a", F.col("node").alias("b")).distinct()
+    pairs = pairs.join(sets.select(F.col("node").alias("a"), F.col("found").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("found").alias("y")), "b")
+    both = F.size(F.array_intersect("x", "y"))
+    links = materialize(pairs.where(similar(both, F.size("x"), F.size("y"))).select("a", "b"), "near-links")
+    roots = connected_components(links)
+    placed = shared.where("n > 2").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    still = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
+    still = materialize(placed.join(still, "key"), "near-open")
+    if n := still.count():
+        parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // 10_000 + 1)
+        more = arrow_map(still.join(sets, "node").repartition(parts, "key"), _bucket_links, "a long, b long")
+        roots = connected_components(links.unionByName(more))
+    return prints.join(roots, "node", "left").select("doc_id", "digest", F.coalesce("root", "node").alias("component"))
+
+
+def _digest() -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The documents, one of each component: the one that names it.  Rows that
-    repeat it whole are dropped too; where only the id is null nothing is."""
-    keep = components(docs).where("doc_id = component_id").select(F.col("doc_id")).distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """The documents, one of each component of ``near_components``: the one with
+    the smallest id.  Of rows that repeat its id and text one is returned; other
+    texts of the same id are judged as documents of their own.  Where the id is
+    null nothing is dropped."""
+    named = near_components(docs).where("doc_id IS NOT NULL")
+    keep = named.groupBy("component").agg(F.min(F.struct("doc_id", "digest")).alias("k")).select("k.doc_id", F.col("k.digest").alias("_digest"))
+    own = docs.withColumn("_digest", _digest())
+    kept = own.join(keep, ["doc_id", "_digest"], "left_semi").dropDuplicates(["doc_id", "_digest"]).drop("_digest")
     return kept.unionByName(docs.where("doc_id IS NULL"))

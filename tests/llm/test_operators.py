@@ -331,3 +331,41 @@ def test_pii_fit_on_few_documents_leaves_base_spans(spark):
     docs = spark.createDataFrame([(i, f"write to a{i}@b.org or call +49 30 123456{i % 10}0") for i in range(60)], "doc_id long, text string")
     few = {r["doc_id"]: r["pii_base"] for r in pii.tagged(docs, pii.fit(docs, documents=10)).collect()}
     assert few == {r["doc_id"]: r["pii_base"] for r in pii.tagged(docs, None).collect()} and all(len(v) == 2 for v in few.values())
+
+
+def test_near_copies_beyond_four_bits_are_dropped(spark):
+    def changed(text, seed, times):
+        w, r = text.split(), random.Random(seed)
+        for i in r.sample(range(0, len(w), 6), times):
+            w[i] = f"changed{r.random()}"
+        return " ".join(w)
+
+    def shingles(text):
+        w = text.split()
+        return {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
+
+    texts = [changed(prose(900 + k, 300), 10 * k + j, 4 * (j > 0)) for k in range(30) for j in range(3)]
+    texts += [changed(texts[0], 5000 + j, 6) for j in range(40)]  # many are similar to some, not to all
+    root, sets = list(range(len(texts))), [shingles(t) for t in texts]
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    far = [bin(simhash.fingerprint(texts[3 * k]) ^ simhash.fingerprint(texts[3 * k + 1])).count("1") for k in range(30)]
+    assert max(far) > 4 and len(set(root)) == 30
+    assert sorted(r["doc_id"] for r in simhash.deduplicated(frame(spark, texts)).collect()) == sorted(set(root))
+
+
+def test_bucket_links_connect_what_the_smallest_does_not():
+    sets = [np.arange(i * 8, i * 8 + 100) for i in range(6)] + [np.arange(5000, 5100)]
+    label = np.arange(7)
+    for a, b in simhash.bucket_links(sets, label):
+        label[label == label[b]] = label[a]
+    assert len(set(label[:6].tolist())) == 1 and label[6] == 6
+
+
+def test_texts_that_share_an_id_are_judged_apart(spark):
+    a, b = prose(1, 80), prose(2, 80)
+    rows = simhash.deduplicated(frame(spark, [a, b, a, a, b, None, None], [1, 1, 1, 2, None, None, 3])).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in rows), key=str) == sorted([(1, a), (1, b), (None, b), (None, None), (3, None)], key=str)
