@@ -1,8 +1,8 @@
 """Quality rules: rule statistics of each document, and cross-document line frequency.
 
 Method: hash each document's normalised lines, count the distinct documents of a
-host (``source``) that hold a line, remove lines above the limit, and reject
-documents that are depleted by it.
+host (``source``) that hold a line, remove lines that more than a share of them
+have, and reject documents that are depleted by it.
 
 Defined cases: a null text has no words and fails the base rules; a null host is
 a host of its own; lines without a word are never counted; rows that repeat a
@@ -19,15 +19,17 @@ from collections.abc import Iterator
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_map, materialize, read_table
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: A line in more distinct documents of one host than this is boilerplate.
-LINE_LIMIT = 100
+#: A line in more than this share of one host's distinct documents is boilerplate,
+LINE_PERCENT = 1
+#: if more than so many have it.
+LINE_FLOOR = 4
 #: A document is depleted when fewer words, or a smaller share of them, remain.
 MIN_LEFT_WORDS = 20
 MIN_LEFT_SHARE = 0.2
@@ -103,23 +105,31 @@ def statistics(docs: DataFrame) -> DataFrame:
     return arrow_map(docs.select("doc_id", F.col("source").cast("string").alias("source"), "text"), _stats, STATS)
 
 
-def frequent_lines(stats: DataFrame, line_limit: int = LINE_LIMIT) -> DataFrame:
-    """(host, hash, n_docs) of the lines that more than ``line_limit`` distinct
-    documents of one host have."""
-    lines = _lines(stats)
-    return lines.groupBy("host", "hash").agg(F.count_distinct("doc").alias("n_docs")).where(F.col("n_docs") > line_limit)
+def frequent_lines(stats: DataFrame, line_limit: int | None = None) -> DataFrame:
+    """(host, hash, n_docs) of the lines that more than LINE_PERCENT of one host's
+    distinct documents have, and more than LINE_FLOOR; or, where ``line_limit`` is
+    given, more than so many of them."""
+    counts = _lines(stats).groupBy("host", "hash").agg(F.count_distinct("doc").alias("n_docs"))
+    if line_limit is not None:
+        return counts.where(F.col("n_docs") > line_limit)
+    hosts = stats.select(_host().alias("host"), _doc().alias("doc")).groupBy("host").agg(F.count_distinct("doc").alias("of"))
+    often = counts.where(F.col("n_docs") > LINE_FLOOR).join(hosts, "host")
+    return often.where(100 * F.col("n_docs") > LINE_PERCENT * F.col("of")).drop("of")
 
 
 def _lines(stats: DataFrame) -> DataFrame:
-    return stats.select(
-        "uid",
-        F.coalesce("host", F.lit("")).alias("host"),
-        F.coalesce(F.col("doc_id"), -F.col("uid") - 1).alias("doc"),
-        F.inline("lines"),
-    )
+    return stats.select("uid", _host().alias("host"), _doc().alias("doc"), F.inline("lines"))
+
+
+def _host() -> Column:
+    return F.coalesce("host", F.lit(""))
+
+
+def _doc() -> Column:
+    return F.coalesce(F.col("doc_id"), -F.col("uid") - 1)
 
 
-def judge(stats: DataFrame, line_limit: int = LINE_LIMIT, min_left_words: int = MIN_LEFT_WORDS, min_left_share: float = MIN_LEFT_SHARE) -> DataFrame:
+def judge(stats: DataFrame, line_limit: int | None = None, min_left_words: int = MIN_LEFT_WORDS, min_left_share: float = MIN_LEFT_SHARE) -> DataFrame:
     """``stats`` (materialised) with base_failed, n_left_words, n_removed_lines and kept."""
     removed = (
         _lines(stats)
@@ -139,7 +149,7 @@ def judge(stats: DataFrame, line_limit: int = LINE_LIMIT, min_left_words: int =
     )
 
 
-def cleaned(docs: DataFrame, line_limit: int = LINE_LIMIT) -> DataFrame:
+def cleaned(docs: DataFrame, line_limit: int | None = None) -> DataFrame:
     """The documents without their frequent lines, in a column ``clean_text``."""
     stats = materialize(statistics(docs), "quality")
     drop = (

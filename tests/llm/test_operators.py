@@ -369,3 +369,19 @@ def test_texts_that_share_an_id_are_judged_apart(spark):
     a, b = prose(1, 80), prose(2, 80)
     rows = simhash.deduplicated(frame(spark, [a, b, a, a, b, None, None], [1, 1, 1, 2, None, None, 3])).collect()
     assert sorted(((r["doc_id"], r["text"]) for r in rows), key=str) == sorted([(1, a), (1, b), (None, b), (None, None), (3, None)], key=str)
+
+
+def test_quality_rules_judge_equal_line_shares_alike(spark):
+    rows = []
+    for host, n in (("small", 40), ("large", 1200)):
+        for i in range(n):
+            common = "shared menu line of the host\n" if i % 8 == 0 else ""
+            whole = "cookie notice words repeat everywhere\n" * 20 if i % 8 == 0 else ""
+            rows.append((len(rows), common + whole + prose(i, 10 if whole else 60), host))
+    rows.append((len(rows), "rare line\n" + prose(5, 60), "large"))
+    rows.append((len(rows), "rare line\n" + prose(6, 60), "large"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    removed = {r["doc_id"]: r["n_removed_lines"] for r in quality_rules.judge(quality_rules.statistics(docs)).collect()}
+    assert all(removed[i] == 2 * (t.startswith("shared")) for i, t, _ in rows)
+    few = quality_rules.statistics(docs.where("source = 'small'").limit(3))
+    assert quality_rules.frequent_lines(few).count() == 0
