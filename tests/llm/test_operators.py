@@ -385,3 +385,12 @@ def test_quality_rules_judge_equal_line_shares_alike(spark):
     assert all(removed[i] == 2 * (t.startswith("shared")) for i, t, _ in rows)
     few = quality_rules.statistics(docs.where("source = 'small'").limit(3))
     assert quality_rules.frequent_lines(few).count() == 0
+
+
+def test_pii_adds_written_out_addresses_and_phones_without_plus(spark):
+    texts = [f"please write to ann{i}@mail{i % 7}.example.com or call +49 30 {1234567 + i} today" for i in range(120)]
+    texts += [f"order 20240101{i:06d}77 lot {i:04d}-{i * 7 % 10000:04d}-{i:04d} of @ all" for i in range(120)]
+    new = ["write to bob (at) host (dot) com soon", "please call 49 30 7654321 today", "order 2024010100000177 lot"]
+    docs = frame(spark, [*texts, *new])
+    out = {r["doc_id"]: r["text"] for r in pii.redacted(docs, pii.fit(docs)).collect()}
+    assert [out[240 + i] for i in range(3)] == ["write to [EMAIL] soon", "please call [PHONE] today", new[2]]
