@@ -47,10 +47,12 @@ for _i, _c in enumerate(LETTERS):
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c", "#": "h"}
 BETWEEN = ".-_'`~,·"
 EDGE = ".,;:!?\"'()[]{}<>|*#$%&-_~`“”‘’«»…"
-LONGEST = 24
+EDGE_BUT = EDGE.replace("$", "")
+REMEMBER = 100  # letters of a token whose decoding is remembered
+BOUNDARY = -2.0  # log-cost of a word's end within letters that are spaced out
 STRIDE = 3  # letters of a run that are not yet a sign of disguise
 
-_SPACED = re.compile(r"(?<!\S)(?:[^\W_][ .\-_*]){3,}[^\W_](?!\S)")
+_SPACED = re.compile(r"(?<!\S)(?:[^\W_][ .\-_*]){3,}[^\W_](?=[.,;:!?\"')]*(?!\S))")
 _SIGNS = re.compile(r"[0-9@$!|+€(#*.\-_'`~,·]")
 _RUN = re.compile(r"(.)\1\1")
 
@@ -96,16 +98,20 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def decode(token: str, model: CharacterModel) -> str:
-    """The likeliest word for a disguised token, by Viterbi over the last two letters."""
+def decode(token: str, model: CharacterModel, boundaries: bool = False) -> str:
+    """The likeliest word for a disguised token, by Viterbi over the last two letters;
+    with ``boundaries`` the likeliest words, with spaces between them."""
     steps = lattice(token)
     if not steps:
         return ""
+    if boundaries:
+        steps = [steps[0], *([*o, *((" " + x, c + BOUNDARY) for x, c in o if x)] for o in steps[1:])]
     index = {c: i + 1 for i, c in enumerate(LETTERS)}
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    # a way is a chain of (way before, text), so that its length costs no copies
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for options in steps:
-        new: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, word) in states.items():
+        new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (score, way) in states.items():
             for text, cost in options:
                 s, p, q = score + cost, a, b
                 for ch in text:
@@ -113,23 +119,37 @@ def decode(token: str, model: CharacterModel) -> str:
                     s += model.log[p, q, i]
                     p, q = q, i
                 if (p, q) not in new or s > new[p, q][0]:
-                    new[p, q] = (s, word + text)
+                    new[p, q] = (s, (way, text))
         states = new
-    return max((s + model.log[a, b, 0], w) for (a, b), (s, w) in states.items())[1]
+    _, way = max(((s + model.log[a, b, 0], w) for (a, b), (s, w) in states.items()), key=lambda x: x[0])
+    out = []
+    while way:
+        way, text = way
+        out.append(text)
+    return "".join(reversed(out))
 
 
 def disguised(text: str, words: list[str]) -> set[str]:
     """Tokens of a lower-cased text that may hide a word."""
     out = set()
     for w in words:
-        if not w.isalpha() and len(w) <= LONGEST:
+        if not w.isalpha():
             signs = len(_SIGNS.findall(w))
             letters = sum(map(str.isalpha, w))
-            if signs and letters >= 2 and signs <= 2 * letters and w.count("*") < 3:
+            if signs and letters and signs <= 2 * letters and w.count("*") <= max(2, letters):
                 out.add(w)
     if _RUN.search(text):
-        out.update(w for w in words if len(w) <= LONGEST and w.isalpha() and _RUN.search(w))
-    out.update(m for m in _SPACED.findall(text) if len(m) <= 2 * LONGEST)
+        out.update(w for w in words if w.isalpha() and _RUN.search(w))
+    out.update(_SPACED.findall(text))
+    return out
+
+
+def restored(token: str, model: CharacterModel) -> set[str]:
+    """The word that a disguised token hides; of letters spaced out also the words
+    that they make when it is told where one ends."""
+    out = {decode(token, model)}
+    if _SPACED.fullmatch(token):
+        out.update(decode(token, model, True).split(" "))
     return out
 
 
@@ -145,13 +165,17 @@ class Restorer:
         low = (text or "").lower()
         tokens = {w.strip(EDGE) for w in low.split()}
         raw = {w.rstrip(EDGE) for w in low.split() if w[0] in "$|(#" and w[1:2].isalpha()}
+        raw |= {w.strip(EDGE_BUT) for w in low.split() if "$" in w[-3:]}
         found = set(tokens)
         for token in disguised(low, [*tokens, *raw]):
-            if token not in self.known:
+            words = self.known.get(token)
+            if words is None:
+                words = restored(token, self.model)
                 if len(self.known) >= self.REMEMBERED:
                     self.known.clear()
-                self.known[token] = decode(token, self.model)
-            found.add(self.known[token])
+                if len(token) <= REMEMBER:
+                    self.known[token] = words
+            found |= words
         found.discard("")
         return found
 

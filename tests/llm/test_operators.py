@@ -394,3 +394,13 @@ def test_pii_adds_written_out_addresses_and_phones_without_plus(spark):
     docs = frame(spark, [*texts, *new])
     out = {r["doc_id"]: r["text"] for r in pii.redacted(docs, pii.fit(docs)).collect()}
     assert [out[240 + i] for i in range(3)] == ["write to [EMAIL] soon", "please call [PHONE] today", new[2]]
+
+
+def test_toxicity_restores_long_and_short_disguises():
+    plain = "you are such a worthless stupid moron and this is what the others said about fucking ass people in the house "
+    model = toxicity.CharacterModel(toxicity.trigram_counts([plain] * 200))
+    words = toxicity.Restorer(model).words
+    assert "stupid" in words("x st" + "u" * 200 + "pid y")
+    assert {"worthless", "moron"} <= words("x1 " + " ".join("youaresuchaworthlessstupidmoron") + ".")
+    assert "moron" in words("m o r o n") and "fucking" in words("f***ing") and "ass" in words("an a$$.")
+    assert words("a " * 3000 + "b")
