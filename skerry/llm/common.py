@@ -7,10 +7,13 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one numpy pass handles; bounds a worker's temporaries.
 CHUNK_BYTES = 4_000_000
+#: Bytes of a table, as Spark estimates it, to a partition of what is made of it.
+PARTITION_BYTES = 32 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,11 +39,19 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def partitions(df: DataFrame, each: int = PARTITION_BYTES) -> int:
+    """How many partitions a shuffle of rows made of ``df`` gets: the session's
+    number, or more where Spark's estimate of ``df`` asks for it."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    known = size if size < 1 << 60 else 0  # without statistics Spark takes a table for endless
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-known // each))
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that ``column`` (string or binary) has about ``limit``
     bytes in each; a single longer value stays whole."""
     for batch in batches:
-        sizes = [len(x) if x is not None else 0 for x in (batch.column(column).cast(pa.binary()).to_pylist())] if batch.num_rows else []
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         start = total = 0
         for i, n in enumerate(sizes):
             if total and total + n > limit:

@@ -6,18 +6,26 @@ document with a smaller id, or further up in the same one) is removed.
 Suffixes are not shuffled one by one.  A window of 100 bytes has an anchor: the
 21-byte string in it with the smallest hash, the leftmost of equals.  Equal
 windows have equal anchors at equal places, so windows meet by their anchors, and
-consecutive windows of one anchor travel as one row:
+consecutive windows of one anchor travel as one row, a run.  Hashes only say what
+meets; bytes are compared before anything is removed:
 
-1. rows of equal anchor and equal context (all bytes of the row's windows): the
-   first stays, the others repeat it whole.  This is done within a task's batch
-   before the shuffle, so that copies by the thousand send few rows, and again after it;
-2. of anchors that are left with several contexts, the windows are sorted as
-   suffixes: a multikey quicksort to a shallow depth, then blind tries for the
-   groups with longer common prefixes; equal neighbours repeat the earliest.
+1. within a batch of texts the runs of equal anchors are sorted as suffixes; of
+   equal runs the earliest stays, the others repeat it whole.  So copies by the
+   thousand send few rows;
+2. runs whose anchor is left more than once get their bytes and meet again, and are
+   sorted in the same way; of those that differ, all windows are sorted;
+3. an anchor with more than ``HOT`` runs is split: its runs are cut where the anchor's
+   place in the window passes a multiple of ``BLOCK``, and meet by the anchor and by
+   the bytes that all windows of such a part share.
+
+The sort is deep-shallow: a multikey quicksort to a shallow depth, then blind tries
+for the groups with longer common prefixes; equal neighbours repeat the earliest.
 
 Defined cases: a null text is empty; a null ``doc_id`` comes before all others;
-rows that repeat an id are one document, and get the same result if their texts
-agree; texts under 100 bytes lose nothing; an empty table gives no rows.
+what starts at the same place of the same ``doc_id`` is not earlier, so rows that
+repeat an id and text keep what no other place has, and get the same result; other
+texts of the same id get their own; texts under 100 bytes lose nothing; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,16 +35,21 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import arrow_map, materialize, read_table, slices
+from .common import CHUNK_BYTES, arrow_map, materialize, partitions, read_table, slices
 
 LENGTH = 100
 GRAM = 21
 SHALLOW = 24
+#: An anchor with more runs than this is split by what stands around it.
+HOT = 1_000
+BLOCK = 20
 NO_ID = -(1 << 63)
-_B1, _B2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+_B1 = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
 
@@ -67,14 +80,14 @@ class Roller:
 
 def anchored(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """Runs of windows with one anchor: text index, first start, last start (both in
-    the text), anchor's place, anchor hash, context hash."""
+    the text), anchor's place, anchor hash."""
     data = np.frombuffer(b"".join(texts), np.uint8)
     sizes = np.array([len(t) for t in texts], np.int64)
     first = np.concatenate([[0], np.cumsum(sizes)])
     n = len(data) - length + 1
     none = np.zeros(0, np.int64)
     if n < 1:
-        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none, none.astype(np.uint64)
     one = Roller(data, _B1)
     h = one.hashes(slice(0, len(data) - gram + 1), slice(gram, len(data) + 1))
     # the hash's upper half and the place: a minimum is the leftmost of the smallest
@@ -92,56 +105,110 @@ def anchored(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tupl
     start = np.flatnonzero(new & inside)
     stop = np.flatnonzero(inside & np.concatenate([new[1:] | ~inside[1:], [True]]))
     at, text = anchor[start], owner[start]
-    two = Roller(data, _B2)
-    context = two.hashes(start, stop + length) ^ ((at - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ ((stop - start).astype(np.uint64) << np.uint64(32))
     base = first[text]
-    return text, start - base, stop - base, at - base, h[at], context
+    return text, start - base, stop - base, at - base, h[at]
 
 
-ROWS = "kind byte, anchor long, context long, doc long, start long, stop long, at long"
-_NAMES = ["kind", "anchor", "context", "doc", "start", "stop", "at"]
+ROWS = "kind byte, anchor long, doc long, sig long, start long, stop long, at long"
+_NAMES = ["kind", "anchor", "doc", "sig", "start", "stop", "at"]
+SPANS = "doc long, sig long, start long, stop long"
 
 
-def _batch(kind: int, anchor, context, doc, start, stop, at) -> pa.RecordBatch:
-    n = len(doc)
-    cols = [np.full(n, kind, np.int8), *(np.asarray(x, np.int64) for x in (anchor, context, doc, start, stop, at))]
+def _batch(kind: int, *columns) -> pa.RecordBatch:
+    cols = [np.full(len(columns[0]), kind, np.int8), *(np.asarray(x, np.int64) for x in columns)]
     return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], _NAMES)
 
 
-def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The union of intervals of each document."""
+def merged(doc: np.ndarray, sig: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The union of intervals of each document and text."""
     if not len(doc):
-        return doc, start, end
-    order = np.lexsort((start, doc))
-    doc, start, end = doc[order], start[order], end[order]
-    group = np.concatenate([[0], np.cumsum(doc[1:] != doc[:-1])])
+        return doc, sig, start, end
+    order = np.lexsort((start, sig, doc))
+    doc, sig, start, end = doc[order], sig[order], start[order], end[order]
+    group = np.concatenate([[0], np.cumsum((doc[1:] != doc[:-1]) | (sig[1:] != sig[:-1]))])
     shift = group * (int(end.max()) + 1)  # one running maximum for all documents
     reach = np.maximum.accumulate(end + shift)
     new = np.concatenate([[True], start[1:] + shift[1:] > reach[:-1]])
     last = np.concatenate([np.flatnonzero(new)[1:] - 1, [len(doc) - 1]])
-    return doc[new], start[new], (reach - shift)[last]
+    return doc[new], sig[new], start[new], (reach - shift)[last]
+
+
+def _later(leads: np.ndarray, doc: np.ndarray, sig: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows in order, each behind the one that leads its group of equals: which
+    start later than that one, and which repeat its very document, text and place."""
+    lead = np.maximum.accumulate(np.where(leads, np.arange(len(leads)), 0))
+    same = (doc == doc[lead]) & (start == start[lead])
+    return ~same, same & ~leads & (sig == sig[lead])
+
+
+def _settled_runs(data: bytes, place: np.ndarray, bucket: np.ndarray, doc: np.ndarray, sig: np.ndarray, start: np.ndarray, stop: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the runs that repeat an earlier one whole, and of those that stay.
+    bucket: equal for runs that have their anchor at one place and are of one length.
+    Runs are equal if their first windows are, and their last ones."""
+    first = np.lexsort((sig, start, doc))
+    order, equal = deep_shallow_sort(data, place[first], bucket[first], length)
+    order = first[order]
+    again, equal = deep_shallow_sort(data, (place + stop - start)[order], np.cumsum(~equal), length)
+    order = order[again]
+    later, copy = _later(~equal, doc[order], sig[order], start[order])
+    return order[later], order[~later & ~copy]
+
+
+def _numbered(*keys: np.ndarray) -> np.ndarray:
+    """A number for each distinct row of keys."""
+    order = np.lexsort(keys)
+    new = np.zeros(len(order), bool)
+    for k in keys:
+        new[1:] |= k[order][1:] != k[order][:-1]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+def segments(texts: list[bytes], length: int, limit: int = CHUNK_BYTES) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Lists of (text's index, first byte, bytes), each of about ``limit`` bytes in
+    all.  Long texts are cut so that each window is in one segment."""
+    held, size = [], 0
+    for i, t in enumerate(texts):
+        for at in range(0, max(1, len(t) - length + 1), limit):
+            held.append((i, at, t[at:at + limit + length - 1]))
+            size += len(held[-1][2])
+            if size >= limit:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
 
 
 def _runs(length: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            doc = b.column("doc").to_numpy()
-            text, start, stop, at, anchor, context = anchored([t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()], length)
-            if not len(text):
-                continue
-            doc = doc[text]
-            order = np.lexsort((start, doc, context, anchor))
-            again = np.zeros(len(order), bool)
-            a, c = anchor[order], context[order]
-            again[order[1:]] = (a[1:] == a[:-1]) & (c[1:] == c[:-1])
-            one = ~again
-            yield _batch(0, anchor[one].view(np.int64), context[one].view(np.int64), doc[one], start[one], stop[one], at[one])
-            d, s, e = merged(doc[again], start[again], stop[again] + length)
-            yield _batch(1, d * 0x9E3779B1 % 1000003 if len(d) else d, np.zeros(len(d)), d, s, e, np.zeros(len(d)))
+            docs, sigs = b.column("doc").to_numpy(), b.column("sig").to_numpy()
+            for held in segments([t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()], length):
+                yield from _runs_of(held, docs, sigs, length)
 
     return run
 
 
+def _runs_of(held: list[tuple[int, int, bytes]], docs: np.ndarray, sigs: np.ndarray, length: int) -> Iterator[pa.RecordBatch]:
+    text, start, stop, at, anchor = anchored([t for *_, t in held], length)
+    if not len(text):
+        return
+    offset = np.concatenate([[0], np.cumsum([len(t) for *_, t in held])])[text]
+    place, anchor = offset + start, anchor.view(np.int64)
+    base = np.array([a for _, a, _ in held], np.int64)[text]
+    own = np.array([i for i, *_ in held])[text]
+    doc, sig, start, stop, at = docs[own], sigs[own], start + base, stop + base, at + base
+    bucket = _numbered(anchor, at - start, stop - start)
+    several = np.bincount(bucket)[bucket] > 1
+    some = np.flatnonzero(several)
+    gone, stay = _settled_runs(b"".join([t for *_, t in held]), place[some], bucket[some], doc[some], sig[some], start[some], stop[some], length)
+    gone, stay = some[gone], np.concatenate([np.flatnonzero(~several), some[stay]])
+    yield _batch(0, anchor[stay], doc[stay], sig[stay], start[stay], stop[stay], at[stay])
+    d, g, s, e = merged(doc[gone], sig[gone], start[gone], stop[gone] + length)
+    yield _batch(1, d * 0x9E3779B1 % 1000003, d, g, s, e, np.zeros(len(d)))
+
+
 def _whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Tables of sorted rows in which no group of ``key`` is cut."""
     held: list[pa.RecordBatch] = []
@@ -158,27 +225,6 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held)
 
 
-def _first_contexts(length: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _whole_groups(batches, "anchor"):
-            kind, anchor, context, doc, start, stop, at = (t.column(c).to_numpy() for c in _NAMES)
-            done = kind == 1
-            yield _batch(1, anchor[done], context[done], doc[done], start[done], stop[done], at[done])
-            kind, anchor, context, doc, start, stop, at = (x[~done] for x in (kind, anchor, context, doc, start, stop, at))
-            if not len(doc):
-                continue
-            same = anchor[1:] == anchor[:-1]
-            again = np.concatenate([[False], same & (context[1:] == context[:-1])])
-            d, s, e = merged(doc[again], start[again], stop[again] + length)
-            yield _batch(1, np.zeros(len(d)), np.zeros(len(d)), d, s, e, np.zeros(len(d)))
-            anchor, doc, start, stop, at = (x[~again] for x in (anchor, doc, start, stop, at))
-            same = anchor[1:] == anchor[:-1]
-            several = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-            yield _batch(0, anchor[several], np.zeros(several.sum()), doc[several], start[several], stop[several], at[several])
-
-    return run
-
-
 # -- deep-shallow suffix sorting ------------------------------------------------------
 
 
@@ -192,21 +238,40 @@ def _words(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def multikey_quicksort(data: np.ndarray, starts: np.ndarray, bucket: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of suffixes within their buckets up to ``depth`` bytes, and group
-    numbers: suffixes that agree so far share one.  Eight characters are a key;
-    groups of one suffix are not split any further."""
+    numbers: suffixes that agree so far share one.
+
+    Ternary partition by a pivot's key, all groups at once: a group becomes what is
+    less, equal and greater; what is equal goes on with the next key.  A key is
+    eight bytes, as a number.  Equal suffixes keep their given order."""
+    n = len(starts)
     order = np.argsort(bucket, kind="stable")
-    group = np.cumsum(np.concatenate([[0], bucket[order][1:] != bucket[order][:-1]]))
-    for d in range(0, depth, 8):
-        size = np.bincount(group)[group]
-        open_ = np.flatnonzero(size > 1)
-        if not len(open_):
-            break
-        key = np.zeros(len(order), np.uint64)
-        key[open_] = _words(data, starts[order[open_]] + d)
-        by = np.lexsort((key, group))
-        order, key = order[by], key[by]
-        group = np.cumsum(np.concatenate([[0], (group[1:] != group[:-1]) | (key[1:] != key[:-1])]))
-    return order, group
+    new = np.concatenate([[True], bucket[order][1:] != bucket[order][:-1]]) if n else np.zeros(0, bool)
+    deep = np.zeros(n, np.int64)  # at a group's first place: bytes in which it agrees
+    while True:
+        cut = np.flatnonzero(new)
+        size = np.diff(np.append(cut, n))
+        open_ = (size > 1) & (deep[cut] < depth)
+        if not open_.any():
+            return order, np.cumsum(new) - 1
+        cut, size = cut[open_], size[open_]
+        group = np.repeat(np.arange(len(cut)), size)
+        begin = np.concatenate([[0], np.cumsum(size)[:-1]])
+        place = cut[group] + np.arange(len(group)) - begin[group]
+        key = _words(data, starts[order[place]] + deep[cut][group])
+        pivot = key[begin + size // 2][group]
+        side = (key > pivot).astype(np.int64) - (key < pivot)
+        target = np.empty(len(group), np.int64)
+        level, done = deep[cut], cut.copy()  # done: where the next side of each group begins
+        for v in (-1, 0, 1):
+            on = side == v
+            count = np.bincount(group[on], minlength=len(cut))
+            rank = np.cumsum(on) - on
+            target[on] = (done[group] + rank - rank[begin][group])[on]
+            some = np.flatnonzero(count)
+            new[done[some]] = True
+            deep[done[some]] = level[some] + (0 if v else 8)
+            done = done + count
+        order[target] = order[place]
 
 
 class _Node:
@@ -300,54 +365,68 @@ def deep_shallow_sort(data: bytes, starts: np.ndarray, bucket: np.ndarray, limit
 def _sorted_windows(length: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_groups(batches, "anchor"):
-            anchor, doc, start, stop, at = (t.column(c).to_numpy() for c in ("anchor", "doc", "start", "stop", "at"))
-            pieces = t.column("bytes").to_pylist()
-            sizes = np.array([len(p) for p in pieces], np.int64)
-            offset = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            counts = stop - start + 1
-            row = np.repeat(np.arange(len(doc)), counts)
+            anchor, doc, sig, start, stop, at = (t.column(c).to_numpy() for c in ("anchor", "doc", "sig", "start", "stop", "at"))
+            data = b"".join(t.column("bytes").to_pylist())
+            offset = np.concatenate([[0], np.cumsum(stop - start + length)[:-1]])
+            gone, stay = _settled_runs(data, offset, _numbered(anchor, at - start, stop - start), doc, sig, start, stop, length)
+            whole = (doc[gone], sig[gone], start[gone], stop[gone] + length)
+            # windows of the anchors that have several runs left
+            number = _numbered(anchor)
+            stay = stay[np.bincount(number[stay], minlength=len(number) + 1)[number[stay]] > 1]
+            counts = (stop - start + 1)[stay]
+            row = np.repeat(stay, counts)
             step = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+            first = np.lexsort((sig[row], start[row] + step, doc[row]))  # the earliest of equals comes first
+            row, step = row[first], step[first]
+            place = start[row] + step
             # equal windows have their anchor at the same place
-            number = np.cumsum(np.concatenate([[0], anchor[1:] != anchor[:-1]]))
-            bucket = number[row] * (length + 1) + (at[row] - start[row] - step)
-            first = np.lexsort((start[row] + step, doc[row]))  # the earliest of equals comes first
-            row, step, bucket = row[first], step[first], bucket[first]
-            order, equal = deep_shallow_sort(b"".join(pieces), offset[row] + step, bucket, length)
-            gone = order[equal]
-            d, s = doc[row[gone]], start[row[gone]] + step[gone]
-            d, s, e = merged(d, s, s + length)
-            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(s), pa.array(e)], ["doc", "start", "stop"])
+            order, equal = deep_shallow_sort(data, offset[row] + step, number[row] * (length + 1) + at[row] - place, length)
+            row, place = row[order], place[order]
+            later, _ = _later(~equal, doc[row], sig[row], place)
+            row, place = row[later], place[later]
+            both = (np.concatenate(x) for x in zip(whole, (doc[row], sig[row], place, place + length), strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged(*both)], ["doc", "sig", "start", "stop"])
 
     return run
 
 
+def _parts(text: bytes, r: dict, length: int) -> Iterator[tuple]:
+    """A run as rows to be sorted: itself, or, if its anchor is hot, a part for each
+    block of places that the anchor has in its windows."""
+    start, stop, at = r["start"], r["stop"], r["at"]
+    if not r["hot"]:
+        yield r["anchor"], start, stop, at, text[start:stop + length]
+        return
+    for block in range((at - stop) // BLOCK, (at - start) // BLOCK + 1):
+        lo, hi = max(start, at - block * BLOCK - BLOCK + 1), min(stop, at - block * BLOCK)
+        shared = text[at - block * BLOCK:at - block * BLOCK - BLOCK + 1 + length]
+        yield xxhash.xxh64_intdigest(shared, (r["anchor"] + block) & _MASK) - (1 << 63), lo, hi, at, text[lo:hi + length]
+
+
 def _cut_contexts(length: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             rows: list[tuple] = []
-            for doc, text, runs in zip(b.column("doc").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), b.column("runs").to_pylist(), strict=True):
-                text = text or b""
+            for doc, sig, text, runs in zip(b.column("doc").to_pylist(), b.column("sig").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), b.column("runs").to_pylist(), strict=True):
                 for r in runs:
-                    piece = text[r["start"]:r["stop"] + length]
-                    if len(piece) == r["stop"] + length - r["start"]:
-                        rows.append((r["anchor"], doc, r["start"], r["stop"], r["at"], piece))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:5]), pa.array(columns[5], pa.binary())], ["anchor", "doc", "start", "stop", "at", "bytes"])
+                    rows += [(key, doc, sig, *rest) for key, *rest in _parts(text or b"", r, length)]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:6]), pa.array(columns[6], pa.binary())], ["anchor", "doc", "sig", "start", "stop", "at", "bytes"])
 
     return run
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc, start, stop): byte intervals of ``docs`` (doc, text) to be removed; they
-    may overlap."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """(doc, sig, start, stop): byte intervals of ``docs`` (doc, sig, text) to be
+    removed; they may overlap."""
     runs = arrow_map(docs, _runs(length), ROWS)
-    by_anchor = runs.repartition(parts, "anchor").sortWithinPartitions("anchor", "context", "doc", "start")
-    judged = materialize(arrow_map(by_anchor, _first_contexts(length), ROWS), "repeats")
-    several = judged.where("kind = 0").groupBy("doc").agg(F.collect_list(F.struct("anchor", "start", "stop", "at")).alias("runs"))
-    cut = arrow_map(docs.join(several, "doc").select("doc", "text", "runs"), _cut_contexts(length), "anchor long, doc long, start long, stop long, at long, bytes binary")
-    fine = arrow_map(cut.repartition(parts, "anchor").sortWithinPartitions("anchor"), _sorted_windows(length), "doc long, start long, stop long")
-    return judged.where("kind = 1").select("doc", "start", "stop").unionByName(fine)
+    same = Window.partitionBy("anchor", "kind")
+    met = runs.repartition(partitions(docs), "anchor", "kind").withColumn("n", F.count("*").over(same))
+    judged = materialize(met.where("kind = 1 OR n > 1").withColumn("hot", F.col("n") > HOT).drop("n"), "repeats")
+    several = judged.where("kind = 0").groupBy("doc", "sig").agg(F.collect_list(F.struct("anchor", "start", "stop", "at", "hot")).alias("runs"))
+    cut = arrow_map(docs.join(several, ["doc", "sig"]).select("doc", "sig", "text", "runs"), _cut_contexts(length), "anchor long, doc long, sig long, start long, stop long, at long, bytes binary")
+    fine = arrow_map(cut.repartition(partitions(docs), "anchor").sortWithinPartitions("anchor"), _sorted_windows(length), SPANS)
+    return judged.where("kind = 1").select("doc", "sig", "start", "stop").unionByName(fine)
 
 
 def _report(keep_text: bool) -> Callable:
@@ -358,11 +437,11 @@ def _report(keep_text: bool) -> Callable:
                 text, kept, at, removed, n = text or b"", [], 0, 0, 0
                 if spans:
                     s, e = (np.array([x[k] for x in spans], np.int64) for k in ("start", "stop"))
-                    _, s, e = merged(np.zeros(len(s), np.int64), s, np.minimum(e, len(text)))
+                    zero = np.zeros(len(s), np.int64)
+                    *_, s, e = merged(zero, zero, s, e)
                     for x, y in zip(s.tolist(), e.tolist(), strict=True):
-                        if y > x:
-                            kept.append(text[at:x])
-                            at, removed, n = y, removed + y - x, n + 1
+                        kept.append(text[at:x])
+                        at, removed, n = y, removed + y - x, n + 1
                 kept.append(text[at:])
                 left = b"".join(kept)
                 rows.append((doc_id, len(text), removed, n, hashlib.sha256(left).hexdigest(), left if keep_text else None))
@@ -374,10 +453,11 @@ def _report(keep_text: bool) -> Callable:
 
 def deduplicated(docs: DataFrame, length: int = LENGTH, keep_text: bool = True) -> DataFrame:
     """One row a document: sizes, the digest of what is kept, and the bytes kept."""
-    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
-    spans = repeated_spans(rows.select("doc", "text"), length)
-    by_doc = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    joined = rows.join(by_doc, "doc", "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "spans")
+    sig = F.xxhash64(F.coalesce("text", F.lit("")))  # rows of one id with other texts have spans of their own
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), sig.alias("sig"), "text")
+    spans = repeated_spans(rows.select("doc", "sig", "text"), length)
+    by_doc = spans.groupBy("doc", "sig").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    joined = rows.join(by_doc, ["doc", "sig"], "left").select("doc_id", "text", "spans")
     return arrow_map(joined, _report(keep_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 

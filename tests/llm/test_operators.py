@@ -32,33 +32,60 @@ def awkward():
     return [base, None, "", " \n\t", base, base[:900] + "! " + prose(2, 80), prose(3, 5000), "a" * 5000, "é" * 200 + base[100:400], prose(4, 30), prose(4, 30), "x"]
 
 
-def suffix_brute(texts):
-    seen, out = set(), {}
-    for i, t in enumerate(texts):
+def suffix_brute(texts, ids=None):
+    """(id, n_bytes, n_removed, n_spans, kept_sha256) of each row; a string is earlier by (id, start)."""
+    ids = list(range(len(texts))) if ids is None else ids
+    first, out = {}, []
+    for i, t in zip(ids, texts, strict=True):
+        b = (t or "").encode()
+        for s in range(len(b) - 99):
+            first[b[s:s + 100]] = min(first.get(b[s:s + 100], (i, s)), (i, s))
+    for i, t in zip(ids, texts, strict=True):
         b = (t or "").encode()
         gone = bytearray(len(b))
         for s in range(len(b) - 99):
-            w = b[s:s + 100]
-            if w in seen:
+            if first[b[s:s + 100]] < (i, s):
                 gone[s:s + 100] = b"\1" * 100
-            seen.add(w)
         kept = bytes(c for c, g in zip(b, gone, strict=True) if not g)
-        out[i] = (len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest())
-    return out
+        out.append((i, len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
+    return sorted(out)
+
+
+def suffix_rows(docs):
+    return sorted(tuple(r[c] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in suffix_dedup.deduplicated(docs).collect())
 
 
 def test_suffix_dedup_matches_brute_force(spark):
     texts = awkward()
-    got = {r["doc_id"]: tuple(r[c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in suffix_dedup.deduplicated(frame(spark, texts)).collect()}
-    assert got == suffix_brute(texts)
+    assert suffix_rows(frame(spark, texts)) == suffix_brute(texts)
     assert suffix_dedup.deduplicated(frame(spark, [])).count() == 0
 
 
+def test_suffix_dedup_of_repeated_rows_and_ids(spark):
+    a, b, c = prose(1, 90), prose(2, 90), prose(3, 90)
+    texts = [a, a, b + a, c, c[:300] + b, c[:300] + b, "z" + c, c + c, None, b]
+    ids = [1, 1, 1, 2, 2, 2, 2, 2, 3, 3]
+    assert suffix_rows(frame(spark, texts, ids).repartition(3)) == suffix_brute(texts, ids)
+    both = [a, a, b]
+    assert [r[2] for r in suffix_rows(frame(spark, both, [5, 5, 5]))] == [0, 0, 0]
+    rows = suffix_dedup.deduplicated(frame(spark, [a, a], [None, 4])).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in rows} == {None: 0, 4: len(a)}
+
+
+def test_suffix_dedup_splits_hot_anchors_and_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT", 3)
+    passage = prose(9, 40)
+    texts = [prose(100 + i, 3 + i % 7) + " " + passage[: 120 + i] + prose(200 + i, 5) for i in range(40)] + [prose(9, 2000) * 2]
+    assert suffix_rows(frame(spark, texts).repartition(4)) == suffix_brute(texts)
+    long = [t.encode() for t in texts]
+    windows = [(i, at + s) for held in suffix_dedup.segments(long, 100, 1000) for i, at, t in held for s in range(len(t) - 99)]
+    assert sorted(windows) == [(i, s) for i, t in enumerate(long) for s in range(len(t) - 99)]
+
+
 def test_suffix_dedup_with_many_contexts_of_one_passage(spark):
     passage = prose(9, 40)
     texts = [prose(100 + i, 3 + i % 7) + " " + passage[: 120 + i] + prose(200 + i, 5) for i in range(60)]
-    got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in suffix_dedup.deduplicated(frame(spark, texts)).collect()}
-    assert got == {i: v[1:3] for i, v in suffix_brute(texts).items()}
+    assert suffix_rows(frame(spark, texts)) == suffix_brute(texts)
 
 
 def test_deep_shallow_sort_orders_suffixes():
