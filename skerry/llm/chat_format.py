@@ -26,10 +26,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, read_table
+from .common import arrow_map, partitions, read_table, slices
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 START, SEP, END = 50257, 50258, 50259
@@ -62,17 +63,17 @@ def encoding(path: str | None = None):
 
 
 def encode_long(enc, text: str, piece: int = 100_000) -> list[int]:
-    """Ids of a text; very long ones are encoded by pieces cut before a blank."""
+    """Ids of a text.  A long one is encoded in parts, so that no copy of it is made;
+    parts end where a pre-token does, over which no merge reaches, so that the ids are
+    those of the whole."""
     if len(text) <= piece:
         return enc.encode_ordinary(text)
     ids, at = [], 0
-    while at < len(text):
-        end = min(len(text), at + piece)
-        if end < len(text) and (cut := text.rfind(" ", at + 1, end)) > at:
-            end = cut
-        ids += enc.encode_ordinary(text[at:end])
-        at = end
-    return ids
+    for m in regex.compile(enc._pat_str).finditer(text):
+        if m.end() - at >= piece:
+            ids += enc.encode_ordinary(text[at:m.end()])
+            at = m.end()
+    return ids + enc.encode_ordinary(text[at:])
 
 
 def encode_turn(enc, role: str | None, text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +100,7 @@ TURNS = "conv_id long, turn long, role string, ids binary, mask binary, key stri
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     enc = encoding()
-    for b in batches:
+    for b in slices(batches, "text"):
         pairs = [encode_turn(enc, r, t) for r, t in zip(b.column("role").to_pylist(), b.column("text").to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays(
             [b.column("conv_id").cast(pa.int64()), b.column("turn").cast(pa.int64()), b.column("role"), pa.array([i.astype("<u4").tobytes() for i, _ in pairs], pa.binary()), pa.array([m.tobytes() for _, m in pairs], pa.binary()), b.column("key")],
@@ -148,8 +149,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def digest_conversations(turns: DataFrame) -> DataFrame:
     """What reading the formatted turns back gives, one row a conversation."""
-    n = turns.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    ordered = turns.repartition(int(n), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "key")
+    ordered = turns.repartition(partitions(turns), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "key")
     return arrow_map(ordered.select("conv_id", "ids", "mask"), _digest, DIGESTS)
 
 
@@ -157,4 +157,4 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
-    return digest_conversations(format_turns(stored.unionByName(extra)))
+    return digest_conversations(format_turns(stored.unionByName(extra))).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")

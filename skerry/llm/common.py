@@ -6,12 +6,13 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one numpy pass handles; bounds a worker's temporaries.
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 2_000_000
 #: Bytes of a table, as Spark estimates it, to a partition of what is made of it.
 PARTITION_BYTES = 32 << 20
 
@@ -20,14 +21,22 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own_folders: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or,
-    where it is unset (local sessions and tests), a folder of our own."""
+    """The folder that driver and executors share, as a whole URI:
+    ``spark.checkpoint.dir``, or, where it is unset, a folder of our own, which
+    only a session whose executors are on this machine may have."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="skerry-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = _own_folders.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="skerry-")
+        _own_folders[context.applicationId] = base
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(path).toString().rstrip("/")
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -79,3 +88,19 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
 def table(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.record_batch([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Tables of sorted rows in which no group of ``key`` is cut."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k = b.column(key).to_numpy()
+        cut = int(np.searchsorted(k, k[-1]))
+        if cut or (held and held[-1].column(key)[-1].as_py() != k[0]):
+            yield pa.Table.from_batches([*held, b.slice(0, cut)])
+            held = []
+        held.append(b.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)

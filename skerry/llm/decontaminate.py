@@ -5,24 +5,34 @@ the whole corpus; postings (term, doc, position) of those terms alone are stored
 lists are shifted by the terms' offsets in the window and intersected; what is
 left is compared word by word.  Only DataFrame functions are used.
 
+An exact phrase match is a window whose words stand in the document as they are.  A
+proximity match is a window that has none there, whose two rarest terms stand at most
+``SLOP`` words out of their distance, and of whose distinct words ``NEAR_PERCENT`` or
+more stand in the stretch around, ``SLOP`` words to either side of it.  Only exact
+matches make a document contaminated.
+
 Words are runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` after lower-casing A-Z.
 A window is 10 consecutive words of an item; an item with fewer words, but not
 none, is one window.
 
 Defined cases: null texts have no words; items without words match nothing; an
 item whose id is null counts for hits but is not listed; repeated items are one;
-rows of one ``doc_id`` are judged each by its own text; empty tables work.
+rows of one ``doc_id`` are judged each by its own text; empty tables work; columns
+of any other name stay as they are.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import materialize, read_table
+from .common import fresh, materialize, read_table
 
 WINDOW = 10
 RAREST = 2
+SLOP = 3
+NEAR_PERCENT = 80
 #: Tables of terms and windows up to this many rows are broadcast; larger ones join by shuffle.
 BROADCAST_ROWS = 200_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -69,7 +79,7 @@ def rarest_terms(windows: DataFrame, counts: DataFrame, rarest: int = RAREST) ->
         F.slice(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "term"))), 1, rarest).alias("t")
     )
     possible = taken.where(F.col("t")[0]["n"] > 0)
-    return possible.select("window_id", F.size("t").alias("terms"), F.inline("t")).drop("n")
+    return possible.select("window_id", F.size("t").alias("terms"), F.array_min(F.transform("t", lambda x: x["offset"])).alias("lead"), F.inline("t")).drop("n")
 
 
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -78,29 +88,18 @@ def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return tokens.join(small(terms, terms.count()), "term")
 
 
-def intersect(index: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(doc, window_id, start): where all chosen terms of a window stand at their
-    offsets."""
+def intersect(index: DataFrame, chosen: DataFrame, slop: int = SLOP) -> DataFrame:
+    """(doc, window_id, start, near): places where the chosen terms of a window stand
+    at their offsets, and, with ``near`` above 0, where the later of two terms stands
+    that many words out of its distance to the one before, at most ``slop``."""
     rows = chosen.count()
-    shifted = index.join(small(chosen, rows), "term").select("doc", "window_id", "terms", (F.col("pos") - F.col("offset")).alias("start"))
-    return shifted.where("start >= 0").groupBy("doc", "window_id", "start").agg(F.count("*").alias("n"), F.first("terms").alias("terms")).where("n >= terms").select("doc", "window_id", "start")
-
-
-def proximity(index: DataFrame, chosen: DataFrame, slop: int) -> DataFrame:
-    """(doc, window_id, near): documents in which the chosen terms of a window
-    stand in order, each at most ``slop`` words away from its offset against the
-    one before; ``near`` is the smallest deviation, 0 for the exact offsets."""
-    both = index.join(small(chosen, chosen.count()), "term").select("doc", "window_id", "terms", "offset", "pos")
-    # blocks of slop + 1 expected starts: two starts within slop are in one block or in neighbours
-    start = F.col("pos") - F.col("offset")
-    keyed = both.withColumn("start", start).withColumn("block", F.floor(start / (slop + 1)))
-    lead = keyed.groupBy("doc", "window_id").agg(F.min("offset").alias("lead"))
-    keyed = keyed.join(lead, ["doc", "window_id"])
-    a = keyed.where("offset = lead").select("doc", "window_id", F.explode(F.array(*(F.col("block") + i for i in (-1, 0, 1)))).alias("block"), F.col("start").alias("s"), "terms")
-    b = keyed.where("offset <> lead").select("doc", "window_id", "block", F.col("start").alias("s2"))
-    pairs = a.join(b, ["doc", "window_id", "block"]).withColumn("near", F.abs(F.col("s") - F.col("s2"))).where(F.col("near") <= slop)
-    single = a.where("terms = 1").select("doc", "window_id", F.lit(0).cast("long").alias("near"))
-    return pairs.select("doc", "window_id", F.col("near").cast("long").alias("near")).unionByName(single).groupBy("doc", "window_id").agg(F.min("near").alias("near"))
+    shifted = index.join(small(chosen, rows), "term").select("doc", "window_id", "terms", "offset", "lead", (F.col("pos") - F.col("offset")).alias("start"))
+    upto = Window.partitionBy("doc", "window_id").orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    is_lead = F.col("offset") == F.col("lead")
+    before = F.when(is_lead, F.max(F.when(~is_lead, F.col("start"))).over(upto)).otherwise(F.max(F.when(is_lead, F.col("start"))).over(upto))
+    near = F.when(F.col("terms") == 1, 0).otherwise(F.col("start") - before)
+    found = shifted.withColumn("near", near.cast("int")).where(F.col("near") <= slop)
+    return found.where("start >= 0 OR near > 0").groupBy("doc", "window_id", "start").agg(F.min("near").alias("near"))
 
 
 def covered(hits: Column) -> Column:
@@ -115,25 +114,38 @@ def covered(hits: Column) -> Column:
     return F.aggregate(F.array_sort(hits), zero, step, lambda acc: acc["total"])
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, rarest: int = RAREST) -> DataFrame:
-    """``docs`` with uid, n_words, n_hit, and ``hits``: array of (start, size,
-    window_id); and the table (window_id, item_id)."""
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, rarest: int = RAREST) -> tuple[DataFrame, DataFrame, list[str]]:
+    """``docs`` with n_words, n_hit, hits and near, under names that are given third:
+    hits is an array of (start, size, window_id), near one of the window_ids of proximity
+    matches.  And the table (window_id, item_id)."""
+    doc, candidates, word, n_words, n_hit, hit, near = names = fresh(docs, "doc", "candidates", "words", "n_words", "n_hit", "hits", "near")
     windows, owners = benchmark_windows(items, window)
     chosen = materialize(rarest_terms(windows, term_counts(docs, windows), rarest), "terms")
     index = materialize(postings(docs, chosen.select("term").distinct()), "postings")
     found = intersect(index, chosen)
     found = found.join(small(windows, windows.count()), "window_id")
-    by_doc = found.groupBy("doc").agg(F.collect_list(F.struct("start", "window_id", "w")).alias("candidates"))
-    rows = docs.withColumn("doc", F.coalesce(F.col("doc_id"), F.lit(-1))).join(by_doc, "doc", "left").withColumn("words", words(F.col("text")))
-    hits = F.filter("candidates", lambda c: F.slice(F.col("words"), c["start"] + 1, F.size(c["w"])) == c["w"])
-    hits = F.transform(hits, lambda c: F.struct(c["start"].alias("start"), F.size(c["w"]).alias("size"), c["window_id"].alias("window_id")))
-    hits = F.when(F.col("candidates").isNull(), F.array().cast("array<struct<start: int, size: int, window_id: string>>")).otherwise(hits)
-    return rows.withColumn("hits", hits).withColumn("n_words", F.size("words").cast("long")).withColumn("n_hit", covered(F.col("hits"))).drop("doc", "candidates", "words"), owners
+    by_doc = found.groupBy(F.col("doc").alias(doc)).agg(F.collect_list(F.struct("start", "near", "window_id", "w")).alias(candidates))
+    rows = docs.withColumn(doc, F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long"))).join(by_doc, doc, "left").withColumn(word, words(F.col("text")))
+
+    def is_exact(c: Column) -> Column:
+        return (c["near"] == 0) & (c["start"] >= 0) & (F.slice(word, F.greatest(c["start"], F.lit(0)) + 1, F.size(c["w"])) == c["w"])
+
+    def is_near(c: Column) -> Column:
+        first = F.greatest(c["start"] + 1 - SLOP, F.lit(1))
+        stretch = F.slice(word, first, c["start"] + 1 + F.size(c["w"]) + SLOP - first)
+        return 100 * F.size(F.array_intersect(c["w"], stretch)) >= NEAR_PERCENT * F.size(F.array_distinct(c["w"]))
+
+    none = F.array().cast("array<struct<start: int, size: int, window_id: string>>")
+    exact = F.transform(F.filter(candidates, is_exact), lambda c: F.struct(c["start"].cast("int").alias("start"), F.size(c["w"]).alias("size"), c["window_id"].alias("window_id")))
+    others = F.array_distinct(F.transform(F.filter(candidates, is_near), lambda c: c["window_id"]))
+    rows = rows.withColumn(hit, F.coalesce(exact, none)).withColumn(near, F.array_except(F.coalesce(others, F.array().cast("array<string>")), F.transform(hit, lambda h: h["window_id"])))
+    rows = rows.withColumn(n_words, F.size(word).cast("long")).withColumn(n_hit, covered(F.col(hit))).drop(doc, candidates, word)
+    return rows, owners, names[3:]
 
 
 def report(docs: DataFrame, items: DataFrame, window: int = WINDOW, rarest: int = RAREST) -> DataFrame:
-    judged, owners = contamination(docs.select("doc_id", "text"), items, window, rarest)
-    rows = materialize(judged.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "n_words", "n_hit", F.array_distinct(F.transform("hits", lambda h: h["window_id"])).alias("found")), "contamination")
+    judged, owners, _ = contamination(docs.select("doc_id", "text"), items, window, rarest)
+    rows = materialize(judged.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "n_words", "n_hit", F.array_distinct(F.transform("hits", lambda h: h["window_id"])).alias("found"), F.size("near").cast("long").alias("n_near")), "contamination")
     listed = (
         rows.select("uid", F.explode("found").alias("window_id")).join(small(owners, owners.count()), "window_id")
         .groupBy("uid").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
@@ -142,14 +154,14 @@ def report(docs: DataFrame, items: DataFrame, window: int = WINDOW, rarest: int
     items_of = F.coalesce(F.col("items"), none)
     return rows.join(listed, "uid", "left").select(
         "doc_id", "n_words", "n_hit", F.size(items_of).cast("long").alias("n_items"),
-        F.sha2(F.array_join(items_of, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+        F.sha2(F.array_join(items_of, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "n_near",
     )
 
 
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents in which no window occurs, with the columns of ``docs``."""
-    judged, _ = contamination(docs, items, window)
-    return judged.where("n_hit = 0").select(*docs.columns)
+    judged, _, (_, n_hit, *_) = contamination(docs, items, window)
+    return judged.where(F.col(n_hit) == 0).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,13 +179,30 @@ pos AS (
   SELECT doc_id, w, size, unnest(range(0, len(w) - size + 1)) AS s
   FROM d CROSS JOIN (SELECT DISTINCT size FROM win) WHERE len(w) >= size),
 hit AS (
-  SELECT p.doc_id, p.s, p.size, win.item_id
+  SELECT p.doc_id, p.s, p.size, p.t, win.item_id
   FROM (SELECT doc_id, s, size, array_to_string(w[s + 1 : s + size], ' ') AS t FROM pos) p JOIN win USING (t, size)),
 per AS (
   SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT item_id)), ',') AS ids FROM hit GROUP BY doc_id),
 cov AS (
-  SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(s, s + size)) AS p FROM hit) GROUP BY doc_id)
+  SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(s, s + size)) AS p FROM hit) GROUP BY doc_id),
+one AS (
+  SELECT DISTINCT w[s + 1 : s + least(len(w), 10)] AS v, array_to_string(w[s + 1 : s + least(len(w), 10)], ' ') AS t
+  FROM (SELECT *, unnest(range(0, greatest(len(w) - 9, 1))) AS s FROM i WHERE len(w) > 0)),
+token AS (SELECT doc_id, unnest(w) AS term, unnest(range(0, len(w))) AS pos FROM d),
+n AS (SELECT term, count(*) AS n FROM token GROUP BY term),
+place AS (SELECT t, term, min(o) AS o FROM (SELECT t, unnest(v) AS term, unnest(range(0, len(v))) AS o FROM one) GROUP BY t, term),
+rare AS (
+  SELECT t, term, o, coalesce(n, 0) AS n, row_number() OVER (PARTITION BY t ORDER BY coalesce(n, 0), o, term) AS k FROM place LEFT JOIN n USING (term)),
+two AS (SELECT t, term, o, count(*) OVER (PARTITION BY t) AS terms FROM rare WHERE k <= 2 AND t NOT IN (SELECT t FROM rare WHERE k = 1 AND n = 0)),
+post AS (SELECT doc_id, t, term, pos - o AS s FROM token JOIN two USING (term) WHERE terms = 2),
+near AS (
+  SELECT DISTINCT b.doc_id, b.t, b.s FROM post a JOIN post b ON a.doc_id = b.doc_id AND a.t = b.t AND a.term <> b.term AND b.s - a.s BETWEEN 0 AND 3),
+nearby AS (
+  SELECT DISTINCT near.doc_id, near.t FROM near JOIN one USING (t) JOIN d USING (doc_id)
+  WHERE 100 * len(list_intersect(v, w[greatest(s - 2, 1) : s + len(v) + 3])) >= 80 * len(list_distinct(v))),
+close AS (
+  SELECT doc_id, count(*) AS n_near FROM (SELECT doc_id, t FROM nearby EXCEPT SELECT doc_id, t FROM hit) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(cov.n_hit, 0) AS n_hit, coalesce(per.n_items, 0) AS n_items,
-  sha256(coalesce(per.ids, '')) AS items_sha256, coalesce(cov.n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN per USING (doc_id) LEFT JOIN cov USING (doc_id)
+  sha256(coalesce(per.ids, '')) AS items_sha256, coalesce(cov.n_hit, 0) > 0 AS contaminated, coalesce(close.n_near, 0) AS n_near
+FROM d LEFT JOIN per USING (doc_id) LEFT JOIN cov USING (doc_id) LEFT JOIN close USING (doc_id)
 """

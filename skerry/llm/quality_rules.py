@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, materialize, read_table
+from .common import arrow_map, fresh, materialize, read_table, slices
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -89,7 +89,7 @@ def document_stats(text: str | None) -> tuple[int, int, int, int, int, dict[int,
 
 def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     uid = TaskContext.get().partitionId() << 33
-    for batch in batches:
+    for batch in slices(batches, "text"):
         out: list[list] = [[] for _ in _STATS]
         for doc_id, host, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "source", "text")), strict=True):
             *numbers, lines = document_stats(text)
@@ -118,7 +118,7 @@ def frequent_lines(stats: DataFrame, line_limit: int | None = None) -> DataFrame
 
 
 def _lines(stats: DataFrame) -> DataFrame:
-    return stats.select("uid", _host().alias("host"), _doc().alias("doc"), F.inline("lines"))
+    return stats.select("uid", "doc_id", _host().alias("host"), _doc().alias("doc"), F.inline("lines"))
 
 
 def _host() -> Column:
@@ -150,26 +150,28 @@ def judge(stats: DataFrame, line_limit: int | None = None, min_left_words: int =
 
 
 def cleaned(docs: DataFrame, line_limit: int | None = None) -> DataFrame:
-    """The documents without their frequent lines, in a column ``clean_text``."""
+    """The documents without their frequent lines, in a column ``clean_text``, which
+    replaces one of that name; a document without an id keeps its lines."""
     stats = materialize(statistics(docs), "quality")
-    drop = (
-        _lines(stats).join(frequent_lines(stats, line_limit), ["host", "hash"])
-        .groupBy("host", F.col("doc").alias("doc_id")).agg(F.collect_set("hash").alias("drop"))
+    host, own, gone_ = fresh(docs, "host", "own", "gone")
+    often = (
+        _lines(stats).where("doc_id IS NOT NULL").join(frequent_lines(stats, line_limit), ["host", "hash"])
+        .groupBy(F.col("host").alias(host), F.col("doc").alias(own)).agg(F.collect_set("hash").alias(gone_))
     )
-    hosted = docs.withColumn("host", F.coalesce(F.col("source").cast("string"), F.lit("")))
-    joined = hosted.join(drop, ["host", "doc_id"], "left").drop("host")
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, clean_text string"
-    names = docs.columns
+    names = [c for c in docs.columns if c != "clean_text"]
+    hosted = docs.select(*names, F.coalesce(F.col("source").cast("string"), F.lit("")).alias(host), F.col("doc_id").cast("long").alias(own))
+    joined = hosted.join(often, [host, own], "left")
+    schema = f"{', '.join(f'`{c}` {docs.schema[c].dataType.simpleString()}' for c in names)}, clean_text string"
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, "text"):
             out = []
-            for text, gone in zip(b.column("text").to_pylist(), b.column("drop").to_pylist(), strict=True):
+            for text, gone in zip(b.column("text").to_pylist(), b.column(gone_).to_pylist(), strict=True):
                 gone = set(gone or ())
                 out.append(text if text is None or not gone else "\n".join(x for x in text.split("\n") if not x.encode().split() or line_hash(x) not in gone))
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(out, pa.string())], [*names, "clean_text"])
 
-    return arrow_map(joined.select(*names, "drop"), strip, schema)
+    return arrow_map(joined.select(*names, gone_), strip, schema)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

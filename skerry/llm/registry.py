@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, language_id, packing, pii, quality_rules, simhash, suffix_dedup, toxicity, warc
+from . import chat_format, decontaminate, language_id, packing, pii, quality_rules, simhash, sql, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -17,4 +17,4 @@ QUERIES = {
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 
-ORACLES = {"op3_decontaminate": decontaminate.OP3_SQL}
+ORACLES = {"op3_decontaminate": decontaminate.OP3_SQL, "op4_chat_format": sql.OP4, "op6_warc": sql.OP6, "op10_quality_rules": sql.OP10}

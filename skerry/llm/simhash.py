@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, materialize, read_table, slices
+from .common import arrow_map, fresh, materialize, read_table, slices, whole_groups
 from .components import connected_components
 
 SHINGLE = 4
@@ -203,14 +203,11 @@ def links(distinct: DataFrame, n: int, distance: int = DISTANCE) -> DataFrame:
     parts = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * len(keys) // 300_000 + 1)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = list(batches)
-        if not got:
-            return
-        t = pa.Table.from_batches(got)
-        a, b = trie_links(t.column("key").to_numpy(), t.column("fp").to_numpy().view(np.uint64), distance)
-        yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+        for t in whole_groups(batches, "key"):
+            a, b = trie_links(t.column("key").to_numpy(), t.column("fp").to_numpy().view(np.uint64), distance)
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
-    return arrow_map(rows.repartition(parts, "key"), join, "a long, b long")
+    return arrow_map(rows.repartition(parts, "key").sortWithinPartitions("key"), join, "a long, b long")
 
 
 def components(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
@@ -285,19 +282,16 @@ def bucket_links(sets: list[np.ndarray], label: np.ndarray) -> list[tuple[int, i
 
 
 def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    got = list(batches)
-    if not got:
-        return
-    t = pa.Table.from_batches(got).sort_by("key")
-    key, node, root = (t.column(c).to_numpy() for c in ("key", "node", "root"))
-    cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-    a, b = [], []
-    for lo, hi in zip(cut, cut[1:], strict=False):
-        sets = [np.array(x, np.int64) for x in t.column("found").slice(lo, hi - lo).to_pylist()]
-        for i, j in bucket_links(sets, np.unique(root[lo:hi], return_inverse=True)[1]):
-            a.append(node[lo + i])
-            b.append(node[lo + j])
-    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    for t in whole_groups(batches, "key"):
+        key, node, root = (t.column(c).to_numpy() for c in ("key", "node", "root"))
+        cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+        a, b = [], []
+        for lo, hi in zip(cut, cut[1:], strict=False):
+            sets = [np.array(x, np.int64) for x in t.column("found").slice(lo, hi - lo).to_pylist()]
+            for i, j in bucket_links(sets, np.unique(root[lo:hi], return_inverse=True)[1]):
+                a.append(node[lo + i])
+                b.append(node[lo + j])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def near_components(docs: DataFrame) -> DataFrame:
@@ -329,7 +323,7 @@ def near_components(docs: DataFrame) -> DataFrame:
     still = materialize(placed.join(still, "key"), "near-open")
     if n := still.count():
         parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // 10_000 + 1)
-        more = arrow_map(still.join(sets, "node").repartition(parts, "key"), _bucket_links, "a long, b long")
+        more = arrow_map(still.join(sets, "node").repartition(parts, "key").sortWithinPartitions("key"), _bucket_links, "a long, b long")
         roots = connected_components(links.unionByName(more))
     return prints.join(roots, "node", "left").select("doc_id", "digest", F.coalesce("root", "node").alias("component"))
 
@@ -344,7 +338,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     texts of the same id are judged as documents of their own.  Where the id is
     null nothing is dropped."""
     named = near_components(docs).where("doc_id IS NOT NULL")
-    keep = named.groupBy("component").agg(F.min(F.struct("doc_id", "digest")).alias("k")).select("k.doc_id", F.col("k.digest").alias("_digest"))
-    own = docs.withColumn("_digest", _digest())
-    kept = own.join(keep, ["doc_id", "_digest"], "left_semi").dropDuplicates(["doc_id", "_digest"]).drop("_digest")
+    (digest,) = fresh(docs, "digest")
+    keep = named.groupBy("component").agg(F.min(F.struct("doc_id", "digest")).alias("k")).select("k.doc_id", F.col("k.digest").alias(digest))
+    own = docs.withColumn(digest, _digest())
+    kept = own.join(keep, ["doc_id", digest], "left_semi").dropDuplicates(["doc_id", digest]).drop(digest)
     return kept.unionByName(docs.where("doc_id IS NULL"))

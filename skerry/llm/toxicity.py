@@ -10,6 +10,10 @@ Labels are learned from a bounded sample of labelled rows (``SAMPLE``, by the
 smallest hashes of doc_id); the character model counts every document.  Neither
 labels nor lang, source or doc_id are inputs of a score.
 
+The model's letters are those of Latin-1; letters of other scripts count as one sign
+to it, so that it restores no disguise among them, while their words are features as
+they stand.
+
 Defined cases: a null text is empty and gets the score of a text without features;
 several labels of one document count as toxic if one is; rows without a label are
 not learned from; without labels of both sorts every score is 0; repeated rows
@@ -294,7 +298,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         restore, weights = Restorer(m.characters), m.weights
         words = {f for f in weights if f[-1] != "~"}
         starts = {n: {f[:-1] for f in weights if f[-1] == "~" and len(f) == n + 1} for n in PREFIXES}
-        for b in batches:
+        for b in slices(batches, "text"):
             out = []
             for text in b.column("text").to_pylist():
                 got = restore.words(text)

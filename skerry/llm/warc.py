@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -157,7 +158,9 @@ def read_record(pieces: Iterator[bytes]) -> dict:
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
+    """File system and path of a URI with its scheme, as ``scratch_dir`` gives them."""
+    local = re.fullmatch(r"file:/+(.*)", uri)
+    return (pafs.LocalFileSystem(), f"/{local[1]}") if local else pafs.FileSystem.from_uri(uri)
 
 
 def plan_records(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:

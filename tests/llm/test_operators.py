@@ -225,13 +225,22 @@ def test_decontamination_matches_brute_force(spark):
     assert decontaminate.report(docs.limit(0), bench).count() == 0
 
 
-def test_proximity_finds_shifted_terms(spark):
-    docs = frame(spark, ["alpha beta gamma", "alpha x y gamma beta", "alpha " + "z " * 40 + "gamma", "beta"])
-    windows, _ = decontaminate.benchmark_windows(spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string"))
-    chosen = decontaminate.rarest_terms(windows, decontaminate.term_counts(docs, windows))
-    index = decontaminate.postings(docs, chosen.select("term").distinct())
-    near = {r["doc"]: r["near"] for r in decontaminate.proximity(index, chosen, 3).collect()}
-    assert near[0] == 0 and 2 not in near and 3 not in near
+def test_proximity_matches_are_confirmed_by_the_whole_window(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    w = item.split()
+    texts = [
+        item, " ".join([*w[:5], "and", "so", *w[5:]]), " ".join([*w[:3], "x", *w[4:]]), f"{w[0]} " + "z " * 40 + w[9], " ".join(reversed(w)),
+        f"{w[0]} {w[1]} q q q q q q q {w[9]}", item + " " + " ".join([*w[:5], "and", *w[5:]]), None,
+    ]
+    rows = decontaminate.report(frame(spark, texts + ["filler " * 3 + " ".join(w[2:8])] * 3), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    got = {r["doc_id"]: (r["contaminated"], r["n_near"]) for r in rows}
+    assert [got[i] for i in range(8)] == [(True, 0), (False, 1), (False, 1), (False, 0), (False, 0), (False, 0), (True, 0), (False, 0)]
+
+
+def test_decontamination_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "one two three", "a", 1, "b", 2, "c"), (2, "two words", "a", 1, "b", 2, "c")], "doc_id long, text string, words string, n_hit int, doc string, candidates int, near string")
+    out = decontaminate.clean(docs, spark.createDataFrame([(1, "two words")], "item_id long, text string"))
+    assert out.columns == docs.columns and [tuple(r) for r in out.collect()] == [(1, "one two three", "a", 1, "b", 2, "c")]
 
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -294,7 +303,7 @@ def test_chat_format_round_trips(spark):
 def test_warc_round_trip_and_verification(spark, tmp_path):
     html = ["<p>a</p>", "<p>a</p>", None, "", "é" * 100_000, "<p>b</p>"]
     pages = spark.createDataFrame([(i, f"http://x/{i}", h, "extra") for i, h in enumerate(html)] + [(None, None, "<p>b</p>", "e")], "page_id long, url string, html string, payload string")
-    rows = {r["page_id"]: r for r in warc.read_archives(warc.write_archives(warc.plan_records(pages), str(tmp_path)), str(tmp_path)).collect()}
+    rows = {r["page_id"]: r for r in warc.read_archives(warc.write_archives(warc.plan_records(pages), f"file://{tmp_path}"), f"file://{tmp_path}").collect()}
     assert len(rows) == 7
     assert [(rows[i]["record_type"], rows[i]["refers_to"]) for i in (0, 1, 2, 3, 5, None)] == [("revisit", 1), ("response", None), ("revisit", 3), ("response", None), ("response", None), ("revisit", 5)]
     for i, h in enumerate(html):
