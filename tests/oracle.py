@@ -4,6 +4,7 @@ import math
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 
 DATA = Path("/root/testdata/sf0.001")
 
@@ -12,7 +13,7 @@ def rows_of(frame):
     names = sorted(frame.columns)
     out = []
     for row in frame[names].itertuples(index=False):
-        out.append(tuple("null" if v is None or (isinstance(v, float) and math.isnan(v)) else str(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in row))
+        out.append(tuple("null" if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)) else str(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in row))
     return names, sorted(out)
 
 
