@@ -4,6 +4,7 @@ nulls, empty and long texts, ties, repeated rows, empty tables, extra columns.""
 import base64
 import hashlib
 import io
+import itertools
 import random
 import re
 import zlib
@@ -440,3 +441,145 @@ def test_toxicity_restores_long_and_short_disguises():
     assert {"worthless", "moron"} <= words("x1 " + " ".join("youaresuchaworthlessstupidmoron") + ".")
     assert "moron" in words("m o r o n") and "fucking" in words("f***ing") and "ass" in words("an a$$.")
     assert words("a " * 3000 + "b")
+
+
+def test_viterbi_matches_enumeration_of_the_lattice():
+    plain = "you are such a stupid idiot and a moron said the others about fucking scum in the house of the king "
+    model = toxicity.CharacterModel(toxicity.trigram_counts([plain] * 50))
+    index = {c: i + 1 for i, c in enumerate(toxicity.LETTERS)}
+
+    def score(way):
+        s, p, q = sum(c for _, c in way), 0, 0
+        for ch in "".join(t for t, _ in way):
+            s, p, q = s + model.log[p, q, index.get(ch, 0)], q, index.get(ch, 0)
+        return s + model.log[p, q, 0]
+
+    for token in ("1d10t", "m0r0n", "$cum", "stuuupid", "s t u p 1 d", "|d!0t", "f*ck", "a1!"):
+        ways = list(itertools.product(*toxicity.lattice(token)))
+        best = max(map(score, ways))
+        found = [w for w in ways if abs(score(w) - best) < 1e-9]
+        assert toxicity.decode(token, model) in {"".join(t for t, _ in w) for w in found}
+    assert toxicity.decode("%%", model) == ""
+
+
+def test_language_decoding_matches_a_plain_version():
+    r = random.Random(6)
+    texts = [prose(i, 20).encode() + "é ñ ü".encode()[: i % 7] for i in range(12)] + [b"", b"a", "Ünï".encode()]
+    counts = np.array([[r.randint(0, 30) for _ in range(language_id.BUCKETS)] for _ in range(5)], float)
+    model = language_id.train(list("abcde"), counts)
+    best, share = language_id.decode(model, texts)
+    for i, t in enumerate(texts):
+        x = b"  " + bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in t) + b"    "
+        z, n = np.zeros(model.weights.shape[1]), 0
+        for j in range(1, len(t) + 3):
+            if x[j] != 32:
+                code = ((x[j - 1] * 0x9E3779B1 ^ x[j] * 0x85EBCA6B ^ x[j + 1] * 0xC2B2AE35) & 0xFFFFFFFF) * 0x27D4EB2F & 0xFFFFFFFF
+                z, n = z + model.weights[code >> 18].astype(float), n + 1
+        loss = [float((np.exp(-np.clip(language_id.SCALE * z / max(n, 1) * c, -20, 20)) * model.bit_weights).sum()) for c in model.codes]
+        assert min(loss) == pytest.approx(loss[best[i]])
+        assert share[i] == pytest.approx((1 / min(loss)) / sum(1 / x for x in loss))
+
+
+def test_trees_as_columns_match_their_numbers(spark):
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 12, (400, len(pii.FEATURES))).astype(float)
+    x[:, 0] = rng.integers(0, 5, 400)
+    model = pii.fit_trees(x, (x[:, 3] + x[:, 5] > 11).astype(float))
+    names = list(pii.FEATURES)
+    rows = spark.createDataFrame([(i, *map(int, row)) for i, row in enumerate(x[:60])], "i int, " + ", ".join(f"{n} int" for n in names))
+    from pyspark.sql import functions as F
+
+    got = [r["z"] for r in rows.select("i", F.struct(*names).alias("c")).select("i", model.column(F.col("c")).alias("z")).orderBy("i").collect()]
+    assert np.allclose(got, model.raw(x[:60]))
+
+
+def test_running_sums_over_blocks_match_plain_ones(spark):
+    from pyspark.sql import functions as F
+
+    r = random.Random(9)
+    values = [[r.randint(0, 9) for _ in range(n)] for n in (0, 1, 2, 127, 128, 129, 500, 20_000)]
+    rows = spark.createDataFrame([(v,) for v in values], "v array<long>")
+    out = rows.select(pii.running(F.col("v"), 0, lambda a, b: a + b).alias("s"), pii.running(F.col("v"), 0, F.greatest).alias("m")).collect()
+    for v, row in zip(values, out, strict=True):
+        assert row["s"] == [0, *itertools.accumulate(v)][: len(v)]
+        assert row["m"] == [0, *itertools.accumulate(v, max)][: len(v)]
+
+
+def test_pii_spans_beyond_the_base(spark):
+    r = random.Random(5)
+    key = lambda: "".join(r.choice("0123456789abcdef") for _ in range(40))
+    texts = [f'so token = "{key()}" is here, mail a{i}@b{i}.org' for i in range(60)] + [f"commit {key()} and order 20240101{i:06d}77" for i in range(60)]
+    new = [f'my api_key: "{key()}"', f"commit {key()}", "plain words only", None, f'secret = "{key()}" ' * 400]
+    docs = frame(spark, [*texts, *new, *new])
+    model = pii.fit(docs)
+    rows = {x["doc_id"]: x for x in pii.tagged(docs, model).collect()}
+    kinds = [[s["kind"] for s in rows[120 + i]["pii_spans"]] for i in range(10)]
+    assert kinds == [["secret"], [], [], [], ["secret"] * 400] * 2
+    assert all([s["kind"] for s in rows[i]["pii_spans"]] == ["secret", "email"] for i in range(60))
+    out = {x["doc_id"]: x["text"] for x in pii.redacted(docs, model).collect()}
+    assert out[124] == 'secret = "[SECRET]" ' * 400 and out[122] == new[2] and out[123] is None
+    odd = docs.limit(3).withColumnsRenamed({"spans": "new", "uid": "base", "source": "pii_base"})
+    assert pii.redacted(odd, model).schema == odd.schema
+    iban = "x GB82 WEST 1234 5698 7654 32 y GB83 WEST 1234 5698 7654 32"
+    from pyspark.sql import functions as F
+
+    got = spark.createDataFrame([(iban,)], "t string").select(F.transform(pii.located(F.col("t"), pii.GENERATORS["iban"], "."), lambda m: pii._checked(pii.IBAN, m["match"], m["match"])).alias("ok")).first()["ok"]
+    assert got == [1, 0]
+
+
+def test_overlapping_and_dense_spans_are_masked_whole(spark):
+    texts = ["1.2.3.4@x.example +1 555 555 5555", "a@b.co " * 700, "é 1.2.3.4 " * 300, ""]
+    out = [x["text"] for x in pii.redacted(frame(spark, texts), None).orderBy("doc_id").collect()]
+    assert out[0] in ("[EMAIL][IP] [PHONE]", "[IP][EMAIL] [PHONE]") and out[1] == "[EMAIL] " * 700 and out[2] == "é [IP] " * 300 and out[3] == ""
+
+
+def test_long_texts_are_encoded_as_a_whole():
+    enc = chat_format.encoding()
+    for text in ("ab  cd\\n\\n  x " * 900, "a" * 5000, " " * 3000 + "x", "naïve 😀 don't " * 300):
+        assert chat_format.encode_long(enc, text, 100) == enc.encode_ordinary(text)
+
+
+def test_empty_tables_and_repeated_rows(spark):
+    none, long = frame(spark, []), prose(3, 60_000)
+    docs = frame(spark, [prose(1, 60), prose(1, 60), None, "", long, long], [1, 1, 2, 2, 3, 3])
+    labels = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    scores = toxicity.scored(docs, model)
+    assert scores.count() == 6 and scores.select("doc_id", "toxicity").distinct().count() == 3
+    assert toxicity.scored(none, model).count() == toxicity.scored(none, toxicity.fit(none, labels)).count() == 0
+    languages = language_id.fit(docs)
+    found = language_id.predict(docs, languages)
+    assert found.count() == 6 and found.select("doc_id", "lang_pred", "lang_score").distinct().count() == 3
+    assert language_id.predict(none, languages).count() == 0 and language_id.fit(none) is None
+    assert pii.tagged(none, None).count() == pii.redacted(none, pii.fit(none)).count() == 0
+    assert pii.tagged(docs, None).count() == 6
+    talks = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat_format.digest_conversations(chat_format.format_turns(talks)).count() == 0
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.plan_records(pages).count() == 0
+    again = warc.plan_records(spark.createDataFrame([(1, "u", "x"), (1, "u", "x"), (0, "u", "x")], "page_id long, url string, html string"))
+    assert sorted((r["page_id"], r["refers_to"], r["revisit"]) for r in again.collect()) == [(0, 1, True), (1, None, False), (1, None, False)]
+
+
+CONTRACTS = {
+    "op1_best_fit_packing": "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint",
+    "op2_suffix_dedup": "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string",
+    "op3_decontaminate": "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean",
+    "op4_chat_format": "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint",
+    "op5_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op6_warc": "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint",
+    "op7_pii": "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string",
+    "op8_simhash": "doc_id bigint, fingerprint string, component_id bigint",
+    "op9_language_id": "doc_id bigint, held_out boolean, lang_pred string, score double",
+    "op10_quality_rules": "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean",
+}
+
+
+@pytest.mark.parametrize("name", CONTRACTS)
+def test_queries_return_what_their_contracts_name(spark, name):
+    from skerry.llm.registry import QUERIES
+
+    rows = QUERIES[name](spark, "/root/testdata/sf0.001")
+    want = [tuple(c.split(" ")) for c in CONTRACTS[name].split(", ")]
+    assert rows.dtypes[: len(want)] == want
+    assert rows.count() >= 1

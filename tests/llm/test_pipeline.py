@@ -1,26 +1,107 @@
+import re
 from pathlib import Path
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from skerry.llm import registry
+from skerry.llm import language_id, packing, pii, registry
+from tests.llm.test_operators import decontamination_brute, pii_brute
 from tests.oracle import compare
 
 DATA = Path("/root/testdata/sf0.001")
 
 
-def test_stages_keep_columns_and_run(spark):
+def near_copies_brute(texts):
+    """Indices that stay: the first of each component of five-word shingles with a Jaccard similarity of 0.8."""
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        sets.append({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if root[i] != root[j] and 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                x, y = root[i], root[j]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    return sorted(set(root))
+
+
+def masked_brute(text):
+    out, at = [], 0
+    for start, _, end, kind in pii_brute(text):
+        out += [text[at:start], f"[{kind.upper()}]"]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
+
+def test_stages_match_plain_versions(spark):
+    docs = spark.read.parquet(str(DATA / "documents.parquet"))
+    bench = spark.read.parquet(str(DATA / "benchmark.parquet")).toPandas()
+    before, columns, stages = docs.orderBy("doc_id").toPandas(), docs.columns, dict(corpus_pipeline.STAGES)
+
+    model = language_id.fit(docs.where(~language_id.held_out()))
+    best, share = language_id.decode(model, [(t or "").encode() for t in before.text])
+    seen = np.array([bool(re.search(r"[^\W\d_]", t or "")) for t in before.text])
+    want = before[seen & (share >= language_id.AMBIGUOUS)]
+    docs = stages["language_id"](spark, docs, str(DATA))
+    now = docs.orderBy("doc_id").toPandas()
+    assert docs.columns == columns and now.doc_id.tolist() == want.doc_id.tolist()
+    assert now.lang.tolist() == [model.languages[i] for i in best[want.index]] and now.text.tolist() == want.text.tolist()
+
+    want = now.iloc[near_copies_brute(now.text.tolist())]
+    docs = stages["simhash_near_dedup"](spark, docs, str(DATA))
+    now = docs.orderBy("doc_id").toPandas()
+    assert docs.columns == columns and now.equals(want.reset_index(drop=True)) and len(now) < len(before)
+
+    found = decontamination_brute(now.text.tolist(), list(zip(bench.item_id, bench.text, strict=True)))
+    want = now[[not f[-1] for f in found]]
+    docs = stages["benchmark_decontamination"](spark, docs, str(DATA))
+    now = docs.orderBy("doc_id").toPandas()
+    assert docs.columns == columns and now.equals(want.reset_index(drop=True))
+
+    spans = pii.tagged(docs, pii.fit(docs)).orderBy("doc_id").toPandas()
+    docs = stages["pii"](spark, docs, str(DATA))
+    after = docs.orderBy("doc_id").toPandas()
+    assert docs.columns == columns and after.doc_id.tolist() == now.doc_id.tolist()
+    base_only = [len(a) == len(b) for a, b in zip(spans.pii_base, spans.pii_spans, strict=True)]
+    assert sum(base_only) > 0.9 * len(now)
+    for old, new, plain in zip(now.text, after.text, base_only, strict=True):
+        assert not plain or new == masked_brute(old)
+    assert (after.n_chars == after.text.str.len()).all()
+
+    rows = stages["best_fit_packing"](spark, docs, str(DATA)).toPandas()
+    tokens = packing.tokenizer().tokenizer
+    for doc, own in rows.sort_values("piece").groupby("doc_id"):
+        ids = tokens.encode(after.text[after.doc_id == doc].iloc[0], add_special_tokens=False).ids
+        assert b"".join(map(bytes, own.ids)) == np.array([*ids, packing.END_ID], "<u4").tobytes()
+    assert set(rows.doc_id) == set(after.doc_id)
+    for _, own in rows.sort_values("offset").groupby("sequence_id"):
+        assert own.offset.tolist() == [0, *own.length.cumsum().tolist()[:-1]] and own.length.sum() <= packing.CAPACITY
+
+
+def test_run_applies_the_stages_in_order(spark):
     docs = spark.read.parquet(str(DATA / "documents.parquet"))
-    columns, before = docs.columns, docs.count()
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, str(DATA))
-        assert docs.columns == columns
     after = {r["doc_id"] for r in docs.select("doc_id").collect()}
-    assert 0 < len(after) < before
     rows = corpus_pipeline.run(spark, str(DATA))
     assert {r["doc_id"] for r in rows.select("doc_id").distinct().collect()} == after
 
 
+def test_stages_bear_awkward_rows(spark):
+    kind = "doc_id long, text string, lang string, source string, n_chars long, spans string, words string"
+    text = "the house and the others of the king said that it was so " * 8
+    rows = [(1, text, "en", "s", 5, "x", "y"), (1, text, "en", "s", 5, "x", "y"), (2, None, "en", "s", None, "x", "y"), (None, text + "mail a@b.co", None, None, 3, "x", "y"), (3, "", "de", "s", 0, "x", "y")]
+    for docs in (spark.createDataFrame(rows, kind), spark.createDataFrame([], kind)):
+        columns = docs.columns
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, str(DATA))
+            assert docs.columns == columns
+        n = docs.count()
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, str(DATA)).count() == n <= 3
+
+
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_matches_sql(spark, name):
     compare(spark, registry.QUERIES[name], registry.ORACLES[name])
