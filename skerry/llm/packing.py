@@ -42,8 +42,8 @@ VOCABULARY = "word_bpe_49k.json"
 #: Lengths from a share of the capacity on are large; the best of these shares is taken.
 LARGE_SHARES = (0.5, 0.34, 0.2)
 GROUPS = 24
-#: Rows of a rank bucket.
-BUCKET_ROWS = 50_000
+#: Rows of a rank bucket, about.
+BUCKET_ROWS = 2_000
 
 #: Texts of these characters alone are lower-cased and split here; what Unicode
 #: versions or normal forms could treat in another way goes to the tokenizer whole.
@@ -322,16 +322,17 @@ def _best_fit(spaces: list[list], left: dict[int, int], capacity: int) -> None:
         spaces.extend(k for k in kinds if k[1])
 
 
-def ranked(rows: DataFrame, n: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """``rows`` (materialised) with ``rank``: 0, 1, ... within each length."""
-    buckets = max(1, n // bucket_rows)
-    order = ["doc_id", "piece", "ids_crc32"]
-    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64(*order, "uid"), F.lit(buckets)))
+def ranked(rows: DataFrame, histogram: dict[int, int], capacity: int = CAPACITY, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """``rows`` (materialised, with a ``uid``) and their ``rank``: 0, 1, ... within
+    each length.  A length has as many buckets as its count asks for."""
+    order = ["doc_id", "piece", "ids_crc32", "uid"]
+    buckets = F.lit([-(-histogram.get(n, 0) // bucket_rows) or 1 for n in range(capacity + 1)])
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64(*order), F.element_at(buckets, F.col("length").cast("int") + 1)))
     counts = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    own = Window.partitionBy("length", "bucket").orderBy(*order, "uid")
-    return dealt.withColumn("own", F.row_number().over(own) - 1).join(first, ["length", "bucket"]).withColumn("rank", F.col("first") + F.col("own")).drop("bucket", "own", "first", "uid")
+    own = Window.partitionBy("length", "bucket").orderBy(*order)
+    return dealt.withColumn("own", F.row_number().over(own) - 1).join(first, ["length", "bucket"]).withColumn("rank", F.col("first") + F.col("own")).drop("bucket", "own", "first")
 
 
 def placed(rows: DataFrame, made: Plan) -> DataFrame:
@@ -354,11 +355,13 @@ def placed(rows: DataFrame, made: Plan) -> DataFrame:
 
 
 def packed(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, keep_ids: bool = False) -> DataFrame:
-    """One row a piece with its sequence and offset; ``keep_ids`` keeps the tokens."""
-    cut = pieces(docs, capacity, vocabulary).withColumn("ids_crc32", F.crc32("ids"))
-    cut = materialize(cut.withColumn("uid", F.monotonically_increasing_id()) if keep_ids else cut.drop("ids").withColumn("uid", F.monotonically_increasing_id()), "pieces")
+    """One row a piece with its sequence and offset; ``keep_ids`` keeps the tokens.
+    Ranks and places are given to rows without tokens, which join these at the end."""
+    cut = pieces(docs, capacity, vocabulary).withColumn("ids_crc32", F.crc32("ids")).withColumn("uid", F.monotonically_increasing_id())
+    cut = materialize(cut if keep_ids else cut.drop("ids"), "pieces")
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
-    return placed(ranked(cut, sum(histogram.values())), plan(histogram, capacity)).drop("rank")
+    rows = placed(ranked(cut.drop("ids"), histogram, capacity), plan(histogram, capacity)).drop("rank")
+    return (rows.join(cut.select("uid", "ids"), "uid") if keep_ids else rows).drop("uid")
 
 
 def sequences(rows: DataFrame) -> DataFrame:
