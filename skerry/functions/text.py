@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 #: Letters, digits and underscore of any script, and the apostrophe.
 WORD = r"[\p{L}\p{N}_']+"
 BETWEEN = r"[^\p{L}\p{N}_']+"
-_ENDS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+#: All that counts as blank; none lies beyond U+3000.
+BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
 def normalize(value: Column) -> Column:
     """Stripped of Unicode blanks, lower case; null as empty."""
-    return F.coalesce(F.lower(F.regexp_replace(value.cast("string"), _ENDS, "")), F.lit(""))
+    return F.coalesce(F.lower(F.btrim(value.cast("string"), F.lit(BLANKS))), F.lit(""))
 
 
 def collapse(value: Column) -> Column:

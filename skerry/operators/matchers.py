@@ -57,11 +57,13 @@ def _semantic(query: str, value: Column) -> Column:
     return score(value)
 
 
-def _kernel(fn, query: str, value: Column) -> Column:
+def _kernel(many: Callable[[str, list[str]], np.ndarray], query: str, value: Column) -> Column:
+    """``many`` of the query and a column, each distinct value of a batch once."""
+
     @F.pandas_udf("double")
     def score(values: pd.Series) -> pd.Series:
-        known = {v: fn(query, v) for v in values.unique()}
-        return values.map(known).astype("float64")
+        at, distinct = pd.factorize(values, use_na_sentinel=False)
+        return pd.Series(many(query, distinct.tolist())[at], dtype="float64")
 
     return score(value)
 
@@ -93,7 +95,7 @@ def atomic(kind: MatchType, query: str, value: Column) -> Column:
     test = {MatchType.EXACT: value == query, MatchType.CONTAINS: value.contains(query), MatchType.PARTIAL: value.startswith(query) | value.endswith(query)}
     if kind in test:
         return F.when((value != "") & test[kind], 1.0).otherwise(0.0)
-    return _kernel(kernels.fuzzy if kind == MatchType.FUZZY else kernels.phonetic, query, value)
+    return _kernel(kernels.fuzzy_many if kind == MatchType.FUZZY else kernels.phonetic_many, query, value)
 
 
 def parts(kind: MatchType, query: str, value: Column, weights: dict | None = None) -> dict[MatchType, Column]:

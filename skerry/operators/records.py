@@ -9,6 +9,7 @@ from ..functions.text import normalize
 from ..plans.query import FieldConfig, MatchType, Q
 from ..plans.query import normalize as normalize_query
 from . import matchers
+from .layout import spread
 
 MAGIC_THRESHOLD = 0.35
 
@@ -25,6 +26,16 @@ def score_query(df: DataFrame, q: Q, query: str) -> Column:
     return (F.least if q.op == "AND" else F.greatest)(*scores)
 
 
+def _config(field: str | FieldConfig) -> FieldConfig:
+    return field if isinstance(field, FieldConfig) else FieldConfig(field)
+
+
+def _needs_python(q: Q) -> bool:
+    if q.op != "LEAF":
+        return any(map(_needs_python, q.children))
+    return matchers.has_python(q.composite_weights) if q.match == MatchType.COMPOSITE else q.match not in matchers.NATIVE
+
+
 def _leaves(q: Q) -> dict[str, Q]:
     """The leaf that explains each field; a later one wins."""
     return {q.field: q} if q.op == "LEAF" else {k: v for c in q.children for k, v in _leaves(c).items()}
@@ -52,10 +63,13 @@ def search(df: DataFrame, query: str, *, fields: list[str | FieldConfig] | None
     text = normalize_query(query)
     if not text:
         return df.withColumn("score", F.lit(0.0)).limit(0)
+    leaves = [where] if where is not None else [Q(f.name, f.match, composite_weights=f.composite_weights) for f in map(_config, fields)]
+    if any(_needs_python(q) for q in leaves):
+        df = spread(df)
     if where is not None:
         rows = df.withColumn("score", score_query(df, where, text))
     else:
-        configs = [f if isinstance(f, FieldConfig) else FieldConfig(f) for f in fields]
+        configs = list(map(_config, fields))
         total = sum(f.weight for f in configs)
         if not total:
             return df.withColumn("score", F.lit(0.0)).limit(0)

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from ..functions.text import normalize, query_words, tag_value, tokens
 from ..plans.query import FileQ, MatchType
 from . import matchers
+from .layout import spread
 
 # Fixed values.
 THRESHOLD, TRANSCRIPT_THRESHOLD, PREVIEW_THRESHOLD = 0.35, 0.25, 0.18
@@ -22,17 +23,23 @@ PREVIEW_KINDS = ("ocr", "transcript")
 def lines(df: DataFrame, file_id: str, text: str, kind: str = "line") -> DataFrame:
     """Units of a text column, split at universal newlines, numbered from 1."""
     parts = F.posexplode(F.split(F.col(text), "\r\n|\r|\n")).alias("unit_ord", "text")
-    rows = df.select(F.col(file_id).alias("file_id"), parts)
+    rows = spread(df.select(F.col(file_id).alias("file_id"), F.col(text))).select("file_id", parts)
     return rows.select("file_id", "unit_ord", (F.col("unit_ord") + 1).alias("line_number"), "text", F.lit(kind).alias("location_kind"))
 
 
-def term_score(term: str, text: Column, kind: Column, weights: dict | None, rescue_below: float | None = None) -> Column:
+def unit_body(text: Column, kind: Column) -> Column:
+    """What is scored of a unit: its text, of a tag without the label."""
+    return normalize(F.when(kind == "tag", tag_value(text)).otherwise(text))
+
+
+def term_score(term: str, text: Column, kind: Column, weights: dict | None, rescue_below: float | None = None, body: Column | None = None) -> Column:
     """Score of one unit for one term.  Several query words: each needs a token, the
     weakest counts.  One word: the best token for tags, OCR and transcripts, else
     the whole line; with an encoder, a line near in meaning whose score is under
-    ``rescue_below`` gets its cosine.  Weights of native matchers alone stay in the JVM."""
+    ``rescue_below`` gets its cosine.  Weights of native matchers alone stay in the JVM.
+    body: a column of ``unit_body``, where there is one."""
     words = list(dict.fromkeys(query_words(term)))
-    body = normalize(F.when(kind == "tag", tag_value(text)).otherwise(text))
+    body = unit_body(text, kind) if body is None else body
     if len(query_words(term)) >= 2:
         best = [matchers.best_token(w, tokens(body), weights, among_words=True) for w in words]
         return F.least(*best) if len(best) > 1 else best[0]
@@ -56,9 +63,11 @@ def combine(q: FileQ, columns: dict[str, Column]) -> Column:
 
 def score_units(units: DataFrame, q: FileQ, weights: dict | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """``units`` with term_0 ... and ``score``; blank units are dropped."""
-    scored = units.where(normalize(F.col("text")) != "")
+    text, kind = F.col("text"), F.col("location_kind")
+    scored = units.withColumn("_body", unit_body(text, kind))  # a column of its own: made once for all uses
+    scored = scored.where((F.col("_body") != "") | (kind == "tag") & (normalize(text) != ""))
     names = {t: f"term_{i}" for i, t in enumerate(q.terms())}
-    scored = scored.withColumns({n: term_score(t, F.col("text"), F.col("location_kind"), weights, threshold) for t, n in names.items()})
+    scored = scored.withColumns({n: term_score(t, text, kind, weights, threshold, F.col("_body")) for t, n in names.items()}).drop("_body")
     return scored.withColumn("score", combine(q, {t: F.col(n) for t, n in names.items()}))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .functions import kernels
 from .functions.text import clock, collapse, normalize, percent, tokens
 from .operators import matchers, output, records, units
+from .operators.layout import spread
 from .plans.query import FieldConfig, MatchType, Q, parse_file_query, query_terms
 from .sources.files import list_files
 
@@ -80,10 +81,10 @@ def f_weighted(spark, d):
     return records.search(_t(spark, d, "part"), "a", fields=fields, threshold=0.5).select("p_partkey", F.round("score", 6).alias("score"))
 
 
-@query("SELECT p_partkey, 1.0::DOUBLE AS score FROM part WHERE contains(lower(p_type), 'e') AND contains(lower(p_brand), 'e')")
+@query("SELECT p_partkey, 1.0::DOUBLE AS score FROM part WHERE contains(lower(p_type), 'a') AND contains(lower(p_name), 'a')")
 def f_require_all(spark, d):
-    fields = [FieldConfig("p_type", MatchType.CONTAINS), FieldConfig("p_brand", MatchType.CONTAINS)]
-    return records.search(_t(spark, d, "part"), "e", fields=fields, threshold=0.5, require_all=True).select("p_partkey", "score")
+    fields = [FieldConfig("p_type", MatchType.CONTAINS), FieldConfig("p_name", MatchType.CONTAINS)]
+    return records.search(_t(spark, d, "part"), "a", fields=fields, threshold=0.5, require_all=True).select("p_partkey", "score")
 
 
 @query(f"""SELECT p_partkey, round({_native_sql('p_type', 'large')}, 6)::DOUBLE AS score FROM part
@@ -111,7 +112,7 @@ def u_lines(spark, d):
 
 @query(r"SELECT doc_id, CAST(len(list_filter(regexp_extract_all(text, '[\p{L}\p{N}_'']+'), lambda t: length(t) >= 3 AND regexp_matches(t, '\p{L}'))) AS INT) AS n_tokens FROM documents")
 def u_tokens(spark, d):
-    return _t(spark, d, "documents").select("doc_id", F.size(tokens(F.col("text"))).alias("n_tokens"))
+    return spread(_t(spark, d, "documents")).select("doc_id", F.size(tokens(F.col("text"))).alias("n_tokens"))
 
 
 _BEST_SQL = f"(0.2 * CAST(lower(trim(text)) = 'the' AS INT) + 0.5 * CAST(contains(lower(trim(text)), 'the') AS INT) + 0.3 * CAST(starts_with(lower(trim(text)), 'the') OR ends_with(lower(trim(text)), 'the') AS INT))"
@@ -137,7 +138,7 @@ def file_and_or(spark, d):
 
 @query(r"""SELECT conv_id, turn, 1.0::DOUBLE AS score FROM conversations WHERE len(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_'']+'), lambda t: length(t) >= 3 AND contains(t, 'than'))) > 0""")
 def u_best_token(spark, d):
-    rows = _t(spark, d, "conversations").select("conv_id", "turn", F.lit("transcript").alias("kind"), "text")
+    rows = spread(_t(spark, d, "conversations")).select("conv_id", "turn", F.lit("transcript").alias("kind"), "text")
     out = rows.withColumn("score", units.term_score("than", F.col("text"), F.col("kind"), {"contains": 1.0}))
     return out.where("score > 0").select("conv_id", "turn", "score")
 
@@ -147,7 +148,7 @@ _HAS = "len(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_'']+'), l
 
 @query(f"SELECT doc_id, 1.0::DOUBLE AS score FROM documents WHERE {_HAS % 'worth'} AND {_HAS % 'idiot'}")
 def u_multiword(spark, d):
-    rows = _t(spark, d, "documents")
+    rows = spread(_t(spark, d, "documents"))
     out = rows.withColumn("score", units.term_score("worth idiot", F.col("text"), F.lit("line"), {"contains": 1.0}))
     return out.where("score > 0").select("doc_id", "score")
 
@@ -182,7 +183,7 @@ _LCS_SQL = """list_reduce(list_transform(string_split('widge', ''), lambda c: [u
 @query(f"SELECT p_partkey, round(200.0 * {_LCS_SQL} / (5 + length(v)), 4)::DOUBLE AS ratio FROM (SELECT p_partkey, lower(p_name) AS v FROM part)")
 def k_ratio(spark, d):
     rows = _t(spark, d, "part").withColumn("v", normalize(F.col("p_name")))
-    return rows.select("p_partkey", F.round(matchers._kernel(kernels.ratio, "widge", F.col("v")), 4).alias("ratio"))
+    return rows.select("p_partkey", F.round(matchers._kernel(kernels.ratio_many, "widge", F.col("v")), 4).alias("ratio"))
 
 
 @query()
@@ -208,7 +209,7 @@ FROM (SELECT doc_id, f, instr(lower(f), 'the') AS hit FROM (SELECT doc_id, trim(
 
 @query(_PREVIEW_SQL)
 def k_preview(spark, d):
-    return _t(spark, d, "documents").select("doc_id", output.preview(F.col("text"), query_terms(parse_file_query("the"))).alias("preview"))
+    return spread(_t(spark, d, "documents")).select("doc_id", output.preview(F.col("text"), query_terms(parse_file_query("the"))).alias("preview"))
 
 
 @query("""SELECT c_custkey, CASE WHEN c_nationkey % 3 = 0 THEN 'transcript at 00:' || lpad(CAST(c_nationkey AS VARCHAR), 2, '0')
