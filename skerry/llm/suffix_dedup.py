@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import CHUNK_BYTES, arrow_map, materialize, partitions, read_table, slices
+from .common import arrow_map, materialize, partitions, read_table, slices, whole_groups
 
 LENGTH = 100
 GRAM = 21
@@ -48,6 +48,8 @@ SHALLOW = 24
 #: An anchor with more runs than this is split by what stands around it.
 HOT = 1_000
 BLOCK = 20
+#: Bytes of text whose runs are compared within a batch.
+SLICE = 4_000_000
 NO_ID = -(1 << 63)
 _B1 = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -109,14 +111,15 @@ def anchored(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tupl
     return text, start - base, stop - base, at - base, h[at]
 
 
-ROWS = "kind byte, anchor long, doc long, sig long, start long, stop long, at long"
-_NAMES = ["kind", "anchor", "doc", "sig", "start", "stop", "at"]
-SPANS = "doc long, sig long, start long, stop long"
+#: place of a run (kind 0): the anchor's place, how far before it the first window starts,
+#: and how many more there are, 8 bits each; of a span (kind 1): start and end, 32 bits each.
+ROWS = "kind byte, anchor long, doc long, sig int, place long"
+SPANS = "doc long, sig int, start long, stop long"
 
 
-def _batch(kind: int, *columns) -> pa.RecordBatch:
-    cols = [np.full(len(columns[0]), kind, np.int8), *(np.asarray(x, np.int64) for x in columns)]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], _NAMES)
+def _batch(kind: int, anchor: np.ndarray, doc: np.ndarray, sig: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    columns = [np.full(len(doc), kind, np.int8), anchor, doc, sig, place]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "anchor", "doc", "sig", "place"])
 
 
 def merged(doc: np.ndarray, sig: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -145,10 +148,10 @@ def _settled_runs(data: bytes, place: np.ndarray, bucket: np.ndarray, doc: np.nd
     """Indices of the runs that repeat an earlier one whole, and of those that stay.
     bucket: equal for runs that have their anchor at one place and are of one length.
     Runs are equal if their first windows are, and their last ones."""
-    first = np.lexsort((sig, start, doc))
-    order, equal = deep_shallow_sort(data, place[first], bucket[first], length)
+    first, words = np.lexsort((sig, start, doc)), words_of(data)
+    order, equal = deep_shallow_sort(data, place[first], bucket[first], length, words=words)
     order = first[order]
-    again, equal = deep_shallow_sort(data, (place + stop - start)[order], np.cumsum(~equal), length)
+    again, equal = deep_shallow_sort(data, (place + stop - start)[order], np.cumsum(~equal), length, words=words)
     order = order[again]
     later, copy = _later(~equal, doc[order], sig[order], start[order])
     return order[later], order[~later & ~copy]
@@ -165,7 +168,7 @@ def _numbered(*keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def segments(texts: list[bytes], length: int, limit: int = CHUNK_BYTES) -> Iterator[list[tuple[int, int, bytes]]]:
+def segments(texts: list[bytes], length: int, limit: int = SLICE) -> Iterator[list[tuple[int, int, bytes]]]:
     """Lists of (text's index, first byte, bytes), each of about ``limit`` bytes in
     all.  Long texts are cut so that each window is in one segment."""
     held, size = [], 0
@@ -182,7 +185,7 @@ def segments(texts: list[bytes], length: int, limit: int = CHUNK_BYTES) -> Itera
 
 def _runs(length: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE):
             docs, sigs = b.column("doc").to_numpy(), b.column("sig").to_numpy()
             for held in segments([t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()], length):
                 yield from _runs_of(held, docs, sigs, length)
@@ -204,39 +207,25 @@ def _runs_of(held: list[tuple[int, int, bytes]], docs: np.ndarray, sigs: np.ndar
     some = np.flatnonzero(several)
     gone, stay = _settled_runs(b"".join([t for *_, t in held]), place[some], bucket[some], doc[some], sig[some], start[some], stop[some], length)
     gone, stay = some[gone], np.concatenate([np.flatnonzero(~several), some[stay]])
-    yield _batch(0, anchor[stay], doc[stay], sig[stay], start[stay], stop[stay], at[stay])
+    yield _batch(0, anchor[stay], doc[stay], sig[stay], (at << 16 | (at - start) << 8 | stop - start)[stay])
     d, g, s, e = merged(doc[gone], sig[gone], start[gone], stop[gone] + length)
-    yield _batch(1, d * 0x9E3779B1 % 1000003, d, g, s, e, np.zeros(len(d)))
-
-
-def _whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Tables of sorted rows in which no group of ``key`` is cut."""
-    held: list[pa.RecordBatch] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        k = b.column(key).to_numpy()
-        cut = int(np.searchsorted(k, k[-1]))
-        if cut or (held and held[-1].column(key)[-1].as_py() != k[0]):
-            yield pa.Table.from_batches([*held, b.slice(0, cut)])
-            held = []
-        held.append(b.slice(cut))
-    if held:
-        yield pa.Table.from_batches(held)
+    yield _batch(1, d * 0x9E3779B1 % 1000003, d, g, s << 32 | e)
 
 
 # -- deep-shallow suffix sorting ------------------------------------------------------
 
 
-def _words(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Eight bytes from each place on, as big-endian numbers."""
-    out = np.zeros(len(at), np.uint64)
+def words_of(data: bytes) -> np.ndarray:
+    """Eight bytes from each place of ``data`` on, as big-endian numbers; zeros behind its end."""
+    padded = data + b"\0" * 16
+    out = np.empty(len(data) + 8, np.uint64)
     for i in range(8):
-        out = out << np.uint64(8) | data[at + i].astype(np.uint64)
+        own = out[i::8]
+        own[:] = np.frombuffer(padded, ">u8", len(own), i)
     return out
 
 
-def multikey_quicksort(data: np.ndarray, starts: np.ndarray, bucket: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+def multikey_quicksort(words: np.ndarray, starts: np.ndarray, bucket: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of suffixes within their buckets up to ``depth`` bytes, and group
     numbers: suffixes that agree so far share one.
 
@@ -257,7 +246,7 @@ def multikey_quicksort(data: np.ndarray, starts: np.ndarray, bucket: np.ndarray,
         group = np.repeat(np.arange(len(cut)), size)
         begin = np.concatenate([[0], np.cumsum(size)[:-1]])
         place = cut[group] + np.arange(len(group)) - begin[group]
-        key = _words(data, starts[order[place]] + deep[cut][group])
+        key = words[starts[order[place]] + deep[cut][group]]
         pivot = key[begin + size // 2][group]
         side = (key > pivot).astype(np.int64) - (key < pivot)
         target = np.empty(len(group), np.int64)
@@ -333,20 +322,22 @@ def blind_trie_order(data: bytes, starts: list[int], depth: int, limit: int) ->
     return order, common_with_last
 
 
-def deep_shallow_sort(data: bytes, starts: np.ndarray, bucket: np.ndarray, limit: int, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
+def deep_shallow_sort(data: bytes, starts: np.ndarray, bucket: np.ndarray, limit: int, shallow: int = SHALLOW, words: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Order of suffixes within their buckets up to ``limit`` bytes, and whether each
-    equals the one before it.  Equal suffixes keep their given order."""
-    view = np.frombuffer(data + b"\0" * 8, np.uint8)
-    order, group = multikey_quicksort(view, starts, bucket, min(shallow, limit // 8 * 8))
+    equals the one before it.  Equal suffixes keep their given order.  words: those of
+    ``data``, if they are there already."""
+    words = words_of(data) if words is None else words
+    shallow = min(shallow, limit // 8 * 8)
+    order, group = multikey_quicksort(words, starts, bucket, shallow)
     equal = np.concatenate([[False], group[1:] == group[:-1]]) if len(group) else np.zeros(0, bool)
     # groups whose suffixes all go on alike need no trie
     alike = equal.copy()
     at = np.flatnonzero(alike)
-    for d in range(0, limit, 8):
+    for d in range(shallow, limit, 8):
         if not len(at):
             break
         d = min(d, limit - 8)
-        differ = _words(view, starts[order[at]] + d) != _words(view, starts[order[at - 1]] + d)
+        differ = words[starts[order[at]] + d] != words[starts[order[at - 1]] + d]
         alike[at[differ]] = False
         at = at[~differ]
     broken = np.unique(group[equal & ~alike])
@@ -355,7 +346,7 @@ def deep_shallow_sort(data: bytes, starts: np.ndarray, bucket: np.ndarray, limit
         lo, hi = np.searchsorted(group, broken), np.searchsorted(group, broken, side="right")
         for a, b in zip(lo.tolist(), hi.tolist(), strict=True):
             members = order[a:b]
-            sub, common = blind_trie_order(data, starts[members].tolist(), min(shallow, limit // 8 * 8), limit)
+            sub, common = blind_trie_order(data, starts[members].tolist(), shallow, limit)
             order[a:b] = members[sub]
             equal[a:b] = np.array(common) >= limit
             equal[a] = False
@@ -364,8 +355,11 @@ def deep_shallow_sort(data: bytes, starts: np.ndarray, bucket: np.ndarray, limit
 
 def _sorted_windows(length: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _whole_groups(batches, "anchor"):
-            anchor, doc, sig, start, stop, at = (t.column(c).to_numpy() for c in ("anchor", "doc", "sig", "start", "stop", "at"))
+        for t in whole_groups(batches, "anchor"):
+            anchor, doc, sig, place = (t.column(c).to_numpy() for c in ("anchor", "doc", "sig", "place"))
+            at = place >> 16
+            start = at - (place >> 8 & 255)
+            stop = start + (place & 255)
             data = b"".join(t.column("bytes").to_pylist())
             offset = np.concatenate([[0], np.cumsum(stop - start + length)[:-1]])
             gone, stay = _settled_runs(data, offset, _numbered(anchor, at - start, stop - start), doc, sig, start, stop, length)
@@ -390,28 +384,33 @@ def _sorted_windows(length: int) -> Callable:
     return run
 
 
-def _parts(text: bytes, r: dict, length: int) -> Iterator[tuple]:
-    """A run as rows to be sorted: itself, or, if its anchor is hot, a part for each
-    block of places that the anchor has in its windows."""
-    start, stop, at = r["start"], r["stop"], r["at"]
-    if not r["hot"]:
-        yield r["anchor"], start, stop, at, text[start:stop + length]
-        return
-    for block in range((at - stop) // BLOCK, (at - start) // BLOCK + 1):
-        lo, hi = max(start, at - block * BLOCK - BLOCK + 1), min(stop, at - block * BLOCK)
-        shared = text[at - block * BLOCK:at - block * BLOCK - BLOCK + 1 + length]
-        yield xxhash.xxh64_intdigest(shared, (r["anchor"] + block) & _MASK) - (1 << 63), lo, hi, at, text[lo:hi + length]
+def _parts(texts: list[bytes], text: np.ndarray, anchor: np.ndarray, start: np.ndarray, stop: np.ndarray, at: np.ndarray, length: int) -> Iterator[tuple]:
+    """Runs of hot anchors as rows to be sorted: a part for each block of places that
+    the anchor has in its windows, with a key of the bytes that such windows share."""
+    for i, key, lo, hi, a in zip(*(x.tolist() for x in (text, anchor, start, stop, at)), strict=True):
+        for block in range((a - hi) // BLOCK, (a - lo) // BLOCK + 1):
+            shared = texts[i][a - block * BLOCK:a - block * BLOCK - BLOCK + 1 + length]
+            own = xxhash.xxh64_intdigest(shared, (key + block) & _MASK) - (1 << 63)
+            yield i, own, max(lo, a - block * BLOCK - BLOCK + 1), min(hi, a - block * BLOCK), a
 
 
 def _cut_contexts(length: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            rows: list[tuple] = []
-            for doc, sig, text, runs in zip(b.column("doc").to_pylist(), b.column("sig").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), b.column("runs").to_pylist(), strict=True):
-                for r in runs:
-                    rows += [(key, doc, sig, *rest) for key, *rest in _parts(text or b"", r, length)]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:6]), pa.array(columns[6], pa.binary())], ["anchor", "doc", "sig", "start", "stop", "at", "bytes"])
+            texts = [t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()]
+            runs = b.column("runs")
+            text = np.repeat(np.arange(len(texts)), runs.value_lengths().to_numpy())
+            anchor, place, hot = (runs.flatten().field(f).to_numpy(zero_copy_only=False) for f in ("anchor", "place", "hot"))
+            at = place >> 16
+            start = at - (place >> 8 & 255)
+            stop = start + (place & 255)
+            if hot.any():
+                cut = np.array([*_parts(texts, *(x[hot] for x in (text, anchor, start, stop, at)), length)], np.int64).T
+                text, anchor, start, stop, at = (np.concatenate([x[~hot], y]) for x, y in zip((text, anchor, start, stop, at), cut, strict=True))
+            pieces = [texts[i][x:y] for i, x, y in zip(text.tolist(), start.tolist(), (stop + length).tolist(), strict=True)]
+            place = at << 16 | (at - start) << 8 | stop - start
+            own = (b.column(c).to_numpy()[text] for c in ("doc", "sig"))
+            yield pa.RecordBatch.from_arrays([pa.array(anchor), *map(pa.array, own), pa.array(place), pa.array(pieces, pa.binary())], ["anchor", "doc", "sig", "place", "bytes"])
 
     return run
 
@@ -420,20 +419,20 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc, sig, start, stop): byte intervals of ``docs`` (doc, sig, text) to be
     removed; they may overlap."""
     runs = arrow_map(docs, _runs(length), ROWS)
-    same = Window.partitionBy("anchor", "kind")
-    met = runs.repartition(partitions(docs), "anchor", "kind").withColumn("n", F.count("*").over(same))
+    met = runs.repartition(partitions(docs), "anchor").withColumn("n", F.count("*").over(Window.partitionBy("anchor")))
     judged = materialize(met.where("kind = 1 OR n > 1").withColumn("hot", F.col("n") > HOT).drop("n"), "repeats")
-    several = judged.where("kind = 0").groupBy("doc", "sig").agg(F.collect_list(F.struct("anchor", "start", "stop", "at", "hot")).alias("runs"))
-    cut = arrow_map(docs.join(several, ["doc", "sig"]).select("doc", "sig", "text", "runs"), _cut_contexts(length), "anchor long, doc long, sig long, start long, stop long, at long, bytes binary")
+    several = judged.where("kind = 0").groupBy("doc", "sig").agg(F.collect_list(F.struct("anchor", "place", "hot")).alias("runs"))
+    cut = arrow_map(docs.join(several, ["doc", "sig"]).select("doc", "sig", "text", "runs"), _cut_contexts(length), "anchor long, doc long, sig int, place long, bytes binary")
     fine = arrow_map(cut.repartition(partitions(docs), "anchor").sortWithinPartitions("anchor"), _sorted_windows(length), SPANS)
-    return judged.where("kind = 1").select("doc", "sig", "start", "stop").unionByName(fine)
+    whole = judged.where("kind = 1").select("doc", "sig", F.shiftrightunsigned("place", 32).alias("start"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).alias("stop"))
+    return whole.unionByName(fine)
 
 
 def _report(keep_text: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             rows = []
-            for doc_id, text, spans in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), b.column("spans").to_pylist(), strict=True):
+            for doc, text, spans in zip(b.column("doc").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), b.column("spans").to_pylist(), strict=True):
                 text, kept, at, removed, n = text or b"", [], 0, 0, 0
                 if spans:
                     s, e = (np.array([x[k] for x in spans], np.int64) for k in ("start", "stop"))
@@ -444,7 +443,7 @@ def _report(keep_text: bool) -> Callable:
                         at, removed, n = y, removed + y - x, n + 1
                 kept.append(text[at:])
                 left = b"".join(kept)
-                rows.append((doc_id, len(text), removed, n, hashlib.sha256(left).hexdigest(), left if keep_text else None))
+                rows.append((None if doc == NO_ID else doc, len(text), removed, n, hashlib.sha256(left).hexdigest(), left if keep_text else None))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
@@ -452,12 +451,12 @@ def _report(keep_text: bool) -> Callable:
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH, keep_text: bool = True) -> DataFrame:
-    """One row a document: sizes, the digest of what is kept, and the bytes kept."""
-    sig = F.xxhash64(F.coalesce("text", F.lit("")))  # rows of one id with other texts have spans of their own
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), sig.alias("sig"), "text")
-    spans = repeated_spans(rows.select("doc", "sig", "text"), length)
-    by_doc = spans.groupBy("doc", "sig").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    joined = rows.join(by_doc, ["doc", "sig"], "left").select("doc_id", "text", "spans")
+    """One row a document: sizes, the digest of what is kept, and the bytes kept.
+    Texts are shuffled once: both joins with them deal them out alike."""
+    sig = F.hash(F.coalesce("text", F.lit("")))  # rows of one id with other texts have spans of their own
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), sig.alias("sig"), "text")
+    by_doc = repeated_spans(rows, length).groupBy("doc", "sig").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    joined = rows.join(by_doc, ["doc", "sig"], "left").select("doc", "text", "spans")
     return arrow_map(joined, _report(keep_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
