@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..plans.query import query_words  # noqa: F401
+
 #: Letters, digits and underscore of any script, and the apostrophe.
 WORD = r"[\p{L}\p{N}_']+"
 BETWEEN = r"[^\p{L}\p{N}_']+"
@@ -29,10 +29,6 @@ def tokens(value: Column) -> Column:
     return F.filter(F.split(value, BETWEEN, -1), lambda t: (F.length(t) >= 3) & t.rlike(r"\p{L}"))
 
 
-def query_words(text: str) -> list[str]:
-    return [w for w in re.findall(r"[\w']+", text) if len(w) >= 3 and any(map(str.isalpha, w))]
-
-
 def tag_value(text: Column) -> Column:
     """A tag without its leading [label]."""
     return F.trim(F.regexp_replace(text, r"^\[[^\]]*\]", ""))

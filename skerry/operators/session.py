@@ -34,13 +34,19 @@ class Result:
     row: Row
 
 
+@dataclass(frozen=True)
+class Results:
+    """Results behind the first RESULT_EVENTS."""
+
+    rows: list[Row]
+
+
 @dataclass(frozen=True)
 class Finished:
-    """``results`` is empty where each was told by itself."""
+    """The end; ``skipped`` has the first RESULT_EVENTS of what was not read."""
 
     count: int
     cancelled: bool = False
-    results: list[Row] = field(default_factory=list)
     skipped: list[Row] = field(default_factory=list)
 
 
@@ -49,7 +55,7 @@ class Failed:
     message: str
 
 
-Event = Activity | Progress | Result | Finished | Failed
+Event = Activity | Progress | Result | Results | Finished | Failed
 
 
 class SearchSession:
@@ -68,19 +74,25 @@ class SearchSession:
         self.cancelled.set()
         self.spark.sparkContext.cancelJobsWithTag(self.tag)
 
+    def _jobs(self) -> list[int]:
+        """Ids of the jobs that carry this run's tag."""
+        return list(self.spark.sparkContext._jsc.sc().statusTracker().getJobIdsForTag(self.tag))
+
     def _watch(self) -> None:
         status, told = self.spark.sparkContext.statusTracker(), None
         while not self._done.wait(PACE):
-            stages = [status.getStageInfo(s) for s in status.getActiveStageIds()]
+            jobs = [status.getJobInfo(j) for j in self._jobs()]
+            stages = [status.getStageInfo(s) for s in {s for j in jobs if j for s in j.stageIds}]
             now = (sum(s.numCompletedTasks for s in stages if s), sum(s.numTasks for s in stages if s))
             if now != told and now[1]:
                 self.tell(Progress(*now))
                 told = now
 
-    def run(self, search: Callable[[], FileSearch]) -> list[Row]:
-        """The ranked results.  They come a partition at a time: the driver holds
-        those of the answer and a partition more."""
-        context, rows, skipped = self.spark.sparkContext, [], []
+    def run(self, search: Callable[[], FileSearch]) -> int:
+        """How many results were found and told.  They come a partition at a time, and
+        the driver holds no more than one: up to RESULT_EVENTS are told one by one, the
+        rest in lists of so many."""
+        context, count, more, skipped = self.spark.sparkContext, 0, [], []
         context.addJobTag(self.tag)
         watcher = threading.Thread(target=self._watch, daemon=True)
         try:
@@ -90,11 +102,18 @@ class SearchSession:
             for row in found.results.toLocalIterator():
                 if self.cancelled.is_set():
                     break
-                rows.append(row)
-                if len(rows) <= RESULT_EVENTS:
+                count += 1
+                if count <= RESULT_EVENTS:
                     self.tell(Result(row))
+                    continue
+                more.append(row)
+                if len(more) == RESULT_EVENTS:
+                    self.tell(Results(more))
+                    more = []
+            if more:
+                self.tell(Results(more))
             if not self.cancelled.is_set():
-                skipped = list(found.skipped.toLocalIterator())
+                skipped = found.skipped.take(RESULT_EVENTS)
         except Exception as e:
             if not self.cancelled.is_set():
                 self.tell(Failed(str(e)))
@@ -104,8 +123,8 @@ class SearchSession:
             if watcher.ident:
                 watcher.join()
             context.removeJobTag(self.tag)
-        self.tell(Finished(len(rows), self.cancelled.is_set(), rows if len(rows) > RESULT_EVENTS else [], skipped))
-        return rows
+        self.tell(Finished(count, self.cancelled.is_set(), skipped))
+        return count
 
 
 def paced(tell: Callable[[int, int], None], pace: float = PACE) -> Callable[[int, int], None]:

@@ -71,10 +71,10 @@ def score_units(units: DataFrame, q: FileQ, weights: dict | None = None, thresho
     return scored.withColumn("score", combine(q, {t: F.col(n) for t, n in names.items()}))
 
 
-def kept_lines(scored: DataFrame, threshold: float = THRESHOLD, max_matches: int = 50) -> DataFrame:
+def kept_lines(scored: DataFrame, threshold: float = THRESHOLD, max_matches: int = 50, transcript_threshold: float = TRANSCRIPT_THRESHOLD) -> DataFrame:
     """The best units of each file with ``rank``; of those with one line number and
     kind only the best."""
-    limit = F.when(F.col("location_kind") == "transcript", TRANSCRIPT_THRESHOLD).otherwise(threshold)
+    limit = F.when(F.col("location_kind") == "transcript", transcript_threshold).otherwise(threshold)
     best = [F.col("score").desc(), F.col("unit_ord")]
     same = Window.partitionBy("file_id", "line_number", "location_kind").orderBy(*best)
     own = Window.partitionBy("file_id").orderBy(*best)

@@ -213,10 +213,10 @@ def k_preview(spark, d):
 
 
 @query("""SELECT c_custkey, CASE WHEN c_nationkey % 3 = 0 THEN 'transcript at 00:' || lpad(CAST(c_nationkey AS VARCHAR), 2, '0')
-WHEN c_nationkey % 3 = 1 THEN 'line ' || CAST(c_nationkey AS VARCHAR) ELSE 'tag' END AS label FROM customer""")
+WHEN c_nationkey % 3 = 1 THEN 'line ' || CAST(c_nationkey AS VARCHAR) ELSE 'image ' || CAST(c_nationkey AS VARCHAR) END AS label FROM customer""")
 def k_location(spark, d):
     n = F.col("c_nationkey")
-    kind = F.when(n % 3 == 0, "transcript").when(n % 3 == 1, "line").otherwise("tag")
+    kind = F.when(n % 3 == 0, "transcript").when(n % 3 == 1, "line").otherwise("semantic_image")
     return _t(spark, d, "customer").select("c_custkey", output.location_label(kind, n).alias("label"))
 
 

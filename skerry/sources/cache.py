@@ -61,14 +61,15 @@ class UnitCache:
         self._add(fresh.mapInArrow(digest, _SCHEMAS["hashes"]), "hashes")
         return files.join(self._read("hashes").dropDuplicates(_PLACE), _PLACE)
 
-    def units(self, files: DataFrame, readers: dict[str, Callable] | None = None, variant: str = "") -> DataFrame:
-        """As ``extract.units``.  Name another ``variant`` where the readers differ.
+    def units(self, files: DataFrame, ports: extract.Ports | dict[str, Callable] | None = None, variant: str = "", want: extract.Wanted = extract.Wanted()) -> DataFrame:
+        """As ``extract.units``.  Name another ``variant`` where the readers differ;
+        which surfaces are read is part of it.
         Extended attributes are kept as they were when the content was first read."""
-        named = self.hashed(files.where(~F.col("names_only"))).withColumns({"kind": F.coalesce(F.when(F.col("archive").isNotNull(), "member"), "suffix"), "variant": F.lit(variant)})
+        named = self.hashed(files.where(~F.col("names_only"))).withColumns({"kind": F.coalesce(F.when(F.col("archive").isNotNull(), "member"), "suffix"), "variant": F.lit(f"{variant}/{want}")})
         # one file for each content that is new
         misses = named.join(self._read("entries"), KEY, "left_anti")
         one = misses.groupBy(*KEY).agg(F.min_by(F.struct(*(c for c in named.columns if c not in KEY)), "path").alias("f")).select(*KEY, "f.*")
-        read = extract.units(one, readers).join(one.select("file_id", *KEY), "file_id")
+        read = extract.units(one, ports, want).join(one.select("file_id", *KEY), "file_id")
         self._add(read.select(*KEY, "unit_ord", "line_number", "text", "location_kind"), "units")
         self._add(one.select(*KEY, "size_bytes"), "entries")
         used = named.select(*KEY).distinct().withColumn("used_at", F.lit(time.time()))

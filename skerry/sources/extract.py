@@ -1,7 +1,8 @@
 """Text units of files: a reader for each kind of content, chosen by suffix.
 
 ``READERS`` maps a suffix to a function from bytes to (number, text, kind); more can
-be given to ``units`` (OCR, transcripts) where a library for them is installed."""
+be given in ``Ports``, where a library for them is installed, and there too what
+reads writing in pictures and speech in sound."""
 
 from __future__ import annotations
 
@@ -12,7 +13,8 @@ import re
 import struct
 import zipfile
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, field
 from xml.etree import ElementTree
 from xml.parsers.expat import ExpatError
 
@@ -31,9 +33,41 @@ BATCH = 20_000
 
 # Core and extended properties shown as tags, with their labels.
 PROPERTIES = {
-    "title": "Title", "subject": "Subject", "creator": "Author", "keywords": "Keywords", "description": "Comments",
-    "lastModifiedBy": "Last Modified By", "category": "Category", "Company": "Company", "Manager": "Manager",
+    "docProps/core.xml": {
+        "creator": "Author", "lastModifiedBy": "Last saved by", "title": "Title", "subject": "Subject", "keywords": "Keywords", "description": "Description",
+        "category": "Category", "contentStatus": "Content status",
+    },
+    "docProps/app.xml": {"Application": "Program name", "Company": "Company", "Manager": "Manager"},
 }
+# Limits of what is read for writing and speech, and of pictures within documents.
+OCR_BYTES, SPEECH_BYTES, LEAST_PICTURE = 50 << 20, 500 << 20, 20_000
+DOCUMENTS = (".pdf", ".docx", ".xlsx", ".pptx")
+UNCOUNTED = ("tag", "ocr", "transcript")
+
+
+def is_word(token: str) -> bool:
+    """Whether a word makes a picture's writing worth keeping; a stand-in for a word list."""
+    return len(token) >= 4 and token.isalpha()
+
+
+@dataclass(frozen=True)
+class Ports:
+    """What reads content.  readers: more readers by suffix.  ocr: the writing in a
+    picture's bytes.  speech: (second, text) of a sound's or film's bytes.  Functions
+    must pickle; they run in the workers."""
+
+    readers: dict[str, Callable[[bytes], Iterator[Unit]]] = field(default_factory=dict)
+    ocr: Callable[[bytes], str] | None = None
+    speech: Callable[[bytes], Iterable[tuple[int, str]]] | None = None
+    ocr_bytes: int | None = OCR_BYTES
+    speech_bytes: int | None = SPEECH_BYTES
+    is_word: Callable[[str], bool] = is_word
+
+    def writing(self, picture: bytes) -> str:
+        """Writing in a picture; none if no word is in it."""
+        text = self.ocr(picture).strip()
+        words = (w for t in re.findall(r"[\w']+", text.lower()) for w in re.split("[_-]+", t))
+        return text if any(map(self.is_word, words)) else ""
 
 
 def plain(data: bytes) -> Iterator[Unit]:
@@ -74,13 +108,23 @@ def docx(z: zipfile.ZipFile) -> Iterator[Unit]:
             yield i, t, "paragraph"
 
 
+def _related(z: zipfile.ZipFile, name: str) -> dict[str, str]:
+    """Part names by relationship id of a part."""
+    folder, _, base = name.rpartition("/")
+    where = f"{folder}/_rels/{base}.rels"
+    found = ElementTree.fromstring(z.read(where)) if where in z.namelist() else ()
+    return {r.get("Id"): (t[1:] if (t := r.get("Target", "")).startswith("/") else f"{folder}/{t}") for r in found}
+
+
 def xlsx(z: zipfile.ZipFile) -> Iterator[Unit]:
-    """Rows that are not empty, counted over all sheets, led by the sheet's name."""
+    """Rows that are not empty, counted over all sheets in the workbook's order, led
+    by the sheet's name.  A sheet is found by its relationship, else by its number."""
     shared = [_text(s) for s in _all(ElementTree.fromstring(z.read("xl/sharedStrings.xml")), "si")] if "xl/sharedStrings.xml" in z.namelist() else []
-    titles = [s.get("name", "") for s in _all(ElementTree.fromstring(z.read("xl/workbook.xml")), "sheet")]
-    at = 0
-    for title, name in zip(titles, _numbered(z, r"xl/worksheets/sheet(\d+)\.xml"), strict=False):
-        for row in _all(ElementTree.fromstring(z.read(name)), "row"):
+    related, numbered, at = _related(z, "xl/workbook.xml"), _numbered(z, r"xl/worksheets/sheet(\d+)\.xml"), 0
+    for i, sheet in enumerate(_all(ElementTree.fromstring(z.read("xl/workbook.xml")), "sheet")):
+        ids = [v for k, v in sheet.attrib.items() if k.rpartition("}")[2] == "id"]
+        name = next((related[x] for x in ids if x in related), numbered[i] if i < len(numbered) else "")
+        for row in _all(ElementTree.fromstring(z.read(name)), "row") if name in z.namelist() else ():
             cells = []
             for c in _all(row, "c"):
                 v = next(_all(c, "v"), None)
@@ -88,7 +132,7 @@ def xlsx(z: zipfile.ZipFile) -> Iterator[Unit]:
                 cells += [value.strip()] if value.strip() else []
             if cells:
                 at += 1
-                yield at, f"[{title}] {' '.join(cells)}", "row"
+                yield at, f"[{sheet.get('name', '')}] {' '.join(cells)}", "row"
 
 
 def pptx(z: zipfile.ZipFile) -> Iterator[Unit]:
@@ -101,24 +145,48 @@ def pptx(z: zipfile.ZipFile) -> Iterator[Unit]:
 def properties(z: zipfile.ZipFile) -> Iterator[Unit]:
     """Document properties as [Label] value, keywords one by one."""
     at = 0
-    for name in ("docProps/core.xml", "docProps/app.xml"):
-        for e in ElementTree.fromstring(z.read(name)) if name in z.namelist() else ():
-            label, value = PROPERTIES.get(_local(e)), (e.text or "").strip()
-            for v in (re.split("[;,]", value) if label == "Keywords" else [value]) if label else ():
+    for name, labels in PROPERTIES.items():
+        first: dict[str, str] = {}
+        for e in ElementTree.fromstring(z.read(name)).iter() if name in z.namelist() else ():
+            first.setdefault(_local(e), (e.text or "").strip())
+        for field_, label in labels.items():
+            value = first.get(field_, "")
+            for v in re.split("[;,]", value) if label == "Keywords" else [value]:
                 if v.strip():
                     at += 1
                     yield at, f"[{label}] {v.strip()}", "tag"
 
 
+def _guarded(data: bytes) -> zipfile.ZipFile:
+    """An office package; one over the limits of archives is not read."""
+    z = zipfile.ZipFile(io.BytesIO(data))
+    if len(z.infolist()) > archives.MAX_ENTRIES or sum(i.file_size for i in z.infolist()) > archives.MAX_BYTES:
+        raise zipfile.BadZipFile("over the limits of an archive")
+    return z
+
+
 def _office(body: Callable[[zipfile.ZipFile], Iterator[Unit]]) -> Callable[[bytes], Iterator[Unit]]:
     def read(data: bytes) -> Iterator[Unit]:
-        with zipfile.ZipFile(io.BytesIO(data)) as z:
+        with _guarded(data) as z:
             yield from body(z)
-            yield from properties(z)
 
     return read
 
 
+def _package_tags(data: bytes) -> Iterator[Unit]:
+    with _guarded(data) as z:
+        yield from properties(z)
+
+
+def _package_pictures(data: bytes, ports: Ports) -> Iterator[Unit]:
+    """Writing in the pictures of an office package, numbered as they are stored."""
+    with _guarded(data) as z:
+        pictures = [n for n in z.namelist() if "/media/" in n and os.path.splitext(n)[1].lower() in media.PICTURES and z.getinfo(n).file_size >= LEAST_PICTURE]
+        for i, name in enumerate(pictures, 1):
+            if text := ports.writing(z.read(name)):
+                yield i, text, "ocr"
+
+
 # Extended attributes that hold tags and comments.
 TAG_ATTRIBUTES = ("user.xdg.tags", "user.dolphin.tags", "com.apple.metadata:_kMDItemUserTags")
 COMMENT_ATTRIBUTES = ("user.xdg.comment", "com.apple.metadata:kMDItemFinderComment", "com.apple.metadata:kMDItemComment")
@@ -148,6 +216,9 @@ READERS: dict[str, Callable[[bytes], Iterator[Unit]]] = {".docx": _office(docx),
 _BROKEN = (zipfile.BadZipFile, ElementTree.ParseError, KeyError, IndexError, ValueError, TypeError, StopIteration, RuntimeError, struct.error, zlib.error)
 
 
+OFFICE = (".docx", ".xlsx", ".pptx")
+
+
 def _read(path: str, archive: str | None, member: str | None) -> bytes:
     if archive is not None:
         return archives.read(archive, member)
@@ -158,26 +229,98 @@ def _read(path: str, archive: str | None, member: str | None) -> bytes:
         return b""
 
 
-def units(files: DataFrame, readers: dict[str, Callable[[bytes], Iterator[Unit]]] | None = None) -> DataFrame:
+def plain_file(path: str) -> Iterator[Unit]:
+    """As ``plain``, a line in memory at a time."""
+    try:
+        with open(path, "rb") as f:
+            if b"\0" in f.read(SNIFFED):
+                return
+        with open(path, encoding="utf-8", errors="ignore") as f:  # universal newlines
+            yield from ((i, t.removesuffix("\n"), "line") for i, t in enumerate(f, 1))
+    except OSError:
+        return
+
+
+def _some(read: Callable[..., Iterator[Unit]], *args) -> Iterator[Unit]:
+    """What a reader gives before it finds a fault."""
+    try:
+        yield from read(*args)
+    except _BROKEN:
+        return
+
+
+@dataclass(frozen=True)
+class Wanted:
+    """Which surfaces of content are read, and how much of it."""
+
+    docs_tags: bool = True
+    ocr: bool = False
+    transcribe: bool = False
+    max_bytes: int | None = None
+
+    def limit(self, suffix: str, ports: Ports) -> int | None:
+        """The most bytes of a file of this kind: media have none, documents in which
+        writing is read have that one's."""
+        if self.max_bytes is None or self.max_bytes <= 0 or suffix in media.SUFFIXES:
+            return None
+        return ports.ocr_bytes if self.ocr and suffix in DOCUMENTS else self.max_bytes
+
+
+def _surfaces(row: dict, ports: Ports, want: Wanted) -> Iterator[Unit]:
+    """Units of one file in their order: body, writing, speech, then tags."""
+    path, suffix, size = row["path"], row["suffix"], row["size_bytes"]
+    chosen = {**READERS, **ports.readers}
+    limit = want.limit(suffix, ports)
+    fits = lambda most: most is None or size <= most
+    if row["archive"] is not None:
+        if want.docs_tags and fits(limit):
+            yield from _some(member_lines, _read(path, row["archive"], row["member"]))
+        return
+    if suffix in media.SUFFIXES:
+        data = _read(path, None, None)
+        if want.docs_tags:
+            yield from _some(chosen[suffix], data)
+        if want.ocr and suffix in media.PICTURES and fits(ports.ocr_bytes) and (text := ports.writing(data)):
+            yield 1, text, "ocr"
+        if want.transcribe and suffix in (*media.SOUND, *media.FILM) and fits(ports.speech_bytes):
+            yield from ((int(at), text, "transcript") for at, text in ports.speech(data))
+    elif fits(limit) and (want.docs_tags or want.ocr):
+        read = chosen.get(suffix)
+        data = _read(path, None, None) if read else b""
+        if want.docs_tags:
+            yield from _some(read, data) if read else plain_file(path)
+        if want.ocr and suffix in OFFICE:
+            yield from _some(_package_pictures, data, ports)
+    if want.docs_tags:
+        yield from attributes(path)
+        if suffix in OFFICE and fits(limit):
+            yield from _some(_package_tags, _read(path, None, None))
+
+
+def _counted(found: Iterator[Unit], limit: int | None) -> Iterator[Unit]:
+    """Units up to a limit of bytes of body text; what would go over it ends them."""
+    total = 0
+    for unit in found:
+        if limit is not None and unit[2] not in UNCOUNTED:
+            total += len(unit[1].encode("utf-8", "ignore"))
+            if total > limit:
+                return
+        yield unit
+
+
+def units(files: DataFrame, ports: Ports | dict | None = None, want: Wanted = Wanted()) -> DataFrame:
     """Units of files whose content may be read.  What cannot be parsed gives those
-    units that come before the fault.  Extended attributes follow the content."""
-    chosen = {**READERS, **(readers or {})}
-
-    def produce(row: dict) -> Iterator[Unit]:
-        data = _read(row["path"], row["archive"], row["member"])
-        reader = member_lines if row["archive"] is not None else chosen.get(row["suffix"], plain)
-        try:
-            yield from reader(data)
-        except _BROKEN:
-            pass
-        if row["archive"] is None:
-            yield from attributes(row["path"])
+    units that come before the fault.  Tags follow the content."""
+    ports = ports if isinstance(ports, Ports) else Ports(readers=ports or {})
+    if want.ocr and ports.ocr is None or want.transcribe and ports.speech is None:
+        raise RuntimeError("writing in pictures and speech need a function for them in Ports")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for b in batches:
             for row in b.to_pylist():
-                for i, (n, t, k) in enumerate(produce(row)):
+                limit = want.limit(row["suffix"], ports)
+                for i, (n, t, k) in enumerate(_counted(_surfaces(row, ports, want), limit)):
                     out.append((row["file_id"], i, n, t, k))
                     if len(out) == BATCH:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _UNITS, strict=True)], schema=_UNITS)
@@ -185,4 +328,33 @@ def units(files: DataFrame, readers: dict[str, Callable[[bytes], Iterator[Unit]]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _UNITS, strict=True)], schema=_UNITS)
 
-    return files.where(~F.col("names_only")).select("file_id", "path", "suffix", "archive", "member").mapInArrow(run, UNITS)
+    return files.where(~F.col("names_only")).select("file_id", "path", "suffix", "size_bytes", "archive", "member").mapInArrow(run, UNITS)
+
+
+def skips(files: DataFrame, ports: Ports, want: Wanted) -> tuple[DataFrame, DataFrame]:
+    """``files`` with those flagged ``names_only`` whose content is over its limit and of
+    which nothing else can be read; and (path, size_bytes, reason) of what is not read.
+    Empty files always pass; tags of a long file are still read where it has any."""
+    suffix, size, alone = F.col("suffix"), F.col("size_bytes"), F.col("archive").isNull()
+    limits = {s: want.limit(s, ports) for s in (*media.SUFFIXES, *DOCUMENTS)}
+    limit = F.lit(want.limit("", ports)).cast("long")
+    for s, most in limits.items():
+        limit = F.when(suffix == s, F.lit(most).cast("long")).otherwise(limit)
+    over = F.lit(want.docs_tags) & F.coalesce(size > limit, F.lit(False)) & ~F.col("names_only")
+
+    def bare(paths):
+        return paths.map(lambda p: next(attributes(p), None) is None)
+
+    body = files.where(over)
+    if not (want.ocr or want.transcribe):
+        has_tags = F.pandas_udf(bare, "boolean")
+        body = body.where(~alone | has_tags(F.col("path")))
+        marked = files.join(body.select("file_id", F.lit(True).alias("_over")), "file_id", "left")
+        flagged = marked.withColumn("names_only", F.col("names_only") | F.coalesce("_over", F.lit(False))).drop("_over") if want.max_bytes else files
+        told = body.select("path", "size_bytes", F.lit("oversized").alias("reason"))
+    else:
+        flagged, told = files, files.limit(0).select("path", "size_bytes", F.lit("oversized").alias("reason"))
+    for active, kinds, most, reason in ((want.ocr, media.PICTURES, ports.ocr_bytes, "ocr_too_large"), (want.transcribe, (*media.SOUND, *media.FILM), ports.speech_bytes, "transcribe_too_large")):
+        if active and most is not None:
+            told = told.unionByName(files.where(alone & suffix.isin(*kinds) & (size > most) & ~F.col("names_only")).select("path", "size_bytes", F.lit(reason).alias("reason")))
+    return flagged, told

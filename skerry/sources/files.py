@@ -1,7 +1,7 @@
 """The files below a folder as a DataFrame, archive members included.
 
-The driver lists folders level by level until there are enough of them to share
-out; tasks walk the rest.  Executors must see the folder under the same path."""
+The driver finds folders level by level until there are enough of them to share
+out; tasks list their files and walk the rest.  Executors must see the folder under the same path."""
 
 from __future__ import annotations
 
@@ -30,8 +30,8 @@ NOISE_PATTERNS = (
 )
 _NOISE_FILE = "^(?:" + "|".join([*map(re.escape, NOISE_NAMES), *(".*".join(map(re.escape, p.split("*"))) for p in NOISE_PATTERNS)]) + ")$"
 
-#: Folders that the driver lists before it shares out the rest.
-SEEDS = 256
+#: Folders that the driver finds before it shares them out, and rows to a batch.
+SEEDS, BATCH = 256, 10_000
 FILES = "path string, rel_path string, size_bytes long, mtime_ns long"
 _SCHEMA = pa.schema([("path", pa.string()), ("rel_path", pa.string()), ("size_bytes", pa.int64()), ("mtime_ns", pa.int64())])
 
@@ -42,7 +42,7 @@ class WalkOptions:
     skip_noise_folders: bool = True
     skip_noise_files: bool = True
     match_skipped_names: bool = False
-    include_archives: bool = True
+    include_archives: bool = False
     include_subdirectories: bool = True
 
 
@@ -58,47 +58,61 @@ def _enter(folder: str, name: str, o: WalkOptions) -> bool:
     return not (o.skip_hidden_folders and name.startswith(".")) and not (o.skip_noise_folders and name in NOISE_FOLDERS)
 
 
-def _scan(folder: str, root: str, o: WalkOptions) -> tuple[list[dict], list[str]]:
-    """Files and folders in one folder; linked folders are not entered, and what
-    cannot be read is passed over."""
-    files, folders = [], []
+def _entries(folder: str) -> Iterator[os.DirEntry]:
+    """What is in a folder; nothing of one that cannot be read."""
     try:
-        entries = sorted(os.scandir(folder), key=lambda e: e.name)
+        with os.scandir(folder) as found:
+            yield from found
     except OSError:
-        return files, folders
-    for e in entries:
+        return
+
+
+def _folders(folder: str, o: WalkOptions) -> list[str]:
+    """Folders in a folder that are entered; linked ones are not."""
+    return sorted(e.path for e in _entries(folder) if o.include_subdirectories and e.is_dir(follow_symlinks=False) and _enter(folder, e.name, o))
+
+
+def _files(folder: str, root: str) -> Iterator[dict]:
+    for e in _entries(folder):
         try:
-            if e.is_dir(follow_symlinks=False):
-                if o.include_subdirectories and _enter(folder, e.name, o):
-                    folders.append(e.path)
-            elif stat.S_ISREG((s := e.stat()).st_mode):
-                files.append({"path": e.path, "rel_path": os.path.relpath(e.path, root).replace(os.sep, "/"), "size_bytes": s.st_size, "mtime_ns": s.st_mtime_ns})
-        except OSError:
+            if not e.is_dir(follow_symlinks=False) and stat.S_ISREG((s := e.stat()).st_mode):
+                yield {"path": e.path, "rel_path": os.path.relpath(e.path, root).replace(os.sep, "/"), "size_bytes": s.st_size, "mtime_ns": s.st_mtime_ns}
+        except OSError:  # what cannot be read is passed over
             continue
-    return files, folders
+
+
+def _seeds(root: str, o: WalkOptions) -> list[tuple[str, bool]]:
+    """(folder, whether what is below it is not listed here): the driver looks for
+    folders alone, until there are SEEDS of them or SEEDS have been looked into."""
+    done, level = [], [root]
+    while level and len(level) + len(done) < SEEDS:
+        done += level
+        level = [x for f in level for x in _folders(f, o)]
+    return [(f, False) for f in done] + [(f, True) for f in level]
 
 
 def _listed(spark: SparkSession, root: str, o: WalkOptions) -> DataFrame:
-    files, level = [], [root]
-    while level and len(level) < SEEDS:
-        found = [_scan(f, root, o) for f in level]
-        files += [x for fs, _ in found for x in fs]
-        level = [x for _, ds in found for x in ds]
-    near = spark.createDataFrame([(f["path"], f["rel_path"], f["size_bytes"], f["mtime_ns"]) for f in files], FILES)
-    if not level:
-        return near
+    """All files, listed by tasks."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            stack = b.column("folder").to_pylist()
-            while stack:
-                fs, ds = _scan(stack.pop(), root, o)
-                stack += ds
-                if fs:
-                    yield pa.RecordBatch.from_pylist(fs, schema=_SCHEMA)
-
-    seeds = spark.createDataFrame([(f,) for f in level], "folder string").repartition(min(len(level), spark.sparkContext.defaultParallelism * 4))
-    return near.unionByName(seeds.mapInArrow(walk, FILES))
+            for folder, below in zip(b.column("folder").to_pylist(), b.column("below").to_pylist(), strict=True):
+                stack = [folder]
+                while stack:
+                    now = stack.pop()
+                    stack += _folders(now, o) if below else []
+                    held = []
+                    for f in _files(now, root):
+                        held.append(f)
+                        if len(held) == BATCH:
+                            yield pa.RecordBatch.from_pylist(held, schema=_SCHEMA)
+                            held = []
+                    if held:
+                        yield pa.RecordBatch.from_pylist(held, schema=_SCHEMA)
+
+    seeds = _seeds(root, o)
+    rows = spark.createDataFrame(seeds, "folder string, below boolean")
+    return rows.repartition(min(len(seeds), spark.sparkContext.defaultParallelism * 4)).mapInArrow(walk, FILES)
 
 
 def list_files(spark: SparkSession, root: str, options: WalkOptions = WalkOptions()) -> DataFrame:
@@ -131,11 +145,3 @@ def list_files(spark: SparkSession, root: str, options: WalkOptions = WalkOption
         rows = rows.unionByName(archives.members(rows.where(F.lower("path").rlike(archives.ARCHIVE) & ~F.col("names_only"))))
     base = F.coalesce("member", "rel_path")
     return rows.withColumns({"file_id": F.xxhash64("path"), "name": F.element_at(F.split(base, "/"), -1)}).withColumn("suffix", F.lower(F.regexp_extract("name", r"[^.](\.[^.]+)$", 1)))
-
-
-def over_limit(files: DataFrame, max_bytes: int | None) -> tuple[DataFrame, DataFrame]:
-    """(files, skipped): content of files over the limit is not read; their names
-    still match.  Empty files always pass; no limit, or one of 0, lets all pass."""
-    big = F.lit(False) if not max_bytes or max_bytes < 0 else F.col("size_bytes") > max_bytes
-    skipped = files.where(big & ~F.col("names_only")).select("path", "size_bytes", F.lit("oversized").alias("reason"))
-    return files.withColumn("names_only", F.col("names_only") | big), skipped

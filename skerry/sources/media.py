@@ -16,7 +16,7 @@ EXIF = {
     270: "ImageDescription", 271: "Make", 272: "Model", 274: "Orientation", 282: "XResolution", 283: "YResolution",
     305: "Software", 306: "DateTime", 315: "Artist", 33432: "Copyright", 37510: "UserComment",
 }
-EXIF_FOLDER, GPS_FOLDER = 34665, 34853
+EXIF_FOLDER, GPS_FOLDER, XMP_TAG = 34665, 34853, 700
 XP = {40091: "Title", 40092: "Comment", 40093: "Author", 40094: "Keywords"}
 XMP = {
     "title": "Title", "description": "Description", "creator": "Creator", "subject": "Keywords", "headline": "Headline",
@@ -70,11 +70,14 @@ def _shown(value: object) -> str:
 
 
 def exif(data: bytes) -> dict[str, str]:
+    """Tags of a TIFF, which is what EXIF is, and most raw pictures are."""
     order = {b"II": "<", b"MM": ">"}[data[:2]]
     top = _ifd(data, struct.unpack_from(order + "I", data, 4)[0], order)
     inner = _ifd(data, top[EXIF_FOLDER][0], order) if EXIF_FOLDER in top else {}
     tags = {EXIF[t]: _shown(v) for t, v in {**top, **inner}.items() if t in EXIF}
     tags |= {XP[t]: v.decode("utf-16-le", "ignore").strip("\0 ") for t, v in top.items() if t in XP and isinstance(v, bytes)}
+    if XMP_TAG in top and isinstance(top[XMP_TAG], bytes):
+        tags = {**xmp(top[XMP_TAG]), **tags}
     if GPS_FOLDER in top:
         g = _ifd(data, top[GPS_FOLDER][0], order)
         if 2 in g and 4 in g:
@@ -128,6 +131,19 @@ def png(data: bytes) -> dict[str, str]:
     return tags
 
 
+def webp(data: bytes) -> dict[str, str]:
+    tags, at = {}, 12
+    while data[:4] == b"RIFF" and at + 8 <= len(data):
+        kind, size = struct.unpack_from("<4sI", data, at)
+        body = data[at + 8:at + 8 + size]
+        if kind == b"EXIF":
+            tags = {**tags, **exif(body.removeprefix(b"Exif\0\0"))}
+        elif kind == b"XMP ":
+            tags = {**xmp(body), **tags}
+        at += 8 + size + size % 2
+    return tags
+
+
 def mp3(data: bytes) -> dict[str, str]:
     """Text frames of ID3v2.3 and 2.4."""
     def safe(b: bytes) -> int:
@@ -148,20 +164,48 @@ def mp3(data: bytes) -> dict[str, str]:
     return tags
 
 
-def flac(data: bytes) -> dict[str, str]:
+def comments(data: bytes) -> dict[str, str]:
+    """Vorbis comments: name=value, values of one name joined."""
     values: dict[str, list[str]] = {}
+    f = io.BytesIO(data)
+    number = lambda: struct.unpack("<I", f.read(4))[0]
+    f.read(number())
+    for _ in range(number()):
+        key, _, value = f.read(number()).decode("utf-8", "ignore").partition("=")
+        values.setdefault(key.replace("_", " ").title(), []).append(value)
+    return {k: ", ".join(v) for k, v in values.items()}
+
+
+def flac(data: bytes) -> dict[str, str]:
+    tags: dict[str, str] = {}
     at, last = 4, False
     while not last and data[:4] == b"fLaC" and at + 4 <= len(data):
         last, kind, size = bool(data[at] & 0x80), data[at] & 0x7F, int.from_bytes(data[at + 1:at + 4], "big")
         if kind == 4:
-            f = io.BytesIO(data[at + 4:at + 4 + size])
-            number = lambda: struct.unpack("<I", f.read(4))[0]
-            f.read(number())
-            for _ in range(number()):
-                key, _, value = f.read(number()).decode("utf-8", "ignore").partition("=")
-                values.setdefault(key.replace("_", " ").title(), []).append(value)
+            tags |= comments(data[at + 4:at + 4 + size])
         at += 4 + size
-    return {k: ", ".join(v) for k, v in values.items()}
+    return tags
+
+
+def ogg(data: bytes) -> dict[str, str]:
+    """The comment packet of the first stream, Vorbis or Opus: its second packet."""
+    packets, held, at, stream = [], b"", 0, None
+    while len(packets) < 2 and data[at:at + 4] == b"OggS":
+        serial, n = data[at + 14:at + 18], data[at + 26]
+        sizes, body = data[at + 27:at + 27 + n], at + 27 + n
+        stream = serial if stream is None else stream
+        for size in sizes:
+            if serial == stream:
+                held += data[body:body + size]
+                if size < 255:
+                    packets.append(held)
+                    held = b""
+            body += size
+        at = body
+    for mark in (b"\3vorbis", b"OpusTags"):
+        if len(packets) > 1 and packets[1].startswith(mark):
+            return comments(packets[1][len(mark):])
+    return {}
 
 
 def mp4(data: bytes) -> dict[str, str]:
@@ -196,4 +240,11 @@ def _tags(read: Callable[[bytes], dict[str, str]]) -> Callable[[bytes], Iterator
     return units
 
 
-READERS = {s: _tags(f) for f, suffixes in ((jpeg, (".jpg", ".jpeg")), (png, (".png",)), (mp3, (".mp3",)), (flac, (".flac",)), (mp4, (".m4a", ".mp4", ".m4v", ".mov"))) for s in suffixes}
+# Suffixes of pictures that can be decoded, raw pictures, sound and film.
+PICTURES = (".jpg", ".jpeg", ".png", ".webp", ".tif", ".tiff", ".heic", ".heif")
+RAW = (".arw", ".cr2", ".cr3", ".dng", ".nef", ".nrw", ".orf", ".pef", ".raf", ".raw", ".rw2", ".srw")
+SOUND = (".mp3", ".flac", ".ogg", ".oga", ".opus", ".m4a", ".aac")
+FILM = (".mp4", ".m4v", ".mov")
+SUFFIXES = (*PICTURES, *RAW, *SOUND, *FILM)
+_READ = {jpeg: (".jpg", ".jpeg"), png: (".png",), webp: (".webp",), exif: (".tif", ".tiff", *RAW), mp3: (".mp3", ".aac"), flac: (".flac",), ogg: (".ogg", ".oga", ".opus"), mp4: (".m4a", *FILM)}
+READERS = {s: _tags(lambda data: {}) for s in SUFFIXES} | {s: _tags(f) for f, suffixes in _READ.items() for s in suffixes}

@@ -39,6 +39,12 @@ def test_sound_and_film_tags():
     comment = struct.pack("<I", 1) + b"v" + struct.pack("<I", 2) + b"".join(struct.pack("<I", len(c)) + c for c in (b"ARTIST=A", b"ARTIST=B"))
     assert list(media.READERS[".flac"](b"fLaC\x84" + len(comment).to_bytes(3, "big") + comment)) == [(1, "[Artist] A, B", "tag")]
     assert list(media.READERS[".mp3"](b"")) == []
+    head = b"\1vorbis" + b"\0" * 23
+    packet = b"\3vorbis" + comment + b"\1"
+    page = lambda n, *packets: b"OggS\0\0" + b"\0" * 8 + b"abcd" + struct.pack("<I", n) + b"\0" * 4 + bytes([len(packets), *map(len, packets)]) + b"".join(packets)
+    assert list(media.READERS[".ogg"](page(0, head) + page(1, packet))) == [(1, "[Artist] A, B", "tag")]
+    assert list(media.READERS[".opus"](page(0, b"OpusHead") + page(1, b"OpusTags" + comment))) == [(1, "[Artist] A, B", "tag")]
+    assert list(media.READERS[".ogg"](b"")) == []
 
 
 def test_picture_tags():
@@ -55,6 +61,9 @@ def test_picture_tags():
     tiff = b"II*\0" + struct.pack("<I", 8) + top + gps + numbers
     jpg = b"\xff\xd8\xff\xe1" + struct.pack(">H", len(tiff) + 8) + b"Exif\0\0" + tiff + b"\xff\xda"
     assert [t for _, t, _ in media.READERS[".jpg"](jpg)] == ["[GPS] -33.510000, 151.000000", "[Make] Ab"]
+    assert [t for _, t, _ in media.READERS[".nef"](tiff)] == ["[GPS] -33.510000, 151.000000", "[Make] Ab"]
+    webp = b"RIFF\0\0\0\0WEBP" + b"EXIF" + struct.pack("<I", len(tiff)) + tiff + b"\0" * (len(tiff) % 2) + b"XMP " + struct.pack("<I", len(packet)) + packet
+    assert [t for _, t, _ in media.READERS[".webp"](webp)] == ["[GPS] -33.510000, 151.000000", "[Headline] News", "[Keywords] sea, sun", "[Make] Ab"]
 
 
 def test_broken_files_give_no_units(spark, tmp_path):

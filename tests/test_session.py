@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 
 from skerry.functions import kernels
 from skerry.functions.previews import find_span, snippet, snippets
+from skerry.plans.query import parse_file_query
 from skerry.operators import output
-from skerry.operators.file_search import search_files
-from skerry.operators.session import Activity, Failed, Finished, Result, SearchSession, paced
+from skerry.operators.file_search import FileSearch, search_files
+from skerry.operators.session import Activity, Failed, Finished, Result, Results, SearchSession, paced
 from skerry.sources import extract
 from skerry.sources.cache import UnitCache
 from skerry.sources.files import list_files
@@ -22,20 +23,26 @@ def test_places_of_terms():
     assert _cut("Quarterly Revenue plan", "revenue") == "Revenue"
     assert _cut("plan of revenue, quarterly", "quarterly revenue") == "revenue, quarterly"
     assert _cut("the revenu plan", "revenue") in ("revenu ", "revenu", " revenu")
-    assert _cut("zzz", "revenue") == "" and _cut("", "x") == "" and _cut("abc", " ") == ""
+    assert _cut("zzz", "revenue") == "z" and _cut("", "x") == "" and _cut("abc", " ") == "a" and _cut("zzz", "far cry") in ("", "z")
     assert kernels.partial_alignment("abc", "xxabcx") == (100.0, 2, 5)
 
 
 def test_snippets(spark):
-    assert snippet("[Author] ann  lee", ["lee"]) == "[Author] ann «lee»"
-    assert snippet("a <b> needle", ["needle"], marks="html") == "a &lt;b&gt; <b>needle</b>"
-    assert snippet("x [red] needle", ["needle"], marks="bold") == "x \\[red] [bold]needle[/bold]"
-    long = snippet("a " * 200 + "needle" + " b" * 200, ["needle"])
+    q = lambda t: parse_file_query(t)
+    assert snippet("[Author] ann  lee", q("lee")) == "[Author] ann «lee»"
+    assert snippet("[Intro: x] lee", q("intro")) == "[«Intro»: x] lee" and snippet("[Author]", q("lee")) == "[Author]"
+    assert snippet("a <b> needle", q("needle"), marks="html") == "a &lt;b&gt; <b>needle</b>"
+    assert snippet("x [red] needle", q("needle"), marks="bold") == "x \\[red] [bold]needle[/bold]"
+    long = snippet("a " * 200 + "needle" + " b" * 200, q("needle"))
     assert "«needle»" in long and len(long) <= 106 and long.startswith("...") and long.endswith("...")
-    assert snippet(None, ["x"]) is None and snippet("", ["x"]) == "" and len(snippet("q" * 300, ["x"])) == 100
-    rows = spark.createDataFrame([(["a needle", None],), (None,), ([],)], "t array<string>").select(snippets(F.col("t"), ["needle"]).alias("s")).collect()
-    assert [r["s"] for r in rows] == [["a «needle»", None], None, []]
-    assert "limit of 2 MiB" in output.skip_warning("x", (1 << 20) + 1, "oversized", 1 << 20)
+    assert snippet(None, q("x")) is None and snippet("", q("x")) == "" and len(snippet("q" * 300, q("far cry"))) == 100
+    assert snippet("plan of revenue, quarterly", q("quarterly revenue")) == "plan of «revenue, quarterly»"
+    assert snippet("only revenue here", q("quarterly revenue")) == "only «revenue» here" and snippet("neither here", q("quarterly revenue")) == "neither here"
+    assert snippet("alpha and beta", q("alpha & beta"), term="beta") == "alpha and «beta»" and snippet("zzz", q("needle")) == "«z»zz"
+    kind = "t array<struct<text: string, matched_term: string, location_kind: string>>"
+    rows = spark.createDataFrame([([("a needle", None, "line"), (None, None, "line"), ("(visual match)", None, "semantic_image")],), (None,), ([],)], kind)
+    assert [r["s"] for r in rows.select(snippets(F.col("t"), q("needle")).alias("s")).collect()] == [["a «needle»", None, "(visual match)"], None, []]
+    assert "--max-file-size 2097152" in output.skip_warning("x", (1 << 20) + 1, "oversized", 1 << 20) and "--max-file-size 2097152" in output.skip_warning("x", 1 << 20, "oversized", 5)
 
 
 def test_cache_reads_only_what_is_new(spark, tmp_path):
@@ -71,7 +78,7 @@ def test_session_events_and_cancelling(spark, tmp_path):
     (tmp_path / "a.txt").write_text("alpha")
     seen = []
     rows = SearchSession(spark, seen.append).run(lambda: search_files(spark, str(tmp_path), "alpha", weights={"contains": 1.0}))
-    assert len(rows) == 1 and isinstance(seen[0], Activity) and any(isinstance(e, Result) for e in seen)
+    assert rows == 1 and isinstance(seen[0], Activity) and any(isinstance(e, Result) for e in seen)
     assert seen[-1] == Finished(1) and not any(isinstance(e, Failed) for e in seen)
 
     def fail():
@@ -89,7 +96,13 @@ def test_session_events_and_cancelling(spark, tmp_path):
         session.cancel()
         return search_files(spark, str(tmp_path), "alpha", weights={"contains": 1.0})
 
-    assert session.run(cancelled) == [] and seen[-1].cancelled
+    assert session.run(cancelled) == 0 and seen[-1].cancelled
+
+    many = spark.range(600).selectExpr("id")
+    seen.clear()
+    none = spark.createDataFrame([], "path string, size_bytes long, reason string")
+    assert SearchSession(spark, seen.append).run(lambda: FileSearch(many, none)) == 600
+    assert sum(isinstance(e, Result) for e in seen) == 250 and [len(e.rows) for e in seen if isinstance(e, Results)] == [250, 100]
 
     told = []
     report = paced(lambda d, t: told.append(d), 60)
