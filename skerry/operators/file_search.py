@@ -134,7 +134,9 @@ def search_files(
     ports = ports or extract.Ports(readers=readers or {})
     want = extract.Wanted(docs_tags, ocr, transcribe, max_file_bytes)
     lines_wanted = contents and (docs_tags or ocr or transcribe)
-    listed = list_files(spark, root, options)
+    # few tasks may have listed many files: reading them is dealt out to all
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    listed = once(list_files(spark, root, options).repartition(parts), "files")
     files, skipped = extract.skips(listed, ports, want) if lines_wanted else (listed, spark.createDataFrame([], SKIPPED))
     rows = name_scores(files, q, weights) if names else files
     none = F.array().cast(f"array<{LINE}>")

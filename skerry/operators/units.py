@@ -55,6 +55,16 @@ def term_score(term: str, text: Column, kind: Column, weights: dict | None, resc
     return F.when(token_kind, matchers.best_token(term, own_tokens, weights, among_words=False)).otherwise(whole)
 
 
+def vocabulary_scores(rows: DataFrame, key: list[str], text: str, word: str, weights: dict | None = None) -> DataFrame:
+    """(key, score): the best token of each row for one word, by a join with the table's
+    vocabulary: every distinct token is scored once, however many rows and tasks have it.
+    Rows without a token that counts are left out.  Worth its shuffles where scoring
+    runs in Python and texts repeat their words."""
+    seen = spread(rows).select(*key, F.explode(F.array_distinct(tokens(normalize(F.col(text))))).alias("token"))
+    known = seen.select("token").distinct().withColumn("score", matchers.best_token(word, F.array("token"), weights, among_words=False))
+    return seen.join(known.where("score > 0"), "token").groupBy(*key).agg(F.max("score").alias("score"))
+
+
 def combine(q: FileQ, columns: dict[str, Column]) -> Column:
     if q.op == "LEAF":
         return columns.get(q.value, F.lit(0.0))

@@ -115,6 +115,19 @@ def _listed(spark: SparkSession, root: str, o: WalkOptions) -> DataFrame:
     return rows.repartition(min(len(seeds), spark.sparkContext.defaultParallelism * 4)).mapInArrow(walk, FILES)
 
 
+def skipped(rel_path: Column, o: WalkOptions) -> Column:
+    """Whether the options skip a file by the names on its path."""
+    parts = F.split(rel_path, "/")
+    out = F.lit(False)
+    if o.skip_hidden_folders:
+        out = out | F.exists(parts, _hidden)
+    if o.skip_noise_folders:
+        out = out | F.arrays_overlap(F.slice(parts, F.lit(1), F.size(parts) - 1), F.array(*map(F.lit, NOISE_FOLDERS)))
+    if o.skip_noise_files:
+        out = out | F.lower(F.element_at(parts, -1)).rlike(_NOISE_FILE)
+    return out
+
+
 def list_files(spark: SparkSession, root: str, options: WalkOptions = WalkOptions()) -> DataFrame:
     """file_id, path, name, rel_path, suffix, size_bytes, mtime_ns, names_only, archive,
     member.  A root that is a file is returned untested and unexpanded."""
@@ -127,17 +140,7 @@ def list_files(spark: SparkSession, root: str, options: WalkOptions = WalkOption
         rows = spark.createDataFrame([(root, os.path.basename(root), s.st_size, s.st_mtime_ns)], FILES)
     else:
         rows = _listed(spark, root, o)
-    parts = F.split("rel_path", "/")
-    folders = F.slice(parts, 1, F.size(parts) - 1)
-    name = F.element_at(parts, -1)
-    skipped = F.lit(False)
-    if o.skip_hidden_folders:
-        skipped = skipped | F.exists(parts, _hidden)
-    if o.skip_noise_folders:
-        skipped = skipped | F.arrays_overlap(folders, F.array(*map(F.lit, NOISE_FOLDERS)))
-    if o.skip_noise_files:
-        skipped = skipped | F.lower(name).rlike(_NOISE_FILE)
-    rows = rows.withColumn("names_only", F.lit(False) if single else skipped)
+    rows = rows.withColumn("names_only", F.lit(False) if single else skipped(F.col("rel_path"), o))
     if not o.match_skipped_names:
         rows = rows.where(~F.col("names_only"))
     rows = rows.select("*", F.lit(None).cast("string").alias("archive"), F.lit(None).cast("string").alias("member"))

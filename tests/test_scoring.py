@@ -68,3 +68,11 @@ def test_near_match_is_shown_where_a_name_matched(spark, tmp_path):
     assert row["breakdown"]["name"] > 0.35 and row["breakdown"]["content"] == 0
     assert [(x["line_number"], x["location_kind"]) for x in row["lines"]] == [(9, "transcript")]
     assert 0.18 <= row["lines"][0]["score"] < 0.25
+
+
+def test_vocabulary_gives_the_scores_of_rows(spark):
+    texts = ["knight knit", "the night", "", None, "nothing"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    joined = {r["i"]: r["score"] for r in units.vocabulary_scores(rows, ["i"], "t", "night").collect()}
+    direct = _scores(spark, "night", texts, "tag")
+    assert joined == {i: pytest.approx(s) for i, s in enumerate(direct) if s > 0} and set(joined) >= {0, 1}
