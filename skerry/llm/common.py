@@ -9,7 +9,8 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass handles; bounds a worker's temporaries.
 CHUNK_BYTES = 2_000_000
@@ -82,6 +83,11 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def columns(names: Iterable[str]) -> list[Column]:
+    """Columns by their whole names, dots included."""
+    return [F.col(f"`{n.replace('`', '``')}`") for n in names]
+
+
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 

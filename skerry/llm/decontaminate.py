@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fresh, materialize, read_table
+from .common import columns, fresh, materialize, read_table
 
 WINDOW = 10
 RAREST = 2
@@ -161,7 +161,7 @@ def report(docs: DataFrame, items: DataFrame, window: int = WINDOW, rarest: int
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents in which no window occurs, with the columns of ``docs``."""
     judged, _, (_, n_hit, *_) = contamination(docs, items, window)
-    return judged.where(F.col(n_hit) == 0).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return judged.where(F.col(n_hit) == 0).select(*columns(docs.columns))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ it; a null language is not learned from; repeated rows are returned each.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import product
 
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, read_table, slices
+from .common import arrow_map, columns, read_table, slices
 
 BUCKETS = 1 << 14
 SMOOTHING = 0.5
@@ -128,10 +128,14 @@ def decode(model: Model, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return loss.argmin(axis=1), score.max(axis=1) / score.sum(axis=1)
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``docs`` with lang_pred, lang_score and lang_ambiguous added; columns of
-    these names are replaced."""
-    own = [c for c in docs.columns if c not in ("lang_pred", "lang_score", "lang_ambiguous")]
+NAMES = ("lang_pred", "lang_score", "lang_ambiguous")
+
+
+def predict(docs: DataFrame, model: Model | None, names: Sequence[str] = NAMES) -> DataFrame:
+    """``docs`` with the predicted language, its score and whether it is ambiguous, in
+    columns of the given names, which replace those of the same."""
+    names = list(names)
+    own = [c for c in docs.columns if c not in names]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,10 +150,11 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 best, score = decode(m, [(t or "").encode() for t in texts])
             name = [m.languages[i] if ok else UNKNOWN for i, ok in zip(best, seen, strict=True)]
             score = np.where(seen, score, 0.0)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), pa.array(name, pa.string()), pa.array(score), pa.array((score < AMBIGUOUS).tolist())], [*own, "lang_pred", "lang_score", "lang_ambiguous"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), pa.array(name, pa.string()), pa.array(score), pa.array((score < AMBIGUOUS).tolist())], [*own, *names])
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own)
-    return arrow_map(docs.select(*own), run, f"{fields}, lang_pred string, lang_score double, lang_ambiguous boolean")
+    added = ", ".join(f"`{n}` {k}" for n, k in zip(names, ("string", "double", "boolean"), strict=True))
+    return arrow_map(docs.select(*columns(own)), run, f"{fields}, {added}")
 
 
 def held_out() -> Column:

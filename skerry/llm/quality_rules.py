@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, fresh, materialize, read_table, slices
+from .common import arrow_map, columns, fresh, materialize, read_table, slices
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -159,7 +159,7 @@ def cleaned(docs: DataFrame, line_limit: int | None = None) -> DataFrame:
         .groupBy(F.col("host").alias(host), F.col("doc").alias(own)).agg(F.collect_set("hash").alias(gone_))
     )
     names = [c for c in docs.columns if c != "clean_text"]
-    hosted = docs.select(*names, F.coalesce(F.col("source").cast("string"), F.lit("")).alias(host), F.col("doc_id").cast("long").alias(own))
+    hosted = docs.select(*columns(names), F.coalesce(F.col("source").cast("string"), F.lit("")).alias(host), F.col("doc_id").cast("long").alias(own))
     joined = hosted.join(often, [host, own], "left")
     schema = f"{', '.join(f'`{c}` {docs.schema[c].dataType.simpleString()}' for c in names)}, clean_text string"
 
@@ -171,7 +171,7 @@ def cleaned(docs: DataFrame, line_limit: int | None = None) -> DataFrame:
                 out.append(text if text is None or not gone else "\n".join(x for x in text.split("\n") if not x.encode().split() or line_hash(x) not in gone))
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(out, pa.string())], [*names, "clean_text"])
 
-    return arrow_map(joined.select(*names, gone_), strip, schema)
+    return arrow_map(joined.select(*columns(names), gone_), strip, schema)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, read_table, slices
+from .common import arrow_map, columns, read_table, slices
 
 SAMPLE = 12_000
 #: A feature is considered if so many toxic rows of the sample have it.
@@ -309,7 +309,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), pa.array(out, pa.float64())], [*own, "toxicity"])
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own)
-    return arrow_map(docs.select(*own), run, f"{fields}, toxicity double")
+    return arrow_map(docs.select(*columns(own)), run, f"{fields}, toxicity double")
 
 
 def held_out() -> Column:
