@@ -84,7 +84,7 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 def columns(names: Iterable[str]) -> list[Column]:
-    """Columns by their whole names, dots included."""
+    """Columns by their whole names."""
     return [F.col(f"`{n.replace('`', '``')}`") for n in names]
 
 

@@ -90,7 +90,7 @@ def test_run_applies_the_stages_in_order(spark):
 
 
 def test_stages_bear_awkward_rows(spark):
-    kind = "doc_id long, text string, lang string, source string, n_chars long, spans string, words string"
+    kind = "doc_id long, text string, lang string, source string, n_chars long, lang_pred string, `words n` string"
     text = "the house and the others of the king said that it was so " * 8
     rows = [(1, text, "en", "s", 5, "x", "y"), (1, text, "en", "s", 5, "x", "y"), (2, None, "en", "s", None, "x", "y"), (None, text + "mail a@b.co", None, None, 3, "x", "y"), (3, "", "de", "s", 0, "x", "y")]
     for docs in (spark.createDataFrame(rows, kind), spark.createDataFrame([], kind)):
