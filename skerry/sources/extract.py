@@ -135,8 +135,13 @@ def xlsx(z: zipfile.ZipFile) -> Iterator[Unit]:
                 yield at, f"[{sheet.get('name', '')}] {' '.join(cells)}", "row"
 
 
-def pptx(z: zipfile.ZipFile) -> Iterator[Unit]:
+def pptx(z: zipfile.ZipFile, ports: Ports | None = None) -> Iterator[Unit]:
+    """Slides; with ports the writing in a slide's pictures before it."""
     for i, name in enumerate(_numbered(z, r"ppt/slides/slide(\d+)\.xml"), 1):
+        for target in _related(z, name).values() if ports else ():
+            part = os.path.normpath(target)
+            if part in z.namelist() and _is_picture(z, part) and (text := ports.writing(z.read(part))):
+                yield i, text, "ocr"
         shapes = ("\n".join(_text(p) for p in _all(s, "p")) for s in _all(ElementTree.fromstring(z.read(name)), "txBody"))
         if t := " ".join(s for s in shapes if s.strip()):
             yield i, t, "slide"
@@ -178,11 +183,22 @@ def _package_tags(data: bytes) -> Iterator[Unit]:
         yield from properties(z)
 
 
-def _package_pictures(data: bytes, ports: Ports) -> Iterator[Unit]:
-    """Writing in the pictures of an office package, numbered as they are stored."""
+def _is_picture(z: zipfile.ZipFile, name: str) -> bool:
+    return "/media/" in name and os.path.splitext(name)[1].lower() in media.PICTURES and z.getinfo(name).file_size >= LEAST_PICTURE
+
+
+def with_writing(suffix: str, data: bytes, ports: Ports) -> Iterator[Unit]:
+    """A document's body and the writing in its pictures: by page or slide, else behind
+    the body, numbered by name."""
+    if suffix == ".pdf":
+        yield from pdf.pages(data, ports.writing, LEAST_PICTURE)
+        return
     with _guarded(data) as z:
-        pictures = [n for n in z.namelist() if "/media/" in n and os.path.splitext(n)[1].lower() in media.PICTURES and z.getinfo(n).file_size >= LEAST_PICTURE]
-        for i, name in enumerate(pictures, 1):
+        if suffix == ".pptx":
+            yield from pptx(z, ports)
+            return
+        yield from (docx if suffix == ".docx" else xlsx)(z)
+        for i, name in enumerate(sorted(n for n in z.namelist() if _is_picture(z, n)), 1):
             if text := ports.writing(z.read(name)):
                 yield i, text, "ocr"
 
@@ -287,10 +303,10 @@ def _surfaces(row: dict, ports: Ports, want: Wanted) -> Iterator[Unit]:
     elif fits(limit) and (want.docs_tags or want.ocr):
         read = chosen.get(suffix)
         data = _read(path, None, None) if read else b""
-        if want.docs_tags:
+        if want.ocr and suffix in DOCUMENTS:
+            yield from (u for u in _some(with_writing, suffix, data, ports) if want.docs_tags or u[2] == "ocr")
+        elif want.docs_tags:
             yield from _some(read, data) if read else plain_file(path)
-        if want.ocr and suffix in OFFICE:
-            yield from _some(_package_pictures, data, ports)
     if want.docs_tags:
         yield from attributes(path)
         if suffix in OFFICE and fits(limit):

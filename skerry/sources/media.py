@@ -111,6 +111,17 @@ def jpeg(data: bytes) -> dict[str, str]:
     return tags
 
 
+def embedded(data: bytes) -> dict[str, str]:
+    """Tags of a container that holds EXIF and XMP in boxes of its own (HEIC, CR3, RAF):
+    the TIFF behind a known mark, and the XMP packet."""
+    tags: dict[str, str] = {}
+    for m in re.finditer(rb"(?:Exif\0\0|CMT[124])(?=II\*\0|MM\0\*)", data):
+        tags = {**exif(data[m.end():]), **tags}
+    if m := re.search(rb"<x:xmpmeta.*?</x:xmpmeta>", data, re.S):
+        tags = {**xmp(m[0]), **tags}
+    return tags
+
+
 def png(data: bytes) -> dict[str, str]:
     tags, at = {}, 8
     while at + 8 <= len(data):
@@ -246,5 +257,5 @@ RAW = (".arw", ".cr2", ".cr3", ".dng", ".nef", ".nrw", ".orf", ".pef", ".raf", "
 SOUND = (".mp3", ".flac", ".ogg", ".oga", ".opus", ".m4a", ".aac")
 FILM = (".mp4", ".m4v", ".mov")
 SUFFIXES = (*PICTURES, *RAW, *SOUND, *FILM)
-_READ = {jpeg: (".jpg", ".jpeg"), png: (".png",), webp: (".webp",), exif: (".tif", ".tiff", *RAW), mp3: (".mp3", ".aac"), flac: (".flac",), ogg: (".ogg", ".oga", ".opus"), mp4: (".m4a", *FILM)}
+_READ = {jpeg: (".jpg", ".jpeg"), png: (".png",), webp: (".webp",), embedded: (".heic", ".heif", ".cr3", ".raf"), exif: (".tif", ".tiff", *(s for s in RAW if s not in (".cr3", ".raf"))), mp3: (".mp3", ".aac"), flac: (".flac",), ogg: (".ogg", ".oga", ".opus"), mp4: (".m4a", *FILM)}
 READERS = {s: _tags(lambda data: {}) for s in SUFFIXES} | {s: _tags(f) for f, suffixes in _READ.items() for s in suffixes}

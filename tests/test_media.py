@@ -19,11 +19,37 @@ def _pdf(parts, packed=True):
     return out + b"92 0 obj <</Length %d>> stream\n%s\nendstream endobj trailer <</Root 1 0 R>>" % (len(cmap), cmap)
 
 
+def _lzw(data):
+    """LZW as PDF has it: most significant bit first, widths of 9 to 12 bits changed one code early."""
+    table, word, bits, n, width = {bytes([i]): i for i in range(256)}, b"", 256, 9, 9
+    for i in range(len(data) + 1):
+        c = data[i:i + 1]
+        if c and word + c in table:
+            word += c
+            continue
+        bits, n = bits << width | table[word], n + width
+        if c:
+            table[word + c] = len(table) + 2
+            width = min(12, (len(table) + 3).bit_length())
+            word = c
+    bits, n = bits << width | 257, n + width
+    return (bits << -n % 8).to_bytes((n + 7) // 8, "big")
+
+
 def test_pdf_pages():
     body = b"BT /F1 12 Tf 1 0 0 1 72 700 Tm (Quarterly \\(net\\)) Tj 0 -14 Td [(rev) 20 (enue) -300 (plan)] TJ ET"
     for packed in (True, False):
         got = list(pdf.pages(_pdf([body, b"", b"BT /F2 9 Tf <0001000200030041> Tj ET"], packed)))
         assert got == [(1, "Quarterly (net)\nrevenue plan", "page"), (3, "abcα", "page")]
+    import base64
+
+    for name, coded in (("ASCII85Decode", base64.a85encode(body) + b"~>"), ("ASCIIHexDecode", body.hex().encode() + b">"), ("RunLengthDecode", bytes([len(body) - 1]) + body + bytes([128])), ("LZWDecode", _lzw(body))):
+        assert pdf.FILTERS[name](coded) == body
+    assert pdf._run_length(bytes([2, 65, 66, 67, 254, 68, 128, 9])) == b"ABCDDD"
+    with_picture = _pdf([body]).replace(b"/Resources<<", b"/Resources<</XObject<</I 95 0 R/J 96 0 R>>")
+    with_picture += b" 95 0 obj <</Subtype/Image/Filter/DCTDecode/Length 7>> stream\ninvoice\nendstream endobj 96 0 obj <</Subtype/Image/Filter/FlateDecode/Length 2>> stream\nxx\nendstream endobj"
+    assert list(pdf.pages(with_picture, bytes.decode)) == [(1, "Quarterly (net)\nrevenue plan", "page"), (1, "invoice", "ocr")]
+    assert list(pdf.pages(with_picture, bytes.decode, 8)) == [(1, "Quarterly (net)\nrevenue plan", "page")]
     assert list(pdf.pages(b"%PDF-1.4 nothing")) == [] and list(pdf.pages(b"")) == []
 
 
@@ -62,6 +88,9 @@ def test_picture_tags():
     jpg = b"\xff\xd8\xff\xe1" + struct.pack(">H", len(tiff) + 8) + b"Exif\0\0" + tiff + b"\xff\xda"
     assert [t for _, t, _ in media.READERS[".jpg"](jpg)] == ["[GPS] -33.510000, 151.000000", "[Make] Ab"]
     assert [t for _, t, _ in media.READERS[".nef"](tiff)] == ["[GPS] -33.510000, 151.000000", "[Make] Ab"]
+    box = b"\0\0\0\x18ftypheic" + b"junk" * 5 + b"\0\0\0\6Exif\0\0" + tiff + b'<x:xmpmeta xmlns:x="x" xmlns:d="d"><d:headline>News</d:headline></x:xmpmeta>'
+    assert [t for _, t, _ in media.READERS[".heic"](box)] == ["[GPS] -33.510000, 151.000000", "[Headline] News", "[Make] Ab"]
+    assert [t for _, t, _ in media.READERS[".cr3"](b"\0\0\0\x50CMT1" + tiff)] == ["[GPS] -33.510000, 151.000000", "[Make] Ab"]
     webp = b"RIFF\0\0\0\0WEBP" + b"EXIF" + struct.pack("<I", len(tiff)) + tiff + b"\0" * (len(tiff) % 2) + b"XMP " + struct.pack("<I", len(packet)) + packet
     assert [t for _, t, _ in media.READERS[".webp"](webp)] == ["[GPS] -33.510000, 151.000000", "[Headline] News", "[Keywords] sea, sun", "[Make] Ab"]
 
