@@ -20,7 +20,7 @@ def _pdf(parts, packed=True):
 
 
 def _lzw(data):
-    """LZW as PDF has it: most significant bit first, widths of 9 to 12 bits changed one code early."""
+    """LZW as PDF has it: most significant bit first, widths of 9 to 12 bits changed so early that a reader, an entry behind, can follow."""
     table, word, bits, n, width = {bytes([i]): i for i in range(256)}, b"", 256, 9, 9
     for i in range(len(data) + 1):
         c = data[i:i + 1]
@@ -30,7 +30,7 @@ def _lzw(data):
         bits, n = bits << width | table[word], n + width
         if c:
             table[word + c] = len(table) + 2
-            width = min(12, (len(table) + 3).bit_length())
+            width = min(12, (len(table) + 2).bit_length())
             word = c
     bits, n = bits << width | 257, n + width
     return (bits << -n % 8).to_bytes((n + 7) // 8, "big")
@@ -45,6 +45,8 @@ def test_pdf_pages():
 
     for name, coded in (("ASCII85Decode", base64.a85encode(body) + b"~>"), ("ASCIIHexDecode", body.hex().encode() + b">"), ("RunLengthDecode", bytes([len(body) - 1]) + body + bytes([128])), ("LZWDecode", _lzw(body))):
         assert pdf.FILTERS[name](coded) == body
+    long = bytes(i * i % 251 % 11 + 97 for i in range(4000))
+    assert pdf._lzw(_lzw(long)) == long
     assert pdf._run_length(bytes([2, 65, 66, 67, 254, 68, 128, 9])) == b"ABCDDD"
     with_picture = _pdf([body]).replace(b"/Resources<<", b"/Resources<</XObject<</I 95 0 R/J 96 0 R>>")
     with_picture += b" 95 0 obj <</Subtype/Image/Filter/DCTDecode/Length 7>> stream\ninvoice\nendstream endobj 96 0 obj <</Subtype/Image/Filter/FlateDecode/Length 2>> stream\nxx\nendstream endobj"
