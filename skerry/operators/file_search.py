@@ -117,12 +117,13 @@ def search_files(
     spark: SparkSession, root: str, query: str | FileQ, *, names: bool = True, contents: bool = True, docs_tags: bool = True, ocr: bool = False, transcribe: bool = False,
     pictures: Pictures | None = None, threshold: float = units.THRESHOLD, picture_threshold: float = units.PREVIEW_THRESHOLD, transcript_threshold: float = units.TRANSCRIPT_THRESHOLD,
     limit: int | None = None, max_matches: int = 50, max_file_bytes: int | None = None, weights: dict | None = None, options: WalkOptions = WalkOptions(),
-    readers: dict[str, Callable] | None = None, ports: extract.Ports | None = None, cache: UnitCache | None = None,
+    readers: dict[str, Callable] | None = None, ports: extract.Ports | None = None, cache: UnitCache | None = None, files: DataFrame | None = None,
 ) -> FileSearch:
     """Files that match by name, content or picture, best first, ties by path; and what
     was too long to read, which still matches by name.  The terms of a compound query
     may be satisfied by different lines, by the name or by the picture.  cache: units
-    are taken from it, and put into it where they are new."""
+    are taken from it, and put into it where they are new.  files: a listing as
+    ``list_files`` gives it, to be searched in place of the folder's."""
     if not names and not contents:
         raise ValueError("nothing to search: names and contents are both off")
     if contents and not (docs_tags or ocr or transcribe or pictures):
@@ -136,7 +137,7 @@ def search_files(
     lines_wanted = contents and (docs_tags or ocr or transcribe)
     # few tasks may have listed many files: reading them is dealt out to all
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    listed = once(list_files(spark, root, options).repartition(parts), "files")
+    listed = once((list_files(spark, root, options) if files is None else files).repartition(parts), "files")
     files, skipped = extract.skips(listed, ports, want) if lines_wanted else (listed, spark.createDataFrame([], SKIPPED))
     rows = name_scores(files, q, weights) if names else files
     none = F.array().cast(f"array<{LINE}>")

@@ -71,25 +71,39 @@ def combine(q: FileQ, columns: dict[str, Column]) -> Column:
     return (F.least if q.op == "AND" else F.greatest)(*(combine(c, columns) for c in q.children))
 
 
+def _settled(rows: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """``rows`` with columns that are made once: filters on them are not carried below a
+    generator, and so do not repeat what makes them."""
+    kept = [c for c in rows.columns if c not in values]
+    return rows.select(*kept, F.inline(F.array(F.struct(*(v.alias(n) for n, v in values.items())))))
+
+
 def score_units(units: DataFrame, q: FileQ, weights: dict | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """``units`` with term_0 ... and ``score``; blank units are dropped."""
     text, kind = F.col("text"), F.col("location_kind")
-    scored = units.withColumn("_body", unit_body(text, kind))  # a column of its own: made once for all uses
+    scored = _settled(units, {"_body": unit_body(text, kind)})
     scored = scored.where((F.col("_body") != "") | (kind == "tag") & (normalize(text) != ""))
     names = {t: f"term_{i}" for i, t in enumerate(q.terms())}
-    scored = scored.withColumns({n: term_score(t, text, kind, weights, threshold, F.col("_body")) for t, n in names.items()}).drop("_body")
+    scores = {n: term_score(t, text, kind, weights, threshold, F.col("_body")) for t, n in names.items()}
+    # Spark would run Python functions again for each filter on what they give
+    scored = _settled(scored.withColumns(scores), {n: F.col(n) for n in names.values()}) if matchers.has_python(weights) else scored.withColumns(scores)
+    scored = scored.drop("_body")
     return scored.withColumn("score", combine(q, {t: F.col(n) for t, n in names.items()}))
 
 
 def kept_lines(scored: DataFrame, threshold: float = THRESHOLD, max_matches: int = 50, transcript_threshold: float = TRANSCRIPT_THRESHOLD) -> DataFrame:
     """The best units of each file with ``rank``; of those with one line number and
-    kind only the best."""
+    kind only the best.  Lines, pages, paragraphs, rows and slides have places of their
+    own: only what token kinds repeat is shuffled by place, and where a table has one
+    kind alone, that branch falls away."""
     limit = F.when(F.col("location_kind") == "transcript", transcript_threshold).otherwise(threshold)
     best = [F.col("score").desc(), F.col("unit_ord")]
     same = Window.partitionBy("file_id", "line_number", "location_kind").orderBy(*best)
     own = Window.partitionBy("file_id").orderBy(*best)
     rows = scored.where((F.col("score") > 0) & (F.col("score") >= limit))
-    rows = rows.withColumn("_first", F.row_number().over(same)).where("_first = 1").drop("_first")
+    repeats = F.col("location_kind").isin(*TOKEN_KINDS)
+    single = rows.where(repeats).withColumn("_first", F.row_number().over(same)).where("_first = 1").drop("_first")
+    rows = rows.where(~repeats).unionByName(single)
     return rows.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= max_matches)
 
 

@@ -50,14 +50,33 @@ def is_word(token: str) -> bool:
     return len(token) >= 4 and token.isalpha()
 
 
+def written_tokens(text: str) -> list[str]:
+    """Words of writing that may tell whether it was read aright."""
+    return [w for t in re.findall(r"[\w']+", text.lower()) for w in re.split("[_-]+", t) if len(w) >= 4 and w.isalpha()]
+
+
+def writing_quality(text: str, known: Callable[[str], bool] = is_word) -> float:
+    """How well a picture's writing was read: long words count, blanks and crumbs of
+    lines count against it, and known words most."""
+    flat = " ".join(text.split())
+    words = re.findall("[a-z]{4,}", flat.lower())
+    if not words:
+        return 0.0
+    crumbs = sum(0 < len(line.strip()) <= 2 for line in text.splitlines())
+    base = 25 * len(words) * len(flat) / max(len(text), 1) - 10 * crumbs
+    tokens = written_tokens(text)
+    hits = sum(map(known, tokens))
+    return base * (0.35 + 0.65 * hits / len(tokens)) + 50 * hits if tokens else base
+
+
 @dataclass(frozen=True)
 class Ports:
     """What reads content.  readers: more readers by suffix.  ocr: the writing in a
-    picture's bytes.  speech: (second, text) of a sound's or film's bytes.  Functions
+    picture's bytes, or several readings of it, of which the best counts.  speech: (second, text) of a sound's or film's bytes.  Functions
     must pickle; they run in the workers."""
 
     readers: dict[str, Callable[[bytes], Iterator[Unit]]] = field(default_factory=dict)
-    ocr: Callable[[bytes], str] | None = None
+    ocr: Callable[[bytes], str | list[str]] | None = None
     speech: Callable[[bytes], Iterable[tuple[int, str]]] | None = None
     ocr_bytes: int | None = OCR_BYTES
     speech_bytes: int | None = SPEECH_BYTES
@@ -65,9 +84,9 @@ class Ports:
 
     def writing(self, picture: bytes) -> str:
         """Writing in a picture; none if no word is in it."""
-        text = self.ocr(picture).strip()
-        words = (w for t in re.findall(r"[\w']+", text.lower()) for w in re.split("[_-]+", t))
-        return text if any(map(self.is_word, words)) else ""
+        read = self.ocr(picture)
+        text = max([read] if isinstance(read, str) else read, key=lambda t: writing_quality(t, self.is_word), default="").strip()
+        return text if any(map(self.is_word, written_tokens(text))) else ""
 
 
 def plain(data: bytes) -> Iterator[Unit]:

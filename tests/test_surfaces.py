@@ -71,6 +71,16 @@ def test_writing_and_speech_are_read_where_asked_for(spark, tree):
         search_files(spark, str(tree), "x", ocr=True)
 
 
+def test_the_best_of_several_readings_counts(spark, tree):
+    assert extract.writing_quality("") == extract.writing_quality("a b 12") == 0
+    assert extract.writing_quality("invoice total") > extract.writing_quality("i\nn\nvoice   xx") > 0
+    assert extract.writing_quality("invoice zzzz", {"invoice"}.__contains__) == pytest.approx(50 * (0.35 + 0.65 * 0.5) + 50)
+    several = extract.Ports(ocr=lambda data: ["", "v\no\ni", "invoice total", "x"])
+    assert several.writing(b"") == "invoice total" and extract.Ports(ocr=lambda data: []).writing(b"") == ""
+    listing = list_files(spark, str(tree)).where("suffix = '.txt'")
+    assert [r["path"].rsplit("/", 1)[1] for r in search_files(spark, str(tree), "invoice", files=listing, weights=CONTAINS).results.collect()] == ["note.txt"]
+
+
 def test_limits_of_each_kind(spark, tree):
     _, skipped = found(spark, tree, "invoice", max_file_bytes=20)
     assert skipped == {"note.txt": "oversized", "d.docx": "oversized"}
