@@ -5,6 +5,7 @@ import zipfile
 import pytest
 
 import skerry
+from skerry import cli
 from skerry.operators import layout, output, records
 from skerry.operators.file_search import Pictures, search_files
 from skerry.sources import extract
@@ -121,6 +122,18 @@ def test_cached_units_serve_file_search(spark, tree, tmp_path_factory):
     assert set(first) == set(again) == {"note.txt", "scan.png", "d.docx"} and set(plain) == {"note.txt"}
 
 
+def test_command_line_names_what_reads(spark, tree, capsys):
+    here = "tests.test_surfaces"
+    args = ["invoice", str(tree), "--no-names", "--format", "flat", "--max-ocr-file-size", "20"]
+    assert cli.main([*args, "--ocr", f"{here}:read_writing", "--transcribe", f"{here}:read_speech"], spark) == 0
+    out, told = capsys.readouterr()
+    assert "scan.png:ocr:1:" in out and "talk.mp3:transcript:160:" in out and "skipped OCR" not in told
+    assert cli.main([*args[:-1], "5", "--ocr", f"{here}:read_writing"], spark) == 0
+    assert "skipped OCR in" in capsys.readouterr().err
+    assert cli.main(["beach", str(tree), "--names-only"], spark) == 1
+    assert 'No matches for "beach"' in capsys.readouterr().err
+
+
 def test_plain_calls(spark, tree):
     class Thing:
         def __init__(self, name):
