@@ -2,7 +2,8 @@
 
 Documents are tokenized and cut into pieces of at most ``capacity`` tokens.  What
 the plan needs of them is a histogram of lengths, which has ``capacity`` entries
-whatever the corpus:
+whatever the corpus; pieces as long as a sequence are sequences, under negative
+numbers, and leave the plan out:
 
 1. large lengths are split into groups of equal cardinality, and rounded up to
    the longest of their group;
@@ -43,7 +44,7 @@ VOCABULARY = "word_bpe_49k.json"
 LARGE_SHARES = (0.5, 0.34, 0.2)
 GROUPS = 24
 #: Rows of a rank bucket, about.
-BUCKET_ROWS = 2_000
+BUCKET_ROWS = 500
 
 #: Texts of these characters alone are lower-cased and split here; what Unicode
 #: versions or normal forms could treat in another way goes to the tokenizer whole.
@@ -359,9 +360,14 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = N
     Ranks and places are given to rows without tokens, which join these at the end."""
     cut = pieces(docs, capacity, vocabulary).withColumn("ids_crc32", F.crc32("ids")).withColumn("uid", F.monotonically_increasing_id())
     cut = materialize(cut if keep_ids else cut.drop("ids"), "pieces")
-    histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
-    rows = placed(ranked(cut.drop("ids"), histogram, capacity), plan(histogram, capacity)).drop("rank")
-    return (rows.join(cut.select("uid", "ids"), "uid") if keep_ids else rows).drop("uid")
+    # a piece that fills a sequence is one, and needs neither rank nor shuffle
+    zero = F.lit(0).cast("long")
+    whole = cut.where(F.col("length") == capacity).withColumns({"sequence_id": -1 - F.col("uid"), "offset": zero})
+    rest = cut.where(F.col("length") < capacity)
+    histogram = {r["length"]: r["n"] for r in rest.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
+    rows = placed(ranked(rest.drop("ids"), histogram, capacity), plan(histogram, capacity)).drop("rank")
+    rows = rows.join(rest.select("uid", "ids"), "uid") if keep_ids else rows
+    return whole.unionByName(rows).drop("uid")
 
 
 def sequences(rows: DataFrame) -> DataFrame:
