@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Bytes of text that one numpy pass handles; bounds a worker's temporaries.
 CHUNK_BYTES = 2_000_000
@@ -92,6 +93,26 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
+def with_columns(df: DataFrame, added: StructType, reads: Iterable[str], make: Callable[..., Iterable[pa.Array]]) -> DataFrame:
+    """``df`` with the columns ``added``, which ``make`` gives for the columns ``reads`` of a
+    slice; the first of these, a text, bounds the slice.  Columns of ``df`` that have the
+    name of an added one, in any case, are replaced.  All pass under names made here, since
+    Spark's Arrow functions take no column whose name holds a backtick."""
+    fields, reads = df.schema.fields, list(reads)
+    taken = {f.name.lower() for f in added}
+    kept = [i for i, f in enumerate(fields) if f.name.lower() not in taken]
+    at = [f"c{next(i for i, f in enumerate(fields) if f.name == r)}" for r in reads]
+    names = [*(f"c{i}" for i in kept), *(f"n{i}" for i in range(len(added)))]
+    types = [*(fields[i].dataType for i in kept), *(f.dataType for f in added)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, at[0]):
+            yield pa.RecordBatch.from_arrays([*(b.column(f"c{i}") for i in kept), *make(*(b.column(a) for a in at))], names)
+
+    mapped = df.toDF(*(f"c{i}" for i in range(len(fields)))).mapInArrow(run, StructType([StructField(n, t) for n, t in zip(names, types, strict=True)]))
+    return mapped.toDF(*(fields[i].name for i in kept), *(f.name for f in added))
+
+
 def table(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.record_batch([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
