@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,28 +97,3 @@ def hit_rate(ranked: DataFrame, expected: DataFrame, k: int) -> DataFrame:
     its query in ``ranked`` (query, id, rank), ranks from 1."""
     hits = ranked.where(F.col("rank") <= k).select("query", "id").distinct().withColumn("_hit", F.lit(1.0))
     return expected.join(hits, ["query", "id"], "left").agg(F.avg(F.coalesce("_hit", F.lit(0.0))).alias("rate"))
-
-
-class Best:
-    """The best ``limit`` results so far, one for each key, for results that come one by
-    one: earlier ones stay first among equal scores."""
-
-    def __init__(self, limit: int | None = None) -> None:
-        self.limit, self.rows, self._keys = limit, [], []
-
-    def add(self, key: str, score: float, row: object) -> bool:
-        """Whether the result is among the best now."""
-        for i, (s, k, _) in enumerate(self.rows):
-            if k == key:
-                if s >= score:
-                    return False
-                del self.rows[i], self._keys[i]
-                break
-        at = bisect_right(self._keys, -score)
-        if self.limit is not None and at >= self.limit:
-            return False
-        self._keys.insert(at, -score)
-        self.rows.insert(at, (score, key, row))
-        if self.limit is not None:
-            del self.rows[self.limit:], self._keys[self.limit:]
-        return True

@@ -15,7 +15,7 @@ from .operators import file_search, matchers, output, records, units
 from .operators.layout import shared_folder, spread
 from .plans.query import FieldConfig, MatchType, Q, parse_file_query, query_terms
 from .sources.files import WalkOptions, list_files, skipped
-from .streaming import scores
+from .streaming import best, scores
 
 NATIVE = {"exact": 0.2, "contains": 0.5, "partial": 0.3}
 QUERIES: dict = {}
@@ -377,6 +377,25 @@ def t_scores(spark, d):
     return scores.score_arrived(scored, f"{shared_folder(spark) or spark.conf.get('spark.sql.warehouse.dir')}/stream-{uuid.uuid4().hex}")
 
 
+@query(f"""SELECT p_brand, p_name, score, CAST(rank AS INT) AS rank FROM (
+ SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY score DESC, p_name) AS rank FROM (
+  SELECT p_brand, p_name, max({_native_sql('p_type', 'large')} * p_retailprice)::DOUBLE AS score FROM part GROUP BY p_brand, p_name)) WHERE rank <= 10""")
+def t_best(spark, d):
+    """The best ten names of each brand, kept up over a stream that arrives in four parts
+    and is stopped and gone on with in between."""
+    work = f"{shared_folder(spark) or spark.conf.get('spark.sql.warehouse.dir')}/best-{uuid.uuid4().hex}"
+    part = _t(spark, d, "part")
+    score = matchers.score(MatchType.COMPOSITE, "large", normalize(F.col("p_type")), NATIVE) * F.col("p_retailprice")
+    kept = None
+    for half in range(2):
+        part.where(F.pmod(F.xxhash64("p_partkey"), F.lit(2)) == half).repartition(2).write.mode("append").parquet(f"{work}/in")
+        stream = spark.readStream.schema(part.schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/in")
+        rows = stream.select("p_brand", "p_name", score.alias("score"))
+        kept = kept or best.BestSoFar(work, rows.schema, 10, "p_name", groups=["p_brand"])
+        kept.start(rows).awaitTermination()
+    return kept.now(spark).select("p_brand", "p_name", "score", "rank")
+
+
 @query("SELECT regexp_extract(file, '[^/]*$') AS rel_path, '.parquet' AS suffix, false AS names_only FROM glob('/root/testdata/sf0.01/*.parquet')")
 def s_walk(spark, d):
     """The test tables' own folder, as the file source lists it; every size has the same files."""

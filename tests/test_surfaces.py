@@ -155,13 +155,10 @@ def test_plain_calls(spark, tree):
         skerry.magic_file_search(str(tree), "invoice", max_line_matches=1, spark=spark)
 
 
-def test_hit_rate_and_best_so_far(spark):
+def test_hit_rate(spark):
     ranked = spark.createDataFrame([("q", 1, 1), ("q", 2, 2), ("r", 5, 3)], "query string, id int, rank int")
     wanted = spark.createDataFrame([("q", 2), ("r", 5)], "query string, id int")
     assert [records.hit_rate(ranked, wanted, k).first()["rate"] for k in (1, 2, 3)] == [0, 0.5, 1]
-    best = records.Best(2)
-    assert [best.add(*x) for x in (("a", 0.5, 1), ("b", 0.5, 2), ("c", 0.4, 3), ("d", 0.9, 4), ("a", 0.3, 5), ("b", 0.95, 6))] == [True, True, False, True, False, True]
-    assert [(k, s) for s, k, _ in best.rows] == [("b", 0.95), ("d", 0.9)]
 
 
 def test_small_tables_are_dealt_out_and_results_written_once(spark, monkeypatch, tmp_path):
