@@ -104,7 +104,7 @@ def picture_scores(files: DataFrame, q: FileQ, pictures: Pictures) -> DataFrame:
             for b in batches:
                 for at in range(0, b.num_rows, PICTURES_AT_ONCE):
                     paths = b.column("path").slice(at, PICTURES_AT_ONCE)
-                    vectors = pictures.read([extract._read(p, None, None) for p in paths.to_pylist()])
+                    vectors = pictures.read([extract._read(p) for p in paths.to_pylist()])
                     yield pa.RecordBatch.from_arrays([paths, pa.array([list(map(float, v)) for v in vectors], pa.list_(pa.float64()))], ["path", "embedding"])
 
         found = own.mapInArrow(read, "path string, embedding array<double>")
@@ -136,13 +136,14 @@ def search_files(
     want = extract.Wanted(docs_tags, ocr, transcribe, max_file_bytes)
     lines_wanted = contents and (docs_tags or ocr or transcribe)
     # few tasks may have listed many files: reading them is dealt out to all
+    given = files is not None
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     listed = once((list_files(spark, root, options) if files is None else files).repartition(parts), "files")
     files, skipped = extract.skips(listed, ports, want) if lines_wanted else (listed, spark.createDataFrame([], SKIPPED))
     rows = name_scores(files, q, weights) if names else files
     none = F.array().cast(f"array<{LINE}>")
     if lines_wanted:
-        found = cache.units(files, ports, want=want) if cache else extract.units(files, ports, want)
+        found = cache.units(files, ports, want=want) if cache else extract.units(files, ports, want, options.include_archives or given)
         rows = rows.join(content_scores(found, q, weights, threshold, max_matches, transcript_threshold, picture_threshold), "file_id", "left")
         rows = rows.withColumns({"kept": F.coalesce("kept", none), "rescued": F.coalesce("rescued", none)} | {f"content_{i}": F.coalesce(f"content_{i}", F.lit(0.0)) for i in range(len(terms))})
         rows = rows.withColumn("lines", merge_lines(F.col("kept"), F.col("rescued"), max_matches)).withColumn("content", F.coalesce(F.try_element_at("lines", F.lit(1))["score"], F.lit(0.0)))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import extract
+from . import archives, extract
 
 _SCHEMAS = {
     "hashes": "path string, mtime_ns long, size_bytes long, content_hash string",
@@ -30,6 +30,10 @@ KEY = ["kind", "variant", "content_hash"]
 _PLACE = ["path", "mtime_ns", "size_bytes"]
 
 
+def _digest(content: bytes) -> str:
+    return hashlib.blake2b(content, digest_size=32).hexdigest()
+
+
 class UnitCache:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -53,12 +57,22 @@ class UnitCache:
         """``files`` with content_hash; only files that are new or changed are read."""
         fresh = files.join(self._read("hashes"), _PLACE, "left_anti").select(*_PLACE, "archive", "member")
 
-        def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(rows: list[dict], sums: list[str]) -> pa.RecordBatch:
+            columns = [pa.array([r[c] for r in rows], pa.string() if c == "path" else pa.int64()) for c in _PLACE]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(sums, pa.string())], [*_PLACE, "content_hash"])
+
+        def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                sums = [hashlib.blake2b(extract._read(r["path"], r["archive"], r["member"]), digest_size=32).hexdigest() for r in b.select(["path", "archive", "member"]).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in _PLACE), pa.array(sums, pa.string())], [*_PLACE, "content_hash"])
+                rows = b.select(_PLACE).to_pylist()
+                yield told(rows, [_digest(extract._read(r["path"])) for r in rows])
+
+        def of_archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for row, content in archives.each(batches):
+                yield told([row], [_digest(content)])
 
-        self._add(fresh.mapInArrow(digest, _SCHEMAS["hashes"]), "hashes")
+        found = fresh.where(F.col("archive").isNull()).mapInArrow(own, _SCHEMAS["hashes"])
+        members = archives.grouped(fresh.where(F.col("archive").isNotNull())).mapInArrow(of_archives, _SCHEMAS["hashes"])
+        self._add(found.unionByName(members), "hashes")
         return files.join(self._read("hashes").dropDuplicates(_PLACE), _PLACE)
 
     def units(self, files: DataFrame, ports: extract.Ports | dict[str, Callable] | None = None, variant: str = "", want: extract.Wanted = extract.Wanted()) -> DataFrame:

@@ -19,7 +19,7 @@ from xml.etree import ElementTree
 from xml.parsers.expat import ExpatError
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import archives, media, pdf
@@ -254,9 +254,7 @@ _BROKEN = (zipfile.BadZipFile, ElementTree.ParseError, KeyError, IndexError, Val
 OFFICE = (".docx", ".xlsx", ".pptx")
 
 
-def _read(path: str, archive: str | None, member: str | None) -> bytes:
-    if archive is not None:
-        return archives.read(archive, member)
+def _read(path: str) -> bytes:
     try:
         with open(path, "rb") as f:
             return f.read()
@@ -307,12 +305,8 @@ def _surfaces(row: dict, ports: Ports, want: Wanted) -> Iterator[Unit]:
     chosen = {**READERS, **ports.readers}
     limit = want.limit(suffix, ports)
     fits = lambda most: most is None or size <= most
-    if row["archive"] is not None:
-        if want.docs_tags and fits(limit):
-            yield from _some(member_lines, _read(path, row["archive"], row["member"]))
-        return
     if suffix in media.SUFFIXES:
-        data = _read(path, None, None)
+        data = _read(path)
         if want.docs_tags:
             yield from _some(chosen[suffix], data)
         if want.ocr and suffix in media.PICTURES and fits(ports.ocr_bytes) and (text := ports.writing(data)):
@@ -321,7 +315,7 @@ def _surfaces(row: dict, ports: Ports, want: Wanted) -> Iterator[Unit]:
             yield from ((int(at), text, "transcript") for at, text in ports.speech(data))
     elif fits(limit) and (want.docs_tags or want.ocr):
         read = chosen.get(suffix)
-        data = _read(path, None, None) if read else b""
+        data = _read(path) if read else b""
         if want.ocr and suffix in DOCUMENTS:
             yield from (u for u in _some(with_writing, suffix, data, ports) if want.docs_tags or u[2] == "ocr")
         elif want.docs_tags:
@@ -329,7 +323,7 @@ def _surfaces(row: dict, ports: Ports, want: Wanted) -> Iterator[Unit]:
     if want.docs_tags:
         yield from attributes(path)
         if suffix in OFFICE and fits(limit):
-            yield from _some(_package_tags, _read(path, None, None))
+            yield from _some(_package_tags, _read(path))
 
 
 def _counted(found: Iterator[Unit], limit: int | None) -> Iterator[Unit]:
@@ -343,27 +337,48 @@ def _counted(found: Iterator[Unit], limit: int | None) -> Iterator[Unit]:
         yield unit
 
 
-def units(files: DataFrame, ports: Ports | dict | None = None, want: Wanted = Wanted()) -> DataFrame:
-    """Units of files whose content may be read.  What cannot be parsed gives those
-    units that come before the fault.  Tags follow the content."""
+def units(files: DataFrame, ports: Ports | dict | None = None, want: Wanted = Wanted(), with_archives: bool = True) -> DataFrame:
+    """Units of files whose content may be read, with those of archives' members or
+    without.  What cannot be parsed gives those units that come before the fault.  Tags
+    follow the content.  An archive is read once for all of its members."""
     ports = ports if isinstance(ports, Ports) else Ports(readers=ports or {})
     if want.ocr and ports.ocr is None or want.transcribe and ports.speech is None:
         raise RuntimeError("writing in pictures and speech need a function for them in Ports")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def batched(found: Iterator[tuple[dict, Iterator[Unit]]]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        for b in batches:
-            for row in b.to_pylist():
-                limit = want.limit(row["suffix"], ports)
-                for i, (n, t, k) in enumerate(_counted(_surfaces(row, ports, want), limit)):
-                    out.append((row["file_id"], i, n, t, k))
-                    if len(out) == BATCH:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _UNITS, strict=True)], schema=_UNITS)
-                        out = []
+        for row, read in found:
+            for i, (n, t, k) in enumerate(_counted(read, want.limit(row["suffix"], ports))):
+                out.append((row["file_id"], i, n, t, k))
+                if len(out) == BATCH:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _UNITS, strict=True)], schema=_UNITS)
+                    out = []
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _UNITS, strict=True)], schema=_UNITS)
 
-    return files.where(~F.col("names_only")).select("file_id", "path", "suffix", "size_bytes", "archive", "member").mapInArrow(run, UNITS)
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batched((row, _surfaces(row, ports, want)) for b in batches for row in b.to_pylist())
+
+    def of_archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batched((row, _some(member_lines, content)) for row, content in archives.each(batches))
+
+    rows = files.where(~F.col("names_only")).select("file_id", "path", "suffix", "size_bytes", "archive", "member")
+    found = rows.where(F.col("archive").isNull()).mapInArrow(own, UNITS)
+    if not (with_archives and want.docs_tags):
+        return found
+    members = rows.where(F.col("archive").isNotNull())
+    if want.max_bytes is not None and want.max_bytes > 0:
+        members = members.where(F.coalesce(F.col("size_bytes") <= content_limit(want, ports), F.lit(True)))
+    return found.unionByName(archives.grouped(members).mapInArrow(of_archives, UNITS))
+
+
+def content_limit(want: Wanted, ports: Ports) -> Column:
+    """The most bytes of a file or member, by its suffix; null where there is none."""
+    limits = {s: want.limit(s, ports) for s in (*media.SUFFIXES, *DOCUMENTS)}
+    limit = F.lit(want.limit("", ports)).cast("long")
+    for s, most in limits.items():
+        limit = F.when(F.col("suffix") == s, F.lit(most).cast("long")).otherwise(limit)
+    return limit
 
 
 def skips(files: DataFrame, ports: Ports, want: Wanted) -> tuple[DataFrame, DataFrame]:
@@ -371,10 +386,7 @@ def skips(files: DataFrame, ports: Ports, want: Wanted) -> tuple[DataFrame, Data
     which nothing else can be read; and (path, size_bytes, reason) of what is not read.
     Empty files always pass; tags of a long file are still read where it has any."""
     suffix, size, alone = F.col("suffix"), F.col("size_bytes"), F.col("archive").isNull()
-    limits = {s: want.limit(s, ports) for s in (*media.SUFFIXES, *DOCUMENTS)}
-    limit = F.lit(want.limit("", ports)).cast("long")
-    for s, most in limits.items():
-        limit = F.when(suffix == s, F.lit(most).cast("long")).otherwise(limit)
+    limit = content_limit(want, ports)
     over = F.lit(want.docs_tags) & F.coalesce(size > limit, F.lit(False)) & ~F.col("names_only")
 
     def bare(paths):
