@@ -31,7 +31,7 @@ from pyspark import RDD
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, read_table
+from .common import materialize, partitions, read_table
 
 FILTERS = "ABCDE"
 COPY = 1 << FILTERS.index("E")
@@ -187,9 +187,14 @@ def orders(part: str, counts: list[int]) -> Iterator[tuple]:
 
 
 def audit(docs: DataFrame, labels: DataFrame, part: str = "source") -> DataFrame:
-    """Rows of SCHEMA: what each step of each order of the filters does in each part."""
-    rows = vectors(judged(docs, part), labels).flatMap(lambda kv: orders(*kv))
-    return docs.sparkSession.createDataFrame(rows, SCHEMA, verifySchema=False)
+    """Rows of SCHEMA: what each step of each order of the filters does in each part.  The
+    parts' counts are written once and must add up to the rows of ``docs``."""
+    spark = docs.sparkSession
+    counts = materialize(spark.createDataFrame(vectors(judged(docs, part), labels), "part string, counts array<long>", verifySchema=False), "audit")
+    told = counts.agg(F.sum(F.aggregate(F.slice("counts", 1, MASKS), F.lit(0).cast("long"), lambda a, b: a + b))).first()[0] or 0
+    if told != (given := docs.count()):
+        raise RuntimeError(f"{given} rows were given, {told} are accounted for")
+    return spark.createDataFrame(counts.rdd.flatMap(lambda r: orders(*r)), SCHEMA, verifySchema=False)
 
 
 def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
