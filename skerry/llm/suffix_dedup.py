@@ -14,9 +14,16 @@ meets; bytes are compared before anything is removed:
    thousand send few rows;
 2. runs whose anchor is left more than once get their bytes and meet again, and are
    sorted in the same way; of those that differ, all windows are sorted;
-3. an anchor with more than ``HOT`` runs is split: its runs are cut where the anchor's
-   place in the window passes a multiple of ``BLOCK``, and meet by the anchor and by
-   the bytes that all windows of such a part share.
+3. an anchor with more than ``HOT`` runs is split: its runs are cut into parts where the
+   anchor's place in the window passes a multiple of ``BLOCKS[0]``, and meet by the anchor
+   and by the bytes that all windows of such a part share.  Where these are still more
+   than ``HOT``, as where a passage stands in as many different texts, they are compared
+   some thousand at a time: a part that repeats an earlier one whole is done with, the
+   others are cut to the next of ``BLOCKS`` and meet again.  Each time the parts that reach
+   beyond the passage go to keys of their own, and those within it become fewer by the
+   thousand; of parts of one window the earliest is a minimum by their bytes.  Keys that
+   very many runs share are dealt out by document first, and come together by sixteens.
+   So no group is held or compared whole, whatever its size.
 
 The sort is deep-shallow: a multikey quicksort to a shallow depth, then blind tries
 for the groups with longer common prefixes; equal neighbours repeat the earliest.
@@ -38,16 +45,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import arrow_map, materialize, partitions, read_table, slices, whole_groups
+from .common import arrow_map, materialize, partitions, read_table, slices
 
 LENGTH = 100
 GRAM = 21
 SHALLOW = 24
 #: An anchor with more runs than this is split by what stands around it.
 HOT = 1_000
-BLOCK = 20
+#: Windows of a part, from round to round.
+BLOCKS = (20, 10, 5, 2, 1)
+#: A key gets a salt for so many times HOT rows; salts come together by MERGED.
+DEALT, MERGED = 8, 16
 #: Bytes of text whose runs are compared within a batch.
 SLICE = 4_000_000
 NO_ID = -(1 << 63)
@@ -353,19 +362,160 @@ def deep_shallow_sort(data: bytes, starts: np.ndarray, bucket: np.ndarray, limit
     return order, equal
 
 
+#: Rows that meet by ``anchor`` and ``salt``.  block: windows of a part at most, 0 for whole
+#: runs; salts: how many the key is dealt out to; origin: the anchor's own hash.
+PARTS = "anchor long, salt int, salts int, block int, origin long, doc long, sig int, place long, bytes binary"
+_PARTS = pa.schema([("anchor", pa.int64()), ("salt", pa.int32()), ("salts", pa.int32()), ("block", pa.int32()), ("origin", pa.int64()), ("doc", pa.int64()), ("sig", pa.int32()), ("place", pa.int64()), ("bytes", pa.binary())])
+#: What a round finds: a span, or, where ``start`` is null, a part that must meet others.
+FOUND = f"start long, stop long, {PARTS}"
+_FOUND = pa.schema([("start", pa.int64()), ("stop", pa.int64()), *_PARTS])
+
+
+def _salted(doc: np.ndarray, salts: np.ndarray) -> np.ndarray:
+    return (doc.astype(np.uint64) * np.uint64(_B1) >> np.uint64(33)).astype(np.int64) % salts
+
+
+def _divided(origin: list[int], block: list[int], data: list[bytes], lo: list[int], hi: list[int], at: list[int], length: int) -> Iterator[tuple[int, int, int, int, bytes]]:
+    """(row, key, first window, last window, bytes) of the parts of rows, each a part for
+    each block of places that the anchor has in its windows; the key is of the anchor and
+    of the bytes that all windows of such a block share."""
+    for i, (o, width, b, first, last, a) in enumerate(zip(origin, block, data, lo, hi, at, strict=True)):
+        for k in range((a - last) // width, (a - first) // width + 1):
+            x, y = max(first, a - k * width - width + 1), min(last, a - k * width)
+            shared = b[a - k * width - first : a - k * width - width + 1 + length - first]
+            yield i, xxhash.xxh64_intdigest(shared, (o + k) & _MASK) - (1 << 63), x, y, b[x - first : y + length - first]
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs, sorted by anchor, of anchors that have several, and whether these are more
+    than HOT; no more than HOT rows of an anchor are held."""
+    held: list[pa.RecordBatch] = []
+    seen: tuple[int | None, bool] = None, False  # the last anchor, and whether it is known to be hot
+
+    def told(rows: pa.RecordBatch, hot: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*rows.columns, pa.array(hot)], [*rows.schema.names, "hot"])
+
+    def judged(rows: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal seen
+        (b,) = rows.combine_chunks().to_batches()
+        anchor = b.column("anchor").to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+        counts = np.diff(starts, append=len(anchor))
+        hot = (counts > HOT) | ((anchor[starts] == seen[0]) & seen[1] if seen[0] is not None else np.zeros(len(starts), bool))
+        done = len(anchor) if last else int(starts[-1])
+        if not last and hot[-1]:
+            done = len(anchor)  # what follows of a hot anchor need not wait
+        keep = np.repeat((counts > 1) | hot, counts)[:done] | (b.column("kind").to_numpy()[:done] == 1)
+        seen = int(anchor[-1]), bool(hot[-1])
+        if done:
+            yield told(b.slice(0, done), np.repeat(hot, counts)[:done]).filter(pa.array(keep))
+        held[:] = [b.slice(done)] if done < len(anchor) else []
+
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            yield from judged(pa.Table.from_batches(held), False)
+    if held:
+        yield from judged(pa.Table.from_batches(held), True)
+
+
+def _cut_contexts(length: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            texts = [t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()]
+            runs = b.column("runs")
+            text = np.repeat(np.arange(len(texts)), runs.value_lengths().to_numpy())
+            anchor, place, salts = (runs.flatten().field(f).to_numpy(zero_copy_only=False) for f in ("anchor", "place", "salts"))
+            doc, sig = (b.column(c).to_numpy()[text] for c in ("doc", "sig"))
+            at = place >> 16
+            start = at - (place >> 8 & 255)
+            stop = start + (place & 255)
+            pieces = [texts[i][x:y] for i, x, y in zip(text.tolist(), start.tolist(), (stop + length).tolist(), strict=True)]
+            hot = salts > 0
+            block = np.where(hot, BLOCKS[0], 0)
+            yield _parts_batch(anchor, np.maximum(salts, 1), block, anchor, doc, sig, start, stop, at, pieces, hot, length)
+
+    return run
+
+
+def _parts_batch(key: np.ndarray, salts: np.ndarray, block: np.ndarray, origin: np.ndarray, doc: np.ndarray, sig: np.ndarray, start: np.ndarray, stop: np.ndarray, at: np.ndarray, pieces: list[bytes], cut: np.ndarray, length: int, schema: pa.Schema = _PARTS) -> pa.RecordBatch:
+    """Rows of PARTS, or of FOUND, those of ``cut`` divided by their blocks."""
+    stay, some = np.flatnonzero(~cut), np.flatnonzero(cut)
+    new = [*_divided(origin[some].tolist(), block[some].tolist(), [pieces[i] for i in some.tolist()], start[some].tolist(), stop[some].tolist(), at[some].tolist(), length)]
+    own, keys, lo, hi = np.array([x[:4] for x in new], np.int64).reshape(-1, 4).T
+    row = np.concatenate([stay, some[own]])
+    start, stop = np.concatenate([start[stay], lo]), np.concatenate([stop[stay], hi])
+    columns = {
+        "anchor": np.concatenate([key[stay], keys]), "salt": _salted(doc[row], salts[row]), "salts": salts[row], "block": block[row], "origin": origin[row],
+        "doc": doc[row], "sig": sig[row], "place": at[row] << 16 | (at[row] - start) << 8 | stop - start,
+    }
+    arrays = {n: pa.array(c, _PARTS.field(n).type) for n, c in columns.items()} | {"bytes": pa.array([*(pieces[i] for i in stay.tolist()), *(x[4] for x in new)], pa.binary())}
+    none = pa.nulls(len(row), pa.int64())
+    return pa.RecordBatch.from_arrays([arrays.get(n, none) for n in schema.names], schema=schema)
+
+
+def bounded_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of rows sorted by anchor and salt, and which of their rows are of a group
+    with more than HOT rows; such a group may come in several tables, others do not."""
+    held: list[pa.RecordBatch] = []
+    hot_key = None
+
+    def keys(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        return t.column("anchor").to_numpy(), t.column("salt").to_numpy()
+
+    def judged(t: pa.Table) -> tuple[pa.Table, np.ndarray]:
+        anchor, salt = keys(t)
+        starts = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (salt[1:] != salt[:-1])]))
+        counts = np.diff(starts, append=len(anchor))
+        hot = counts > HOT
+        hot[0] |= (anchor[0], salt[0]) == hot_key
+        return t, np.repeat(hot, counts)
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([*held, b])
+        anchor, salt = keys(t)
+        last = anchor[-1], salt[-1]
+        other = np.flatnonzero((anchor != last[0]) | (salt != last[1]))
+        cut = int(other[-1]) + 1 if len(other) else 0
+        if cut:
+            yield judged(t.slice(0, cut))
+        if t.num_rows - cut > HOT or last == hot_key:
+            hot_key = last
+            yield judged(t.slice(cut))
+            held = []
+        else:
+            held = t.slice(cut).combine_chunks().to_batches()
+    if held:
+        yield judged(pa.Table.from_batches(held))
+
+
 def _sorted_windows(length: int) -> Callable:
+    """Rows of FOUND of parts sorted by key and salt."""
+    following = dict(zip(BLOCKS, (*BLOCKS[1:], BLOCKS[-1]), strict=True))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, "anchor"):
-            anchor, doc, sig, place = (t.column(c).to_numpy() for c in ("anchor", "doc", "sig", "place"))
+        for t, hot in bounded_groups(batches):
+            key, salt, salts, block, origin, doc, sig, place = (t.column(c).to_numpy() for c in ("anchor", "salt", "salts", "block", "origin", "doc", "sig", "place"))
             at = place >> 16
             start = at - (place >> 8 & 255)
             stop = start + (place & 255)
-            data = b"".join(t.column("bytes").to_pylist())
+            pieces = t.column("bytes").to_pylist()
+            data = b"".join(pieces)
             offset = np.concatenate([[0], np.cumsum(stop - start + length)[:-1]])
-            gone, stay = _settled_runs(data, offset, _numbered(anchor, at - start, stop - start), doc, sig, start, stop, length)
+            gone, stay = _settled_runs(data, offset, _numbered(key, salt, at - start, stop - start), doc, sig, start, stop, length)
             whole = (doc[gone], sig[gone], start[gone], stop[gone] + length)
+            on = hot | (salts > 1)
+            pending = stay[on[stay]]
+            if len(pending):
+                cut = hot[pending] & (block[pending] > 1)
+                width = np.where(cut, np.vectorize(lambda n: following.get(n, n), otypes=[np.int64])(block[pending]), block[pending])
+                less = np.where(cut, salts[pending], -(-salts[pending] // MERGED))
+                yield _parts_batch(key[pending], less, width, origin[pending], doc[pending], sig[pending], start[pending], stop[pending], at[pending], [pieces[i] for i in pending.tolist()], cut, length, _FOUND)
+            stay = stay[~on[stay]]
             # windows of the anchors that have several runs left
-            number = _numbered(anchor)
+            number = _numbered(key, salt)
             stay = stay[np.bincount(number[stay], minlength=len(number) + 1)[number[stay]] > 1]
             counts = (stop - start + 1)[stay]
             row = np.repeat(stay, counts)
@@ -378,39 +528,9 @@ def _sorted_windows(length: int) -> Callable:
             row, place = row[order], place[order]
             later, _ = _later(~equal, doc[row], sig[row], place)
             row, place = row[later], place[later]
-            both = (np.concatenate(x) for x in zip(whole, (doc[row], sig[row], place, place + length), strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged(*both)], ["doc", "sig", "start", "stop"])
-
-    return run
-
-
-def _parts(texts: list[bytes], text: np.ndarray, anchor: np.ndarray, start: np.ndarray, stop: np.ndarray, at: np.ndarray, length: int) -> Iterator[tuple]:
-    """Runs of hot anchors as rows to be sorted: a part for each block of places that
-    the anchor has in its windows, with a key of the bytes that such windows share."""
-    for i, key, lo, hi, a in zip(*(x.tolist() for x in (text, anchor, start, stop, at)), strict=True):
-        for block in range((a - hi) // BLOCK, (a - lo) // BLOCK + 1):
-            shared = texts[i][a - block * BLOCK:a - block * BLOCK - BLOCK + 1 + length]
-            own = xxhash.xxh64_intdigest(shared, (key + block) & _MASK) - (1 << 63)
-            yield i, own, max(lo, a - block * BLOCK - BLOCK + 1), min(hi, a - block * BLOCK), a
-
-
-def _cut_contexts(length: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
-            texts = [t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()]
-            runs = b.column("runs")
-            text = np.repeat(np.arange(len(texts)), runs.value_lengths().to_numpy())
-            anchor, place, hot = (runs.flatten().field(f).to_numpy(zero_copy_only=False) for f in ("anchor", "place", "hot"))
-            at = place >> 16
-            start = at - (place >> 8 & 255)
-            stop = start + (place & 255)
-            if hot.any():
-                cut = np.array([*_parts(texts, *(x[hot] for x in (text, anchor, start, stop, at)), length)], np.int64).T
-                text, anchor, start, stop, at = (np.concatenate([x[~hot], y]) for x, y in zip((text, anchor, start, stop, at), cut, strict=True))
-            pieces = [texts[i][x:y] for i, x, y in zip(text.tolist(), start.tolist(), (stop + length).tolist(), strict=True)]
-            place = at << 16 | (at - start) << 8 | stop - start
-            own = (b.column(c).to_numpy()[text] for c in ("doc", "sig"))
-            yield pa.RecordBatch.from_arrays([pa.array(anchor), *map(pa.array, own), pa.array(place), pa.array(pieces, pa.binary())], ["anchor", "doc", "sig", "place", "bytes"])
+            d, g, s, e = merged(*(np.concatenate(x) for x in zip(whole, (doc[row], sig[row], place, place + length), strict=True)))
+            spans = {"doc": pa.array(d), "sig": pa.array(g, pa.int32()), "start": pa.array(s), "stop": pa.array(e)}
+            yield pa.RecordBatch.from_arrays([spans.get(f.name, pa.nulls(len(d), f.type)) for f in _FOUND], schema=_FOUND)
 
     return run
 
@@ -418,14 +538,33 @@ def _cut_contexts(length: int) -> Callable:
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc, sig, start, stop): byte intervals of ``docs`` (doc, sig, text) to be
     removed; they may overlap."""
-    runs = arrow_map(docs, _runs(length), ROWS)
-    met = runs.repartition(partitions(docs), "anchor").withColumn("n", F.count("*").over(Window.partitionBy("anchor")))
-    judged = materialize(met.where("kind = 1 OR n > 1").withColumn("hot", F.col("n") > HOT).drop("n"), "repeats")
-    several = judged.where("kind = 0").groupBy("doc", "sig").agg(F.collect_list(F.struct("anchor", "place", "hot")).alias("runs"))
-    cut = arrow_map(docs.join(several, ["doc", "sig"]).select("doc", "sig", "text", "runs"), _cut_contexts(length), "anchor long, doc long, sig int, place long, bytes binary")
-    fine = arrow_map(cut.repartition(partitions(docs), "anchor").sortWithinPartitions("anchor"), _sorted_windows(length), SPANS)
-    whole = judged.where("kind = 1").select("doc", "sig", F.shiftrightunsigned("place", 32).alias("start"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).alias("stop"))
-    return whole.unionByName(fine)
+    tasks = partitions(docs)
+    runs = arrow_map(docs, _runs(length), ROWS).repartition(tasks, "anchor").sortWithinPartitions("anchor")
+    judged = materialize(arrow_map(runs, _met, f"{ROWS}, hot boolean"), "repeats")
+    shared = judged.where("kind = 0 AND hot").groupBy("anchor").agg((F.floor(F.count("*") / (DEALT * HOT)) + 1).cast("int").alias("salts"))
+    several = judged.where("kind = 0").join(shared, "anchor", "left").withColumn("salts", F.coalesce("salts", F.lit(0)))
+    several = several.groupBy("doc", "sig").agg(F.collect_list(F.struct("anchor", "place", "salts")).alias("runs"))
+    parts = arrow_map(docs.join(several, ["doc", "sig"]).select("doc", "sig", "text", "runs"), _cut_contexts(length), PARTS)
+    found = judged.where("kind = 1").select("doc", "sig", F.shiftrightunsigned("place", 32).alias("start"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).alias("stop"))
+    while True:
+        met = parts.repartition(tasks, "anchor", "salt").sortWithinPartitions("anchor", "salt")
+        told = materialize(arrow_map(met, _sorted_windows(length), FOUND), "spans")
+        found = found.unionByName(told.where("start IS NOT NULL").select("doc", "sig", "start", "stop"))
+        pending = told.where("start IS NULL").drop("start", "stop")
+        if pending.isEmpty():
+            return found
+        found = found.unionByName(_later_windows(pending.where("block = 1"), length))
+        parts = pending.where("block > 1")
+
+
+def _later_windows(windows: DataFrame, length: int) -> DataFrame:
+    """Spans of single windows that also start earlier, by a minimum of each window's
+    bytes, which combines before it is shuffled, and a join that streams."""
+    start = F.shiftright("place", 16) - F.shiftright("place", 8).bitwiseAND(F.lit(255))
+    rows = windows.select("bytes", "doc", "sig", start.alias("start"))
+    first = rows.groupBy("bytes").agg(F.min(F.struct("doc", "start")).alias("first"))
+    later = rows.join(first, "bytes").where(F.struct("doc", "start") > F.col("first"))
+    return later.select("doc", "sig", "start", (F.col("start") + length).alias("stop"))
 
 
 def _report(keep_text: bool) -> Callable:

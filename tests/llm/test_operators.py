@@ -78,9 +78,38 @@ def test_suffix_dedup_splits_hot_anchors_and_long_texts(spark, monkeypatch):
     passage = prose(9, 40)
     texts = [prose(100 + i, 3 + i % 7) + " " + passage[: 120 + i] + prose(200 + i, 5) for i in range(40)] + [prose(9, 2000) * 2]
     assert suffix_rows(frame(spark, texts).repartition(4)) == suffix_brute(texts)
-    long = [t.encode() for t in texts]
-    windows = [(i, at + s) for held in suffix_dedup.segments(long, 100, 1000) for i, at, t in held for s in range(len(t) - 99)]
-    assert sorted(windows) == [(i, s) for i, t in enumerate(long) for s in range(len(t) - 99)]
+
+
+@pytest.mark.parametrize("dealt", [1, 8])
+def test_suffix_dedup_of_one_passage_in_many_texts(spark, monkeypatch, dealt):
+    """The runs of a passage share all their bytes; null ids and starts that tie are among them."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 4)
+    monkeypatch.setattr(suffix_dedup, "DEALT", dealt)
+    monkeypatch.setattr(suffix_dedup, "MERGED", 2)
+    passage, exact = prose(9, 40)[:160], prose(8, 40)[:100]
+    texts = [f"{i:x}" * (1 + i % 3) + passage + prose(200 + i, 4) for i in range(60)] + [prose(300 + i, 2) + exact + f"{i:x}!" for i in range(60)]
+    texts += [f"{i:04d}" + passage + f"{i:04d}" for i in range(30)]
+    ids = [*range(120), *[120] * 30]
+    assert suffix_rows(frame(spark, texts, ids).repartition(4)) == suffix_brute(texts, ids)
+    rows = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.deduplicated(frame(spark, texts[:40], [None, *range(39)])).collect()}
+    assert rows[None] == 0 and all(n >= 160 for i, n in rows.items() if i is not None)
+
+
+def test_suffix_dedup_holds_no_more_than_a_bound_of_a_group(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(suffix_dedup, "HOT", 5)
+    r = random.Random(4)
+    sizes = [r.choice([1, 2, 5, 6, 40]) for _ in range(60)]
+    anchor = np.repeat(np.arange(60), sizes)
+    t = pa.table({"anchor": anchor, "salt": np.zeros(len(anchor), np.int32), "kind": np.zeros(len(anchor), np.int8)})
+    seen = []
+    for table, hot in suffix_dedup.bounded_groups(iter(t.to_batches(max_chunksize=7))):
+        assert table.num_rows <= 5 + 7
+        seen += zip(table.column("anchor").to_pylist(), hot.tolist(), strict=True)
+    assert [a for a, _ in seen] == anchor.tolist() and all(h == (sizes[a] > 5) for a, h in seen)
+    met = [(a, h) for b in suffix_dedup._met(iter(t.to_batches(max_chunksize=7))) for a, h in zip(b.column("anchor").to_pylist(), b.column("hot").to_pylist(), strict=True)]
+    assert met == [(a, sizes[a] > 5) for a in anchor.tolist() if sizes[a] > 1]
 
 
 def test_suffix_dedup_with_many_contexts_of_one_passage(spark):
