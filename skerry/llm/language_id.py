@@ -11,7 +11,10 @@ what reaches the driver is ``languages x BUCKETS`` counts whatever the input.
 
 Defined cases: ``und`` with score 0 if a text is null or has no letter, or if
 there was nothing to learn from; with one language learned every other text gets
-it; a null language is not learned from; repeated rows are returned each.
+it; a null language is not learned from; repeated rows are returned each; of languages
+that score alike the one first by name counts; texts of any length are read whole.
+Other columns, of any name and type, stay as they are, but for those that have the name
+of an added one, in any case, which are replaced.  An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -25,8 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from .common import arrow_map, columns, read_table, slices
+from .common import arrow_map, read_table, slices, with_columns
 
 BUCKETS = 1 << 14
 SMOOTHING = 0.5
@@ -133,28 +137,23 @@ NAMES = ("lang_pred", "lang_score", "lang_ambiguous")
 
 def predict(docs: DataFrame, model: Model | None, names: Sequence[str] = NAMES) -> DataFrame:
     """``docs`` with the predicted language, its score and whether it is ambiguous, in
-    columns of the given names, which replace those of the same."""
-    names = list(names)
-    own = [c for c in docs.columns if c not in names]
+    columns of the given names, which replace those of the same name in any case."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for b in slices(batches, "text"):
-            texts = b.column("text").to_pylist()
-            seen = np.array([bool(t and _LETTER.search(t)) for t in texts])
-            if m is None:
-                best, score = np.zeros(len(texts), int), np.zeros(len(texts))
-                seen[:] = False
-            else:
-                best, score = decode(m, [(t or "").encode() for t in texts])
-            name = [m.languages[i] if ok else UNKNOWN for i, ok in zip(best, seen, strict=True)]
-            score = np.where(seen, score, 0.0)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), pa.array(name, pa.string()), pa.array(score), pa.array((score < AMBIGUOUS).tolist())], [*own, *names])
-
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own)
-    added = ", ".join(f"`{n}` {k}" for n, k in zip(names, ("string", "double", "boolean"), strict=True))
-    return arrow_map(docs.select(*columns(own)), run, f"{fields}, {added}")
+    def make(text: pa.Array) -> list[pa.Array]:
+        m, texts = shared.value, text.to_pylist()
+        seen = np.array([bool(t and _LETTER.search(t)) for t in texts])
+        if m is None:
+            best, score = np.zeros(len(texts), int), np.zeros(len(texts))
+            seen[:] = False
+        else:
+            best, score = decode(m, [(t or "").encode() for t in texts])
+        name = [m.languages[i] if ok else UNKNOWN for i, ok in zip(best, seen, strict=True)]
+        score = np.where(seen, score, 0.0)
+        return [pa.array(name, pa.string()), pa.array(score), pa.array((score < AMBIGUOUS).tolist(), pa.bool_())]
+
+    added = StructType([StructField(n, t) for n, t in zip(names, (StringType(), DoubleType(), BooleanType()), strict=True)])
+    return with_columns(docs, added, ["text"], make)
 
 
 def held_out() -> Column:

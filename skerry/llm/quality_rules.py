@@ -7,8 +7,9 @@ have, and reject documents that are depleted by it.
 Defined cases: a null text has no words and fails the base rules; a null host is
 a host of its own; lines without a word are never counted; rows that repeat a
 document are returned each, and count once per distinct ``doc_id``; a document
-whose ``doc_id`` is null counts as one of its own.  Empty tables give no rows,
-other columns are ignored.
+whose ``doc_id`` is null counts as one of its own; texts of any length are judged whole.  Empty tables
+give no rows.  Other columns are ignored by the statistics; ``cleaned`` keeps them, of any
+name and type.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import arrow_map, columns, fresh, materialize, read_table, slices
+from .common import arrow_map, fresh, materialize, read_table, slices, with_columns
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -49,8 +51,9 @@ _STATS = pa.schema(
 
 
 def line_hash(line: str) -> int:
-    """64-bit hash of a line, lower-cased and with runs of blanks as one space."""
-    return xxhash.xxh64_intdigest(" ".join(line.lower().split())) - (1 << 63)
+    """64-bit hash of a line's words with a space between them, A to Z lower-cased.  Blanks
+    are the six of ASCII alone, as for words."""
+    return xxhash.xxh64_intdigest(b" ".join(line.encode().lower().split())) - (1 << 63)
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -151,27 +154,24 @@ def judge(stats: DataFrame, line_limit: int | None = None, min_left_words: int =
 
 def cleaned(docs: DataFrame, line_limit: int | None = None) -> DataFrame:
     """The documents without their frequent lines, in a column ``clean_text``, which
-    replaces one of that name; a document without an id keeps its lines."""
+    replaces one of that name in any case; a document without an id keeps its lines."""
     stats = materialize(statistics(docs), "quality")
     host, own, gone_ = fresh(docs, "host", "own", "gone")
     often = (
         _lines(stats).where("doc_id IS NOT NULL").join(frequent_lines(stats, line_limit), ["host", "hash"])
         .groupBy(F.col("host").alias(host), F.col("doc").alias(own)).agg(F.collect_set("hash").alias(gone_))
     )
-    names = [c for c in docs.columns if c != "clean_text"]
-    hosted = docs.select(*columns(names), F.coalesce(F.col("source").cast("string"), F.lit("")).alias(host), F.col("doc_id").cast("long").alias(own))
-    joined = hosted.join(often, [host, own], "left")
-    schema = f"{', '.join(f'`{c}` {docs.schema[c].dataType.simpleString()}' for c in names)}, clean_text string"
-
-    def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
-            out = []
-            for text, gone in zip(b.column("text").to_pylist(), b.column(gone_).to_pylist(), strict=True):
-                gone = set(gone or ())
-                out.append(text if text is None or not gone else "\n".join(x for x in text.split("\n") if not x.encode().split() or line_hash(x) not in gone))
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(out, pa.string())], [*names, "clean_text"])
-
-    return arrow_map(joined.select(*columns(names), gone_), strip, schema)
+    hosted = docs.withColumns({host: F.coalesce(F.col("source").cast("string"), F.lit("")), own: F.col("doc_id").cast("long")})
+    joined = hosted.join(often, [host, own], "left").drop(host, own)
+
+    def strip(texts: pa.Array, gone: pa.Array) -> list[pa.Array]:
+        out = []
+        for text, lines in zip(texts.to_pylist(), gone.to_pylist(), strict=True):
+            lines = set(lines or ())
+            out.append(text if text is None or not lines else "\n".join(x for x in text.split("\n") if not x.encode().split() or line_hash(x) not in lines))
+        return [pa.array(out, pa.string())]
+
+    return with_columns(joined, StructType([StructField("clean_text", StringType())]), ["text", gone_], strip).drop(gone_)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

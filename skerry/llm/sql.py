@@ -43,7 +43,7 @@ _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 OP10 = rf"""
 WITH d AS (SELECT row_number() OVER () AS uid, doc_id, coalesce(CAST(source AS VARCHAR), '') AS host, coalesce(text, '') AS text, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
 line AS (
-  SELECT uid, doc_id, host, l, lower(array_to_string({_WORDS.format("l")}, ' ')) AS h, len({_WORDS.format("l")}) AS n
+  SELECT uid, doc_id, host, l, translate(array_to_string({_WORDS.format("l")}, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS h, len({_WORDS.format("l")}) AS n
   FROM (SELECT uid, doc_id, host, unnest(string_split(text, chr(10))) AS l FROM d)),
 good AS (SELECT * FROM line WHERE n > 0),
 dup AS (SELECT uid, count(*) - count(DISTINCT l) AS n_dup_lines FROM good GROUP BY uid),

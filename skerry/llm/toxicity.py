@@ -17,22 +17,26 @@ they stand.
 Defined cases: a null text is empty and gets the score of a text without features;
 several labels of one document count as toxic if one is; rows without a label are
 not learned from; without labels of both sorts every score is 0; repeated rows
-are returned each.
+are returned each; texts of any length are read whole, a disguised token in time in
+proportion to its length.  Other columns, of any name and type, stay as they are, but
+for one named like the score, in any case, which is replaced.  An empty table gives an
+empty one.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import arrow_map, columns, read_table, slices
+from .common import arrow_map, read_table, slices, with_columns
 
 SAMPLE = 12_000
 #: A feature is considered if so many toxic rows of the sample have it.
@@ -288,28 +292,33 @@ def _logistic(names: list[str], present: list, y: np.ndarray) -> tuple[dict[str,
     return dict(zip(names, w.tolist(), strict=True)), b - cut + float(np.log(THRESHOLD / (1 - THRESHOLD)))
 
 
+def _scorer(m: Model) -> Callable[[str | None], float]:
+    restore, weights = Restorer(m.characters), m.weights
+    words = {f for f in weights if f[-1] != "~"}
+    starts = {n: {f[:-1] for f in weights if f[-1] == "~" and len(f) == n + 1} for n in PREFIXES}
+
+    def score(text: str | None) -> float:
+        got = restore.words(text)
+        z = m.bias + sum(weights[f] for f in got & words)
+        for n, known in starts.items():
+            z += sum(weights[f + "~"] for f in {w[:n] for w in got} & known)
+        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+
+    return score
+
+
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with toxicity, 0 to 1; a column of that name is replaced."""
-    own = [c for c in docs.columns if c != "toxicity"]
+    """``docs`` with toxicity, 0 to 1; a column of that name, in any case, is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        restore, weights = Restorer(m.characters), m.weights
-        words = {f for f in weights if f[-1] != "~"}
-        starts = {n: {f[:-1] for f in weights if f[-1] == "~" and len(f) == n + 1} for n in PREFIXES}
-        for b in slices(batches, "text"):
-            out = []
-            for text in b.column("text").to_pylist():
-                got = restore.words(text)
-                z = m.bias + sum(weights[f] for f in got & words)
-                for n, known in starts.items():
-                    z += sum(weights[f + "~"] for f in {w[:n] for w in got} & known)
-                out.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), pa.array(out, pa.float64())], [*own, "toxicity"])
-
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own)
-    return arrow_map(docs.select(*columns(own)), run, f"{fields}, toxicity double")
+    ready: list[Callable] = []  # one for each task
+
+    def make(texts: pa.Array) -> list[pa.Array]:
+        if not ready:
+            ready.append(_scorer(shared.value))
+        return [pa.array([ready[0](t) for t in texts.to_pylist()], pa.float64())]
+
+    return with_columns(docs, StructType([StructField("toxicity", DoubleType())]), ["text"], make)
 
 
 def held_out() -> Column:

@@ -10,7 +10,8 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from skerry.llm import alignment, filter_audit, token_counts
+from skerry.llm import alignment, common, filter_audit, language_id, quality_rules, sql, token_counts, toxicity
+from tests.oracle import compare
 
 PARTS = [" ", "  ", "\n", "\t", "\r\n", "▁", "the", "tion", "Water", "naïve", "日本語", "😀", "\x00", "　", " ", "<s>", "</s>", "<0x0A>", "<|endoftext|>", "12345", "});", "e", ".", ",", "´", "ǆ"]
 
@@ -218,3 +219,47 @@ def _merged(told):
     for doc, part, mask, n in told:
         out[doc, part, mask] += n
     return out
+
+
+ODD = "doc_id long, text string, lang string, source string, `a``b` int, `a.b` int, s struct<`p-q`: int>, LANG_PRED int, Toxicity string, Clean_Text int"
+
+
+def odd(spark, rows):
+    return spark.createDataFrame([(*r, 1, 2, (3,), 4, "t", 5) for r in rows], ODD)
+
+
+def kept_columns(df, *replaced):
+    return [c for c in df.columns if c.lower() not in replaced]
+
+
+def test_columns_of_any_name_and_type_stay(spark):
+    rows = [(i, f"the cat {i} sat here" if i % 2 else f"der Hund {i} liegt dort", "en" if i % 2 else "de", "s") for i in range(40)] + [(None, None, None, None)]
+    docs, labels = odd(spark, rows), spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    out = language_id.predict(docs, language_id.fit(docs))
+    assert out.columns == [*kept_columns(docs, "lang_pred"), *language_id.NAMES]
+    assert {tuple(r)[4:7] for r in out.select(*common.columns(kept_columns(docs, "lang_pred"))).collect()} == {(1, 2, (3,))} and out.count() == 41
+    scored = toxicity.scored(docs, toxicity.fit(docs, labels))
+    assert scored.columns == [*kept_columns(docs, "toxicity"), "toxicity"] and scored.count() == 41
+    clean = quality_rules.cleaned(docs)
+    assert clean.columns == [*kept_columns(docs, "clean_text"), "clean_text"] and sorted(r["text"] or "" for r in clean.collect()) == sorted(r[1] or "" for r in rows)
+    assert clean.where("text IS DISTINCT FROM clean_text").count() == 0
+    for empty in (language_id.predict(docs.limit(0), None), toxicity.scored(docs.limit(0), toxicity.fit(docs.limit(0), labels)), quality_rules.cleaned(docs.limit(0))):
+        assert empty.count() == 0
+
+
+def test_lines_are_one_in_python_and_sql_and_depleted_documents_go(spark, tmp_path):
+    """Lines that begin with other blanks than ASCII's are lines of their own; a document that
+    passes the base rules is rejected for what is left of it, by the limits of production."""
+    plain = " ".join(f"word{k}" for k in range(60))
+    notice = " ".join(f"notice{k}" for k in range(70))
+    rows = [(i, f"{b}All rights reserved here\n{plain} {i}", "en", "h") for i, b in enumerate([" "] * 8 + [" "] * 3)]
+    rows += [(20 + i, f"{notice}\nown{i} own own", "en", "g") for i in range(6)] + [(40 + i, f"{plain} {i} Ünique ÜNIQUE\nÜX", "en", "g") for i in range(90)] + [(200, "ÜX\nüX", "en", "g"), (201, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    docs.write.parquet(str(tmp_path / "data" / "documents.parquet"))
+    got = {r["doc_id"]: r for r in quality_rules.op10_quality_rules(spark, str(tmp_path / "data")).collect()}
+    assert [got[i]["n_removed_lines"] for i in range(11)] == [1] * 8 + [0] * 3
+    assert all(not got[20 + i]["base_failed"] and not got[20 + i]["kept"] and got[20 + i]["n_left_words"] == 3 for i in range(6))
+    assert all(got[40 + i]["kept"] for i in range(90))
+    (tmp_path / "flat").mkdir()
+    docs.toPandas().to_parquet(tmp_path / "flat" / "documents.parquet")
+    compare(spark, quality_rules.op10_quality_rules, sql.OP10, tmp_path / "flat")
