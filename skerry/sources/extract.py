@@ -45,28 +45,27 @@ DOCUMENTS = (".pdf", ".docx", ".xlsx", ".pptx")
 UNCOUNTED = ("tag", "ocr", "transcript")
 
 
-def is_word(token: str) -> bool:
-    """Whether a word makes a picture's writing worth keeping; a stand-in for a word list."""
-    return len(token) >= 4 and token.isalpha()
+#: What a word without a vowel, or with a long run of consonants, is not; and letters that
+#: follow themselves three times.
+_UNSAID = re.compile(r"^[b-df-hj-np-tv-z]+$|[b-df-hj-np-tv-xz]{6}|(.)\1\1")
+_WORD = re.compile(r"[^\W\d_]{3,}")
 
 
-def written_tokens(text: str) -> list[str]:
-    """Words of writing that may tell whether it was read aright."""
-    return [w for t in re.findall(r"[\w']+", text.lower()) for w in re.split("[_-]+", t) if len(w) >= 4 and w.isalpha()]
+def is_word(word: str) -> bool:
+    """Whether letters can be said; what stands in for a word list.  One that is learned from
+    the texts beside the pictures, ``lexicon.learn``, tells more."""
+    return len(word) >= 4 and not _UNSAID.search(word.lower())
 
 
-def writing_quality(text: str, known: Callable[[str], bool] = is_word) -> float:
-    """How well a picture's writing was read: long words count, blanks and crumbs of
-    lines count against it, and known words most."""
-    flat = " ".join(text.split())
-    words = re.findall("[a-z]{4,}", flat.lower())
-    if not words:
-        return 0.0
-    crumbs = sum(0 < len(line.strip()) <= 2 for line in text.splitlines())
-    base = 25 * len(words) * len(flat) / max(len(text), 1) - 10 * crumbs
-    tokens = written_tokens(text)
-    hits = sum(map(known, tokens))
-    return base * (0.35 + 0.65 * hits / len(tokens)) + 50 * hits if tokens else base
+def reading(text: str, known: Callable[[str], bool] = is_word) -> tuple[int, int]:
+    """Letters of a picture's writing in words that are known, and in others."""
+    sure = other = 0
+    for w in _WORD.findall(text):
+        if known(w):
+            sure += len(w)
+        else:
+            other += len(w)
+    return sure, other
 
 
 @dataclass(frozen=True)
@@ -82,11 +81,17 @@ class Ports:
     speech_bytes: int | None = SPEECH_BYTES
     is_word: Callable[[str], bool] = is_word
 
+    def _worth(self, text: str) -> int:
+        sure, other = reading(text, self.is_word)
+        return sure - other
+
     def writing(self, picture: bytes) -> str:
-        """Writing in a picture; none if no word is in it."""
+        """Writing in a picture: of several readings the one with the most letters in known
+        words, less those in others.  None where fewer than half of them are known."""
         read = self.ocr(picture)
-        text = max([read] if isinstance(read, str) else read, key=lambda t: writing_quality(t, self.is_word), default="").strip()
-        return text if any(map(self.is_word, written_tokens(text))) else ""
+        text = max([read] if isinstance(read, str) else read, key=self._worth, default="")
+        sure, other = reading(text, self.is_word)
+        return text.strip() if sure and sure >= other else ""
 
 
 def plain(data: bytes) -> Iterator[Unit]:

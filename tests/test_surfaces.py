@@ -73,9 +73,9 @@ def test_writing_and_speech_are_read_where_asked_for(spark, tree):
 
 
 def test_the_best_of_several_readings_counts(spark, tree):
-    assert extract.writing_quality("") == extract.writing_quality("a b 12") == 0
-    assert extract.writing_quality("invoice total") > extract.writing_quality("i\nn\nvoice   xx") > 0
-    assert extract.writing_quality("invoice zzzz", {"invoice"}.__contains__) == pytest.approx(50 * (0.35 + 0.65 * 0.5) + 50)
+    assert extract.reading("") == extract.reading("a b 12") == (0, 0)
+    assert extract.reading("invoice total xqzvw jkkkk") == (12, 10) and extract.reading("Straße école", {"Straße"}.__contains__) == (6, 5)
+    assert extract.Ports(ocr=lambda data: "xqzvw jkkkk").writing(b"") == extract.Ports(ocr=lambda data: "total xqzvw jkkkk").writing(b"") == ""
     several = extract.Ports(ocr=lambda data: ["", "v\no\ni", "invoice total", "x"])
     assert several.writing(b"") == "invoice total" and extract.Ports(ocr=lambda data: []).writing(b"") == ""
     listing = list_files(spark, str(tree)).where("suffix = '.txt'")
