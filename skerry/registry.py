@@ -13,6 +13,7 @@ from .functions import kernels
 from .functions.text import clock, collapse, normalize, percent, tokens
 from .operators import file_search, matchers, output, records, units
 from .operators.layout import shared_folder, spread
+from .operators.token_index import TokenIndex
 from .plans.query import FieldConfig, MatchType, Q, parse_file_query, query_terms
 from .sources.files import WalkOptions, list_files, skipped
 from .streaming import best, scores
@@ -368,6 +369,22 @@ def q_breakdown(spark, d):
     return rows.where("name = 0")
 
 
+def _counting_sql(word: str) -> str:
+    """A token's score for a word among others: 0 unless it contains or resembles it."""
+    q = f"'{word}'"
+    return f"CASE WHEN contains(t, {q}) OR {_ratio_sql(q, 't')} >= 80 THEN 0.5 * CAST(contains(t, {q}) AS INT) + 0.5 * {_fuzzy_sql(q, 't')} ELSE 0 END"
+
+
+@query(f"""WITH w AS (SELECT conv_id, turn, unnest(list_distinct({_TOKENS_SQL})) AS t FROM conversations),
+v AS (SELECT t, {_counting_sql('therre')} AS a, {_counting_sql('ing')} AS b FROM (SELECT DISTINCT t FROM w))
+SELECT conv_id, turn, round(least(max(a), max(b)), 6)::DOUBLE AS score FROM w JOIN v USING (t) GROUP BY conv_id, turn HAVING least(max(a), max(b)) > 0""")
+def j_like_words(spark, d):
+    """Turns with a token for each of two words, one of them misspelt, by the index of letter pairs."""
+    folder = f"{shared_folder(spark) or spark.conf.get('spark.sql.warehouse.dir')}/words-{uuid.uuid4().hex}"
+    index = TokenIndex.build(_t(spark, d, "conversations"), ["conv_id", "turn"], "text", folder)
+    return index.scores(["therre", "ing"], {"contains": 0.5, "fuzzy": 0.5}).select("conv_id", "turn", F.round("score", 6).alias("score"))
+
+
 @query(f"SELECT file_id, line_number, 1.0::DOUBLE AS score FROM ({_LINES_SQL}) WHERE contains(lower(text), 'idiot')")
 def t_scores(spark, d):
     """The same Columns on a stream of the table's file."""
