@@ -14,7 +14,8 @@ from typing import Any
 from pyspark.sql import DataFrame, Row, SparkSession
 
 from .operators import records, session
-from .operators.file_search import Pictures, search_files
+from .operators.file_search import Pictures
+from .operators.progressive import ProgressiveSearch
 from .operators.units import PREVIEW_THRESHOLD, THRESHOLD, TRANSCRIPT_THRESHOLD
 from .plans.query import FieldConfig, FileQ, Q
 from .sources.extract import Ports
@@ -141,9 +142,11 @@ def magic_file_search(
     max_line_matches: int | None = None, max_workers: int | None = None, cancel_check: Callable[[], bool] | None = None, allow_process_pool: bool = False,
     ports: Ports | None = None, pictures: Pictures | None = None, spark: SparkSession | None = None,
 ) -> list[FileSearchResult]:
-    """Files that match, best first.  ``max_workers`` and ``allow_process_pool`` say
-    nothing here: Spark's cores are the workers.  Writing, speech and pictures are
-    searched where they are asked for and ``ports`` or ``pictures`` can read them."""
+    """Files that match, best first; of a search that ``cancel_check`` ends, those that it
+    had found.  ``on_result`` is told of results while files are searched, and with a limit
+    also of such as better ones displace later; ``on_progress`` counts files.
+    ``max_workers`` and ``allow_process_pool`` say nothing here: Spark's cores are the
+    workers.  Writing and speech need functions for them in ``ports``."""
     if max_line_matches is not None:
         warnings.warn("max_line_matches is now max_matches", DeprecationWarning, stacklevel=2)
         max_matches = max_line_matches
@@ -152,8 +155,6 @@ def magic_file_search(
     found: list[FileSearchResult] = []
 
     def tell(event: session.Event) -> None:
-        if cancel_check is not None and cancel_check() and not run.cancelled.is_set():
-            run.cancel()
         if isinstance(event, session.Progress) and on_progress:
             on_progress(event.completed, event.total)
         elif isinstance(event, session.Activity) and on_activity:
@@ -164,16 +165,15 @@ def magic_file_search(
                 found.append(result)
                 if on_result:
                     on_result(result)
-        elif isinstance(event, session.Finished):
-            if skipped_files is not None:
-                skipped_files.extend(SkippedFile(*s) for s in event.skipped)
-            if on_activity:
-                on_activity(None)
-
-    run = session.SearchSession(_session(spark), tell)
-    run.run(lambda: search_files(
-        run.spark, path, query, names=search_names, contents=search_contents, docs_tags=search_docs_tags, ocr=bool(ocr) and ports.ocr is not None, transcribe=bool(transcribe) and ports.speech is not None,
+        elif isinstance(event, session.Skipped) and skipped_files is not None:
+            skipped_files.extend(SkippedFile(*s) for s in event.rows)
+        elif isinstance(event, session.Finished) and on_activity:
+            on_activity(None)
+
+    run = session.SearchSession(_session(spark), tell, cancel_check)
+    run.run(ProgressiveSearch(
+        run.spark, path, query, names=search_names, contents=search_contents, docs_tags=search_docs_tags, ocr=bool(ocr), transcribe=bool(transcribe),
         pictures=pictures if semantic_image is None or semantic_image else None, threshold=threshold, picture_threshold=semantic_image_threshold, transcript_threshold=transcribe_threshold,
         limit=limit, max_matches=max_matches, max_file_bytes=max_file_size, options=options, ports=ports,
     ))
-    return found
+    return sorted(found, key=lambda r: (-r.score, r.path))[:limit]

@@ -118,12 +118,14 @@ def search_files(
     pictures: Pictures | None = None, threshold: float = units.THRESHOLD, picture_threshold: float = units.PREVIEW_THRESHOLD, transcript_threshold: float = units.TRANSCRIPT_THRESHOLD,
     limit: int | None = None, max_matches: int = 50, max_file_bytes: int | None = None, weights: dict | None = None, options: WalkOptions = WalkOptions(),
     readers: dict[str, Callable] | None = None, ports: extract.Ports | None = None, cache: UnitCache | None = None, files: DataFrame | None = None,
+    written: bool = False, order: bool = True,
 ) -> FileSearch:
     """Files that match by name, content or picture, best first, ties by path; and what
     was too long to read, which still matches by name.  The terms of a compound query
     may be satisfied by different lines, by the name or by the picture.  cache: units
     are taken from it, and put into it where they are new.  files: a listing as
-    ``list_files`` gives it, to be searched in place of the folder's."""
+    ``list_files`` gives it, to be searched in place of the folder's; written: it is cheap
+    to read several times.  order: whether results are ranked and cut to the limit."""
     if not names and not contents:
         raise ValueError("nothing to search: names and contents are both off")
     if contents and not (docs_tags or ocr or transcribe or pictures):
@@ -138,7 +140,7 @@ def search_files(
     # few tasks may have listed many files: reading them is dealt out to all
     given = files is not None
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    listed = once((list_files(spark, root, options) if files is None else files).repartition(parts), "files")
+    listed = files if given and written else once((list_files(spark, root, options) if files is None else files).repartition(parts), "files")
     files, skipped = extract.skips(listed, ports, want) if lines_wanted else (listed, spark.createDataFrame([], SKIPPED))
     rows = name_scores(files, q, weights) if names else files
     none = F.array().cast(f"array<{LINE}>")
@@ -171,8 +173,9 @@ def search_files(
     cutoff = F.when((F.try_element_at("lines", F.lit(1))["location_kind"] == "transcript") & (F.col("breakdown")["content"] >= F.col("score")), transcript_threshold)
     cutoff = cutoff.when(F.col("picture") >= F.col("score"), picture_threshold).otherwise(threshold)
     rows = rows.where((F.size("breakdown") > 0) & (F.col("score") > 0) & (F.col("score") >= cutoff))
-    rows = rows.withColumn("lines", with_picture(F.col("lines"), F.col("near"), F.col("picture"), F.col("score"), max_matches)).drop("near", "picture").orderBy(F.col("score").desc(), "path")
-    return FileSearch(rows.limit(limit) if limit else rows, skipped)
+    rows = rows.withColumn("lines", with_picture(F.col("lines"), F.col("near"), F.col("picture"), F.col("score"), max_matches)).drop("near", "picture")
+    rows = rows.orderBy(F.col("score").desc(), "path") if order else rows
+    return FileSearch(rows.limit(limit) if limit and order else rows, skipped)
 
 
 def with_picture(lines: Column, near: Column, picture: Column, score: Column, max_matches: int) -> Column:

@@ -32,12 +32,13 @@ def shared_folder(spark: SparkSession) -> str | None:
     return base.rstrip("/") if base else None
 
 
-def once(df: DataFrame, label: str) -> DataFrame:
+def once(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     """``df`` written to the shared folder and read back, so that two uses do not make
-    it twice and a lost executor costs a read; as it is where there is no such folder."""
+    it twice and a lost executor costs a read; as it is where there is no such folder.
+    by: a column whose values get folders of their own."""
     base = shared_folder(df.sparkSession)
     if base is None:
         return df
     path = f"{base}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
