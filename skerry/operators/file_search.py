@@ -14,7 +14,7 @@ from ..sources import extract, media
 from ..sources.cache import UnitCache
 from ..sources.files import WalkOptions, list_files
 from . import matchers, units
-from .layout import once
+from .layout import few_or_once
 
 # The shortest query that pictures are compared with, and a picture's line.
 LEAST_PICTURE_QUERY, VISUAL = 4, "(visual match)"
@@ -48,25 +48,27 @@ def content_scores(
     """A row per file: content_0 ... (each term's best unit), ``kept`` lines, best
     first, and ``rescued``: best units of single terms that reach the threshold
     where their whole score does not; ``near``: the best OCR or transcript unit close
-    under its threshold.  Best units combine map-side; kept lines are
-    cut to ``max_matches`` before they are gathered."""
-    scored = once(units.score_units(found, q, weights, threshold), "scored-units")
+    under its threshold.  Units that match no term fall out where they are scored; the
+    others are shuffled once, by file, and neither written nor scored again."""
+    # of a compound query a file shows its best unit for each term, however low
+    least = None if q.compound else min(threshold, preview_threshold, transcript_threshold)
+    scored, terms = units.score_units(found, q, weights, threshold, least), q.terms()
+    names = [F.col(f"term_{i}") for i in range(len(terms))]
+    scored = scored.where((F.greatest(*names) if len(names) > 1 else names[0]) > 0).repartition("file_id")
     limit = F.when(F.col("location_kind") == "transcript", transcript_threshold).otherwise(threshold)
-    aggregates, terms = [], q.terms()
+    aggregates = []
     for i, t in enumerate(terms):
-        own = F.col(f"term_{i}")
+        own = names[i]
         line = F.struct(_line(F.col("line_number"), F.col("text"), own, F.col("location_kind"), F.lit(t)).alias("line"), ((F.col("score") < limit) & (own > 0) & (own >= threshold)).alias("ok"))
         aggregates += [F.max(own).alias(f"content_{i}"), F.min_by(line, F.struct(-own, F.col("unit_ord"))).alias(f"_best_{i}")]
     close = F.col("location_kind").isin(*units.PREVIEW_KINDS) & (F.col("score") < limit) & (F.col("score") >= preview_threshold)
     whole = _line(F.col("line_number"), F.col("text"), F.col("score"), F.col("location_kind"), F.lit(None))
     aggregates.append(F.min_by(F.when(close, whole), F.when(close, F.struct(-F.col("score"), F.col("unit_ord")))).alias("near"))
-    best = scored.groupBy("file_id").agg(*aggregates)
+    kept = F.collect_list(F.when(F.col("rank").isNotNull(), F.struct("rank", whole.alias("line"))))
+    best = units.ranked_lines(scored, threshold, max_matches, transcript_threshold).groupBy("file_id").agg(*aggregates, F.array_sort(kept).alias("_kept"))
     rescued = F.array_compact(F.array(*(F.when(F.col(f"_best_{i}")["ok"], F.col(f"_best_{i}")["line"]) for i in range(len(terms))))) if len(terms) > 1 else F.array().cast(f"array<{LINE}>")
-    best = best.withColumn("rescued", rescued).drop(*(f"_best_{i}" for i in range(len(terms))))
-    kept = units.kept_lines(scored, threshold, max_matches, transcript_threshold).groupBy("file_id").agg(
-        F.array_sort(F.collect_list(F.struct("rank", whole.alias("line")))).alias("kept")
-    )
-    return best.join(kept.select("file_id", F.transform("kept", lambda k: k["line"]).alias("kept")), "file_id", "left")
+    lines = F.when(F.size("_kept") > 0, F.transform("_kept", lambda k: k["line"]))
+    return best.withColumns({"rescued": rescued, "kept": lines}).drop("_kept", *(f"_best_{i}" for i in range(len(terms))))
 
 
 def merge_lines(kept: Column, rescued: Column, max_matches: int) -> Column:
@@ -140,7 +142,7 @@ def search_files(
     # few tasks may have listed many files: reading them is dealt out to all
     given = files is not None
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    listed = files if given and written else once((list_files(spark, root, options) if files is None else files).repartition(parts), "files")
+    listed = files if given and written else few_or_once((list_files(spark, root, options) if files is None else files), parts, "files")
     files, skipped = extract.skips(listed, ports, want) if lines_wanted else (listed, spark.createDataFrame([], SKIPPED))
     rows = name_scores(files, q, weights) if names else files
     none = F.array().cast(f"array<{LINE}>")

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Up to so many bytes, as Spark estimates them, a table is dealt out again.
 SMALL_BYTES = 256 << 20
+#: Up to so many rows a listing of files is kept by the driver in place of a table.
+FEW_ROWS = 5_000
 
 _own_folders: dict[str, str] = {}
 
@@ -42,3 +44,12 @@ def once(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     path = f"{base}/{label}-{uuid.uuid4().hex}"
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def few_or_once(df: DataFrame, tasks: int, label: str) -> DataFrame:
+    """Rows that are made once and dealt out to ``tasks``: those of a small ``df`` as they
+    are, FEW_ROWS at most, others written to the shared folder."""
+    rows = df.limit(FEW_ROWS + 1).toArrow()
+    if rows.num_rows <= FEW_ROWS:
+        return df.sparkSession.createDataFrame(rows, df.schema)
+    return once(df.repartition(tasks), label)

@@ -113,6 +113,16 @@ def combined(scores: dict[MatchType, Column], weights: dict | None) -> Column:
     return total / sum(w.values())
 
 
+def composite(query: str, value: Column, weights: dict | None, least: float | None = None) -> Column:
+    """``score`` of a composite of all matchers but semantic, each distinct value of a batch
+    once; values that cannot reach ``least`` may get 0, which spares most of them the dear
+    matchers."""
+    active = {k.value: w for k, w in active_weights(weights).items()}
+    if not query or not active:
+        return F.lit(0.0)
+    return _kernel(lambda q, values: kernels.soft_composite(q, values, active, least), query, value)
+
+
 def score(kind: MatchType, query: str, value: Column, weights: dict | None = None) -> Column:
     found = parts(kind, query, value, weights)
     return combined(found, weights) if kind == MatchType.COMPOSITE else found[kind]

@@ -55,14 +55,22 @@ def discover_fields(df: DataFrame) -> list[str]:
     return sorted(c for c in df.columns if not c.startswith("_"))
 
 
+def _unused(df: DataFrame, *names: str) -> list[str]:
+    taken = {c.lower() for c in df.columns}
+    return [next(n + "_" * k for k in range(len(taken) + 1) if (n + "_" * k).lower() not in taken) for n in names]
+
+
 def search(df: DataFrame, query: str, *, fields: list[str | FieldConfig] | None = None, where: Q | None = None, threshold: float = 0.0, require_all: bool = False, limit: int | None = None, order: list[str] = (), breakdown: bool = False) -> DataFrame:
     """``df`` with ``score`` (and ``breakdown``), rows under the threshold dropped,
-    best first; ``order`` names columns that break ties."""
+    best first; ``order`` names columns that break ties, and behind them rows keep the
+    order in which the table is read."""
     if (fields is None) == (where is None):
         raise ValueError("give either fields or where")
     text = normalize_query(query)
     if not text:
         return df.withColumn("score", F.lit(0.0)).limit(0)
+    (place,) = _unused(df, "_place")
+    df = df.withColumn(place, F.monotonically_increasing_id())  # before rows are dealt out
     leaves = [where] if where is not None else [Q(f.name, f.match, composite_weights=f.composite_weights) for f in map(_config, fields)]
     if any(_needs_python(q) for q in leaves):
         df = spread(df)
@@ -72,7 +80,7 @@ def search(df: DataFrame, query: str, *, fields: list[str | FieldConfig] | None
         configs = list(map(_config, fields))
         total = sum(f.weight for f in configs)
         if not total:
-            return df.withColumn("score", F.lit(0.0)).limit(0)
+            return df.drop(place).withColumn("score", F.lit(0.0)).limit(0)
         each = [matchers.score(f.match, text, _value(df, f.name), f.composite_weights) for f in configs]
         weighted = sum((s * f.weight for s, f in zip(each, configs, strict=True)), F.lit(0.0)) / total
         rows = df.withColumn("score", weighted)
@@ -82,8 +90,8 @@ def search(df: DataFrame, query: str, *, fields: list[str | FieldConfig] | None
         where = Q.any(*(Q(f.name, f.match, f.weight, f.composite_weights) for f in configs))
     if breakdown:
         rows = rows.withColumn("breakdown", _breakdown(df, where, text))
-    rows = rows.where((F.col("score") > 0) & (F.col("score") >= threshold)).orderBy(F.col("score").desc(), *order)
-    return rows.limit(limit) if limit else rows
+    rows = rows.where((F.col("score") > 0) & (F.col("score") >= threshold)).orderBy(F.col("score").desc(), *order, place)
+    return (rows.limit(limit) if limit else rows).drop(place)
 
 
 def magic_search(df: DataFrame, query: str, *, fields: list[str] | None = None, threshold: float = MAGIC_THRESHOLD, **more) -> DataFrame:

@@ -32,12 +32,13 @@ def unit_body(text: Column, kind: Column) -> Column:
     return normalize(F.when(kind == "tag", tag_value(text)).otherwise(text))
 
 
-def term_score(term: str, text: Column, kind: Column, weights: dict | None, rescue_below: float | None = None, body: Column | None = None) -> Column:
+def term_score(term: str, text: Column, kind: Column, weights: dict | None, rescue_below: float | None = None, body: Column | None = None, least: float | None = None) -> Column:
     """Score of one unit for one term.  Several query words: each needs a token, the
     weakest counts.  One word: the best token for tags, OCR and transcripts, else
     the whole line; with an encoder, a line near in meaning whose score is under
     ``rescue_below`` gets its cosine.  Weights of native matchers alone stay in the JVM.
-    body: a column of ``unit_body``, where there is one."""
+    body: a column of ``unit_body``, where there is one.  least: whole lines that cannot
+    reach so much may get 0."""
     words = list(dict.fromkeys(query_words(term)))
     body = unit_body(text, kind) if body is None else body
     if len(query_words(term)) >= 2:
@@ -47,8 +48,12 @@ def term_score(term: str, text: Column, kind: Column, weights: dict | None, resc
     # Python functions run on all rows, whatever branch they are in: each gets its own
     whole_body = F.when(~token_kind, body).otherwise("") if matchers.has_python(weights) else body
     own_tokens = F.when(token_kind, tokens(body)) if matchers.has_python(weights) else tokens(body)
-    found = matchers.parts(MatchType.COMPOSITE, term, whole_body, weights)
-    whole = matchers.combined(found, weights)
+    active = matchers.active_weights(weights)
+    if matchers.has_python(weights) and MatchType.SEMANTIC not in active:
+        found, whole = {}, matchers.composite(term, whole_body, weights, least)
+    else:
+        found = matchers.parts(MatchType.COMPOSITE, term, whole_body, weights)
+        whole = matchers.combined(found, weights)
     if rescue_below is not None and MatchType.SEMANTIC in found:
         near = found[MatchType.SEMANTIC]
         whole = F.when((near >= matchers.TOKEN_COSINE) & (whole < rescue_below), F.greatest(whole, near)).otherwise(whole)
@@ -78,13 +83,14 @@ def _settled(rows: DataFrame, values: dict[str, Column]) -> DataFrame:
     return rows.select(*kept, F.inline(F.array(F.struct(*(v.alias(n) for n, v in values.items())))))
 
 
-def score_units(units: DataFrame, q: FileQ, weights: dict | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """``units`` with term_0 ... and ``score``; blank units are dropped."""
+def score_units(units: DataFrame, q: FileQ, weights: dict | None = None, threshold: float = THRESHOLD, least: float | None = None) -> DataFrame:
+    """``units`` with term_0 ... and ``score``; blank units are dropped.  least: units
+    that cannot reach so much may get 0."""
     text, kind = F.col("text"), F.col("location_kind")
     scored = _settled(units, {"_body": unit_body(text, kind)})
     scored = scored.where((F.col("_body") != "") | (kind == "tag") & (normalize(text) != ""))
     names = {t: f"term_{i}" for i, t in enumerate(q.terms())}
-    scores = {n: term_score(t, text, kind, weights, threshold, F.col("_body")) for t, n in names.items()}
+    scores = {n: term_score(t, text, kind, weights, threshold, F.col("_body"), least) for t, n in names.items()}
     # Spark would run Python functions again for each filter on what they give
     scored = _settled(scored.withColumns(scores), {n: F.col(n) for n in names.values()}) if matchers.has_python(weights) else scored.withColumns(scores)
     scored = scored.drop("_body")
@@ -107,6 +113,18 @@ def kept_lines(scored: DataFrame, threshold: float = THRESHOLD, max_matches: int
     return rows.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= max_matches)
 
 
+def ranked_lines(scored: DataFrame, threshold: float = THRESHOLD, max_matches: int = 50, transcript_threshold: float = TRANSCRIPT_THRESHOLD) -> DataFrame:
+    """All units, those that ``kept_lines`` keeps with their ``rank``, others with none;
+    where units are partitioned by file, nothing is shuffled."""
+    limit = F.when(F.col("location_kind") == "transcript", transcript_threshold).otherwise(threshold)
+    rows = scored.withColumn("_ok", (F.col("score") > 0) & (F.col("score") >= limit))
+    best = [F.col("_ok").desc(), F.col("score").desc(), F.col("unit_ord")]
+    same = Window.partitionBy("file_id", "line_number", "location_kind").orderBy(*best)
+    rows = rows.withColumn("_ok", F.col("_ok") & (~F.col("location_kind").isin(*TOKEN_KINDS) | (F.row_number().over(same) == 1)))
+    rank = F.row_number().over(Window.partitionBy("file_id").orderBy(*best))
+    return rows.withColumn("rank", F.when(F.col("_ok") & (rank <= max_matches), rank)).drop("_ok")
+
+
 def file_scores(scored: DataFrame, q: FileQ, threshold: float = THRESHOLD) -> DataFrame:
     """(file_id, score): terms may be satisfied by different units of a file.  The
     aggregate combines map-side, one shuffle on file_id."""

@@ -379,10 +379,12 @@ def units(files: DataFrame, ports: Ports | dict | None = None, want: Wanted = Wa
 
 def content_limit(want: Wanted, ports: Ports) -> Column:
     """The most bytes of a file or member, by its suffix; null where there is none."""
-    limits = {s: want.limit(s, ports) for s in (*media.SUFFIXES, *DOCUMENTS)}
+    by_limit: dict[int | None, list[str]] = {}
+    for s in (*media.SUFFIXES, *DOCUMENTS):
+        by_limit.setdefault(want.limit(s, ports), []).append(s)
     limit = F.lit(want.limit("", ports)).cast("long")
-    for s, most in limits.items():
-        limit = F.when(F.col("suffix") == s, F.lit(most).cast("long")).otherwise(limit)
+    for most, suffixes in by_limit.items():
+        limit = F.when(F.col("suffix").isin(*suffixes), F.lit(most).cast("long")).otherwise(limit)
     return limit
 
 
@@ -390,6 +392,8 @@ def skips(files: DataFrame, ports: Ports, want: Wanted) -> tuple[DataFrame, Data
     """``files`` with those flagged ``names_only`` whose content is over its limit and of
     which nothing else can be read; and (path, size_bytes, reason) of what is not read.
     Empty files always pass; tags of a long file are still read where it has any."""
+    if not (want.max_bytes or want.ocr or want.transcribe):
+        return files, files.sparkSession.createDataFrame([], "path string, size_bytes long, reason string")
     suffix, size, alone = F.col("suffix"), F.col("size_bytes"), F.col("archive").isNull()
     limit = content_limit(want, ports)
     over = F.lit(want.docs_tags) & F.coalesce(size > limit, F.lit(False)) & ~F.col("names_only")

@@ -1,5 +1,7 @@
 """Which tokens may count for a word, matching by meaning, and near matches."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -76,3 +78,45 @@ def test_vocabulary_gives_the_scores_of_rows(spark):
     joined = {r["i"]: r["score"] for r in units.vocabulary_scores(rows, ["i"], "t", "night").collect()}
     direct = _scores(spark, "night", texts, "tag")
     assert joined == {i: pytest.approx(s) for i, s in enumerate(direct) if s > 0} and set(joined) >= {0, 1}
+
+
+def test_composites_of_values_that_cannot_reach_enough_are_zero_and_others_whole():
+    weights = {"fuzzy": 0.35, "partial": 0.15, "phonetic": 0.12, "contains": 0.1, "exact": 0.08}
+    r = random.Random(12)
+    pieces = ["worth", "less", "school", "rock", "knight", "phone", "mac", "back", "e", " ", "of", "é", "ß", "the", "x1"]
+    values = ["".join(r.choice(pieces) for _ in range(r.randint(0, 14))) for _ in range(1500)] + ["k", "", "worthless", " ", "rock" * 80]
+    for query in ("worthless", "school of rock", "knight", "mac", "x1", "a", "phone" * 20):
+        whole = kernels.soft_composite(query, values, weights)
+        plain = [sum(w * f for w, f in zip(weights.values(), (kernels.fuzzy(query, v), float(bool(v) and (v.startswith(query) or v.endswith(query))), kernels.phonetic(query, v), float(query in v), float(v == query)), strict=True)) / 0.8 for v in values[:200]]
+        assert np.allclose(whole[:200], plain, atol=1e-12)
+        for least in (0.18, 0.35, 0.6):
+            cut = kernels.soft_composite(query, values, weights, least)
+            assert ((cut == whole) | (cut == 0)).all() and (whole[cut == 0] < least).all()
+
+
+def test_phonetic_scores_are_those_of_whole_codes():
+    r = random.Random(13)
+    values = ["".join(r.choice(["kn", "ph", "sch", "mac", "gh", "w", "r", "ll", "mm", "a", "o", "e", "t", " ", "1", "k", "tion"]) for _ in range(r.randint(0, 30))) for _ in range(2500)]
+    for query in ("knight", "school", "macdonald", "phone", "a", "rr", "1"):
+        a, s, n = kernels.metaphone(query), kernels.soundex(query), kernels.nysiis(query)
+        for v, got in zip(values, kernels.phonetic_many(query, values), strict=True):
+            b = kernels.metaphone(v) if v else ""
+            near = kernels.ratio(a, b) / 100
+            want = 0.0 if not a or not b else 1.0 if a == b else 0.5 * near if near >= 0.5 else 0.0
+            if v and want < 0.85 and (s and s == kernels.soundex(v) or n and n == kernels.nysiis(v)):
+                want = 0.85
+            assert got == want, (query, v)
+
+
+def test_metaphone_codes_of_published_examples():
+    """Codes by the rules of the algorithm's first publication (Philips 1990)."""
+    codes = {"back": "BK", "duck": "TK", "rocket": "RKT", "thumb": "0M", "phone": "FN", "school": "SKL", "judge": "JJ", "wrack": "RK", "xenon": "SNN", "match": "MX"}
+    assert {w: kernels.metaphone(w) for w in codes} == codes
+
+
+def test_rows_of_equal_scores_keep_their_order(spark):
+    rows = spark.createDataFrame([(i, "alpha" if i % 3 else "alphabet", i) for i in range(3000)], "id int, t string, _place int").repartition(1).sortWithinPartitions("id")
+    for _ in range(2):
+        got = [r["id"] for r in records.search(rows, "alpha", where=Q.composite("t"), limit=10).collect()]
+        assert got == [i for i in range(3000) if i % 3][:10]
+    assert records.search(rows, "alpha", where=Q.contains("t")).columns == ["id", "t", "_place", "score"]
