@@ -58,7 +58,7 @@ _IP_OK = rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$"
 GENERATORS = {
     "number": r"(?<![0-9A-Za-z])(?:\+|\()?[0-9](?:[\x20().-]{0,2}[0-9]){7,24}+(?![0-9A-Za-z])",
     "address": rf"(?<!{_LOCAL}){_LOCAL}{{1,64}}+(?:@|\x20?(?:\(at\)|\[at\])\x20?)(?:{_HOST}{{1,63}}+(?:\.|\x20?(?:\(dot\)|\[dot\])\x20?)){{1,8}}+[A-Za-z]{{2,24}}",
-    "secret": r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{16,512}+={0,2}(?![A-Za-z0-9_+/])",
+    "secret": r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{16,}+={0,2}(?![A-Za-z0-9_+/])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}+(?:\x20?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])",
     "ipv6": r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:.])",
 }
