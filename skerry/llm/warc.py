@@ -180,14 +180,15 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = open_fs(folder)
         fs.create_dir(base, recursive=True)
-        part, number = TaskContext.get().partitionId(), 0
+        # a task that runs again writes archives of its own; the manifest names those that count
+        part, number, attempt = TaskContext.get().partitionId(), 0, uuid.uuid4().hex
         out, name, size, count = None, "", 0, 0
         done: list[tuple[str, int]] = []
 
         def close() -> None:
             nonlocal out, number
             out.close()
-            final = f"{base}/part-{part:06d}-{number:04d}.warc.gz"
+            final = f"{base}/part-{part:06d}-{number:04d}-{attempt}.warc.gz"
             fs.move(name, final)
             done.append((final, count))
             out, number = None, number + 1
