@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 from pyspark.sql.window import Window
 
 from .common import columns, fresh, materialize, read_table
@@ -33,8 +34,9 @@ WINDOW = 10
 RAREST = 2
 SLOP = 3
 NEAR_PERCENT = 80
-#: Tables of terms and windows up to this many rows are broadcast; larger ones join by shuffle.
-BROADCAST_ROWS = 200_000
+#: Tables of terms and windows up to so many rows and bytes, as counted, are broadcast;
+#: larger ones join by shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -47,9 +49,17 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(lowered, F.lit("")), _BETWEEN, -1), "")
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` to be broadcast if it has at most BROADCAST_ROWS rows, else as it is."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def small(df: DataFrame) -> DataFrame:
+    """``df`` to be broadcast if it has at most BROADCAST_ROWS rows and BROADCAST_BYTES
+    bytes of text and of fields, else as it is."""
+    size = F.lit(16 * len(df.columns))
+    for f in df.schema:
+        if isinstance(f.dataType, ArrayType):
+            size = size + F.coalesce(F.aggregate(f.name, F.lit(0), lambda n, x: n + F.coalesce(F.octet_length(x), F.lit(0)) + 16), F.lit(0))
+        elif isinstance(f.dataType, StringType):
+            size = size + F.coalesce(F.octet_length(f.name), F.lit(0))
+    told = df.agg(F.count("*").alias("rows"), F.sum(size.cast("long")).alias("bytes")).first()
+    return F.broadcast(df) if told["rows"] <= BROADCAST_ROWS and (told["bytes"] or 0) <= BROADCAST_BYTES else df
 
 
 def benchmark_windows(items: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
@@ -67,7 +77,7 @@ def term_counts(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """(term, n): how often each term of a window occurs in the corpus; those that do."""
     vocabulary = materialize(windows.select(F.explode("w").alias("term")).distinct(), "vocabulary")
     tokens = docs.select(F.explode(words(F.col("text"))).alias("term"))
-    return tokens.join(small(vocabulary, vocabulary.count()), "term").groupBy("term").agg(F.count("*").alias("n"))
+    return tokens.join(small(vocabulary), "term").groupBy("term").agg(F.count("*").alias("n"))
 
 
 def rarest_terms(windows: DataFrame, counts: DataFrame, rarest: int = RAREST) -> DataFrame:
@@ -85,15 +95,14 @@ def rarest_terms(windows: DataFrame, counts: DataFrame, rarest: int = RAREST) ->
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, doc, pos) of the given distinct terms: the positional index."""
     tokens = docs.select(F.coalesce(F.col("doc_id"), F.lit(-1)).alias("doc"), F.posexplode(words(F.col("text"))).alias("pos", "term"))
-    return tokens.join(small(terms, terms.count()), "term")
+    return tokens.join(small(terms), "term")
 
 
 def intersect(index: DataFrame, chosen: DataFrame, slop: int = SLOP) -> DataFrame:
     """(doc, window_id, start, near): places where the chosen terms of a window stand
     at their offsets, and, with ``near`` above 0, where the later of two terms stands
     that many words out of its distance to the one before, at most ``slop``."""
-    rows = chosen.count()
-    shifted = index.join(small(chosen, rows), "term").select("doc", "window_id", "terms", "offset", "lead", (F.col("pos") - F.col("offset")).alias("start"))
+    shifted = index.join(small(chosen), "term").select("doc", "window_id", "terms", "offset", "lead", (F.col("pos") - F.col("offset")).alias("start"))
     upto = Window.partitionBy("doc", "window_id").orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     is_lead = F.col("offset") == F.col("lead")
     before = F.when(is_lead, F.max(F.when(~is_lead, F.col("start"))).over(upto)).otherwise(F.max(F.when(is_lead, F.col("start"))).over(upto))
@@ -123,7 +132,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, rares
     chosen = materialize(rarest_terms(windows, term_counts(docs, windows), rarest), "terms")
     index = materialize(postings(docs, chosen.select("term").distinct()), "postings")
     found = intersect(index, chosen)
-    found = found.join(small(windows, windows.count()), "window_id")
+    found = found.join(small(windows), "window_id")
     by_doc = found.groupBy(F.col("doc").alias(doc)).agg(F.collect_list(F.struct("start", "near", "window_id", "w")).alias(candidates))
     rows = docs.withColumn(doc, F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long"))).join(by_doc, doc, "left").withColumn(word, words(F.col("text")))
 
@@ -147,7 +156,7 @@ def report(docs: DataFrame, items: DataFrame, window: int = WINDOW, rarest: int
     judged, owners, _ = contamination(docs.select("doc_id", "text"), items, window, rarest)
     rows = materialize(judged.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "n_words", "n_hit", F.array_distinct(F.transform("hits", lambda h: h["window_id"])).alias("found"), F.size("near").cast("long").alias("n_near")), "contamination")
     listed = (
-        rows.select("uid", F.explode("found").alias("window_id")).join(small(owners, owners.count()), "window_id")
+        rows.select("uid", F.explode("found").alias("window_id")).join(small(owners), "window_id")
         .groupBy("uid").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     )
     none = F.array().cast("array<string>")
