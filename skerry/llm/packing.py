@@ -66,6 +66,8 @@ class WordTokenizer:
     characters out of the plain set, go to the tokenizer whole."""
 
     REMEMBERED = 300_000
+    #: characters of a pre-token that is remembered, at most: the bound is one of bytes, too
+    LONGEST = 64
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -79,9 +81,10 @@ class WordTokenizer:
     def _word(self, word: str) -> bytes:
         written = word if word.isascii() else "".join(map(self.characters.__getitem__, word.encode()))
         ids = np.array([t.id for t in self.model.tokenize(written)], "<u4").tobytes()
-        if len(self.known) >= self.REMEMBERED:
-            self.known.clear()
-        self.known[word] = ids
+        if len(word) <= self.LONGEST:
+            if len(self.known) >= self.REMEMBERED:
+                self.known.clear()
+            self.known[word] = ids
         return ids
 
     def encode(self, text: str) -> bytes:

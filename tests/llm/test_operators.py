@@ -12,6 +12,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from skerry.llm import chat_format, decontaminate, language_id, packing, pii, quality_rules, simhash, suffix_dedup, toxicity, warc
 
@@ -534,6 +535,28 @@ def test_running_sums_over_blocks_match_plain_ones(spark):
         assert row["m"] == [0, *itertools.accumulate(v, max)][: len(v)]
 
 
+def test_secrets_of_any_length_are_proposed(spark):
+    texts = [f"api_key = '{'aB3' * n}' end" for n in (6, 171, 172, 5000)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    found = rows.select("i", F.length(F.regexp_substr("t", F.lit(pii.GENERATORS["secret"]))).alias("n")).orderBy("i").collect()
+    assert [r["n"] for r in found] == [18, 513, 516, 15000]
+
+
+def test_tables_are_broadcast_by_rows_and_bytes(spark, monkeypatch):
+    df = spark.createDataFrame([(["a" * 50, None], "t"), (None, None)], "w array<string>, term string")
+    shown = lambda d: "ResolvedHint" in d._jdf.queryExecution().analyzed().toString()
+    assert shown(decontaminate.small(df)) and shown(decontaminate.small(df.limit(0)))
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 100)
+    assert not shown(decontaminate.small(df))
+
+
+def test_archives_of_a_task_that_runs_again_have_names_of_their_own(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", f"x{i}") for i in range(5)], "page_id long, url string, html string").coalesce(1)
+    plan = warc.plan_records(pages).coalesce(1)
+    first, again = ([r["path"] for r in warc.write_archives(plan, str(tmp_path / "warc")).collect()] for _ in range(2))
+    assert first and not set(first) & set(again)
+
+
 def test_pii_spans_beyond_the_base(spark):
     r = random.Random(5)
     key = lambda: "".join(r.choice("0123456789abcdef") for _ in range(40))
