@@ -49,6 +49,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--format", choices=("grouped", "flat"), default="grouped")
     p.add_argument("--json", action="store_true")
     p.add_argument("-o", "--output", help="file to write to as well")
+    p.add_argument("--output-folder", help="folder to write to in place of the screen, by the tasks")
     for name, what in (("semantic", "an encoder of texts"), ("semantic-image", "Pictures"), ("ocr", "a function from a picture's bytes to its writing"), ("transcribe", "a function from a sound's bytes to (second, text)")):
         p.add_argument(f"--{name}", type=_named, metavar="MODULE:NAME", help=what)
     p.add_argument("--semantic-image-threshold", type=_share, default=units.PREVIEW_THRESHOLD)
@@ -94,7 +95,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return 2
     finally:
         use_encoder(None)
-    n = _write(found.results, a, q)
+    if a.output_folder:
+        output.write_results(found.results, q, a.output_folder, "json" if a.json else a.format)
+        n = not spark.read.text(a.output_folder).isEmpty()
+    else:
+        n = _write(found.results, a, q)
     limits = {"ocr_too_large": a.max_ocr_file_size, "transcribe_too_large": a.max_transcribe_file_size}
     for s in found.skipped.toLocalIterator():
         print(output.skip_warning(s["path"], s["size_bytes"], s["reason"], limits.get(s["reason"], a.max_file_size)), file=sys.stderr)

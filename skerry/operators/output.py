@@ -143,3 +143,13 @@ def skip_warning(path: str, size: int, reason: str, limit: int | None) -> str:
     what, flag = {"ocr_too_large": ("OCR", "--max-ocr-file-size"), "transcribe_too_large": ("transcription", "--max-transcribe-file-size")}.get(reason, ("content search", "--max-file-size"))
     hint = f"increase {flag}" if reason in ("ocr_too_large", "transcribe_too_large") else f"rerun with {flag} {(size // MIB + 1) * MIB}"
     return f"warning: skipped {what} in {path} ({size:,} bytes > {flag} {shown})\n  hint: {hint}"
+
+
+def write_results(results: DataFrame, q: FileQ, folder: str, form: str = "json") -> None:
+    """Ranked results as text files of a new folder, JSON rows, flat lines or blocks, best
+    first from file to file.  Tasks write them, and none is there before all are: a task
+    that is lost leaves nothing behind."""
+    rows = {"json": lambda: json_rows(results, q).select("json"), "grouped": lambda: text_blocks(results, q).select("block"), "flat": lambda: flat_lines(results).select("flat")}
+    if form not in rows:
+        raise ValueError(f"form is one of {', '.join(rows)}")
+    rows[form]().write.text(folder)

@@ -15,7 +15,6 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import archives, extract
 
@@ -26,6 +25,8 @@ _SCHEMAS = {
     "uses": "kind string, variant string, content_hash string, used_at double",
     "generations": "n int",
 }
+#: Bins of times in which the cache's size is summed up.
+BINS = 1_000
 KEY = ["kind", "variant", "content_hash"]
 _PLACE = ["path", "mtime_ns", "size_bytes"]
 
@@ -34,6 +35,29 @@ def _digest(content: bytes) -> str:
     return hashlib.blake2b(content, digest_size=32).hexdigest()
 
 
+def oldest_that_stays(dated: DataFrame, max_bytes: int, bins: int = BINS) -> float:
+    """The earliest ``used_at`` from which on all size_bytes are ``max_bytes`` at most;
+    infinity if not even the last time's are.  Times are summed up in bins, and again within
+    the bin that goes over, until that is one time: no rows are sorted, and what reaches
+    the driver is a row a bin."""
+    stays, kept = float("inf"), 0
+    low, high = dated.agg(F.min("used_at"), F.max("used_at")).first()
+    while low is not None:
+        width = (high - low) / bins or 1.0
+        own = dated.where((F.col("used_at") >= low) & (F.col("used_at") <= high))
+        sums = own.groupBy(F.floor((F.col("used_at") - low) / width).alias("bin")).agg(F.sum("size_bytes").alias("bytes"), F.min("used_at").alias("low"), F.max("used_at").alias("high"))
+        over = None
+        for r in sorted(sums.collect(), key=lambda r: -r["bin"]):
+            if kept + r["bytes"] > max_bytes:
+                over = r
+                break
+            kept, stays = kept + r["bytes"], r["low"]
+        if over is None or over["low"] == over["high"]:
+            return stays
+        low, high = over["low"], over["high"]
+    return stays
+
+
 class UnitCache:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -97,12 +121,10 @@ class UnitCache:
 
     def evict(self, max_bytes: int) -> None:
         """Drop what was used longest ago until at most ``max_bytes`` of content are
-        left.  Entries of one run share a time and go together, so that running totals
-        are over runs, not over entries."""
+        left.  Entries of one run share a time and go together."""
         last = self._read("uses").groupBy(*KEY).agg(F.max("used_at").alias("used_at"))
         dated = self._read("entries").dropDuplicates(KEY).join(last, KEY)
-        runs = dated.groupBy("used_at").agg(F.sum("size_bytes").alias("b")).withColumn("total", F.sum("b").over(Window.orderBy(F.col("used_at").desc())))
-        stays = dated.join(runs.where(F.col("total") <= max_bytes).select("used_at"), "used_at", "left_semi")
+        stays = dated.where(F.col("used_at") >= oldest_that_stays(dated, max_bytes))
         following = self.generation + 1
         self._add(self._read("hashes"), "hashes", following)
         self._add(stays.select(*KEY, "size_bytes"), "entries", following)

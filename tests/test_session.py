@@ -1,8 +1,12 @@
 """Previews of misspelt places, the unit cache, sessions with events."""
 
+import json
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from skerry import cli
 from skerry.functions import kernels
 from skerry.functions.previews import find_span, snippet, snippets
 from skerry.plans.query import parse_file_query
@@ -10,7 +14,7 @@ from skerry.operators import output
 from skerry.operators.file_search import FileSearch, search_files
 from skerry.operators.session import Activity, Failed, Finished, Result, Results, SearchSession, paced
 from skerry.sources import extract
-from skerry.sources.cache import UnitCache
+from skerry.sources.cache import UnitCache, oldest_that_stays
 from skerry.sources.files import list_files
 
 
@@ -74,6 +78,43 @@ def test_cache_reads_only_what_is_new(spark, tmp_path):
     assert UnitCache(spark, store).size() == 7 and run() == (["one", "two"], 2)
 
 
+def test_what_stays_in_the_cache_is_what_running_totals_keep(spark):
+    r = random.Random(9)
+    times = sorted(r.choice([r.random() * 1e9, 1e9 + k * 1e-6, 5.0]) for k in range(80))
+    rows = [(t, r.choice([0, 1, 10, 1000])) for t in times for _ in range(r.choice([1, 1, 3]))]
+    dated = spark.createDataFrame(rows, "used_at double, size_bytes long")
+    for bound in (0, 1, 17, 1000, 5003, 20_000, 10**9):
+        total, stays = 0, float("inf")
+        for t in sorted(set(times), reverse=True):
+            total += sum(n for x, n in rows if x == t)
+            if total > bound:
+                break
+            stays = t
+        assert oldest_that_stays(dated, bound, bins=4) == oldest_that_stays(dated, bound) == stays, bound
+    assert oldest_that_stays(dated.limit(0), 5) == float("inf")
+    plan = dated.where(F.col("used_at") >= oldest_that_stays(dated, 17))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_results_are_written_by_tasks(spark, tmp_path):
+    (tmp_path / "tree").mkdir()
+    for i in range(7):
+        (tmp_path / "tree" / f"a{i}.txt").write_text("alpha\n" * (i + 1))
+    q = parse_file_query("alpha")
+    found = search_files(spark, str(tmp_path / "tree"), q, weights={"contains": 1.0}).results
+    for form in ("json", "flat", "grouped"):
+        output.write_results(found, q, str(tmp_path / form), form)
+    read = lambda form: [line for p in sorted((tmp_path / form).glob("part-*")) for line in p.read_text().splitlines()]
+    assert [json.loads(x) for x in read("json")] == [json.loads(r["json"]) for r in output.json_rows(found, q).collect()] and len(read("json")) == 7
+    assert read("flat") == [r["flat"] for r in output.flat_lines(found).collect()] and len(read("flat")) == 28
+    assert "\n".join(read("grouped")) == "\n".join(r["block"] for r in output.text_blocks(found, q).collect())
+    with pytest.raises(ValueError):
+        output.write_results(found, q, str(tmp_path / "x"), "xml")
+    assert cli.main(["alpha", str(tmp_path / "tree"), "--content-only", "--output-folder", str(tmp_path / "out"), "--json"], spark) == 0
+    assert len(spark.read.text(str(tmp_path / "out")).collect()) == 7
+    assert cli.main(["zzzzqqqq", str(tmp_path / "tree"), "--threshold", "0.99", "--output-folder", str(tmp_path / "none")], spark) == 1
+
+
 def test_session_events_and_cancelling(spark, tmp_path):
     (tmp_path / "a.txt").write_text("alpha")
     seen = []
