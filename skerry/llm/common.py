@@ -33,7 +33,7 @@ def scratch_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         context = spark.sparkContext
-        if not context.master.startswith("local"):
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = _own_folders.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="skerry-")
         _own_folders[context.applicationId] = base

@@ -1,11 +1,12 @@
 import re
+from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from skerry.llm import language_id, packing, pii, registry
+from skerry.llm import language_id, packing, pii, registry, simhash
 from tests.llm.test_operators import decontamination_brute, pii_brute
 from tests.oracle import compare
 
@@ -105,3 +106,33 @@ def test_stages_bear_awkward_rows(spark):
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_matches_sql(spark, name):
     compare(spark, registry.QUERIES[name], registry.ORACLES[name])
+
+
+def test_near_duplicate_components_are_those_of_brute_force(spark):
+    """All pairs that share one of the rarest shingles of each, which no pair at 0.8 does not."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    sets = [set(x.tolist()) for x in simhash.near_sets([r["text"].encode() if r["text"] else None for r in rows])]
+    freq = Counter(v for x in sets for v in x)
+    root, index = list(range(len(rows))), defaultdict(list)
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, x in enumerate(sets):
+        rare = sorted(x, key=lambda v: (freq[v], v))
+        near = {j for v in rare[: len(rare) - -(-4 * len(rare) // 5) + 1] for j in index[v]} if x else set(index[None])
+        for j in near:
+            if simhash.similar(len(x & sets[j]), len(x), len(sets[j])):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+        for v in rare[: len(rare) - -(-4 * len(rare) // 5) + 1] if x else [None]:
+            index[v].append(i)
+    want = defaultdict(set)
+    for i, r in enumerate(rows):
+        want[find(i)].add(r["doc_id"])
+    got = defaultdict(set)
+    for r in simhash.near_components(docs).collect():
+        got[r["component"]].add(r["doc_id"])
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values())) and any(len(v) > 1 for v in want.values())
