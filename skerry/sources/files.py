@@ -128,6 +128,11 @@ def skipped(rel_path: Column, o: WalkOptions) -> Column:
     return out
 
 
+def suffix(name: Column) -> Column:
+    """The last suffix of a name, in lower case; empty where it has none."""
+    return F.lower(F.regexp_extract(name, r"[^.](\.[^.]+)$", 1))
+
+
 def list_files(spark: SparkSession, root: str, options: WalkOptions = WalkOptions()) -> DataFrame:
     """file_id, path, name, rel_path, suffix, size_bytes, mtime_ns, names_only, archive,
     member.  A root that is a file is returned untested and unexpanded."""
@@ -147,4 +152,4 @@ def list_files(spark: SparkSession, root: str, options: WalkOptions = WalkOption
     if o.include_archives and not single:
         rows = rows.unionByName(archives.members(rows.where(F.lower("path").rlike(archives.ARCHIVE) & ~F.col("names_only"))))
     base = F.coalesce("member", "rel_path")
-    return rows.withColumns({"file_id": F.xxhash64("path"), "name": F.element_at(F.split(base, "/"), -1)}).withColumn("suffix", F.lower(F.regexp_extract("name", r"[^.](\.[^.]+)$", 1)))
+    return rows.withColumns({"file_id": F.xxhash64("path"), "name": F.element_at(F.split(base, "/"), -1)}).withColumn("suffix", suffix(F.col("name")))
