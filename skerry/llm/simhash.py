@@ -17,6 +17,7 @@ returned and never names a component with other ids.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -38,12 +39,18 @@ BUCKET = 2000
 FRONTIER = 400_000
 
 #: Near copies of ``deduplicated``: runs of five words with a Jaccard similarity of
-#: 0.8 or more.  A pair at 0.8 shares none of the bands with probability 0.0005.
+#: 0.8 or more.  Of SIGNATURE bits the first 64 * NEAR_WORDS are the fingerprint that
+#: tries compare, and keys are chosen from all of them.
 NEAR_SHINGLE = 5
-BANDS, BAND_ROWS = 25, 6
+SIGNATURE, NEAR_WORDS, NEAR_DISTANCE = 1024, 3, 56
+#: A key's bucket is planned to hold no more than this many fingerprints.
+NEAR_BUCKET = 64
+#: A pair at 0.8 differs in this share of its bits, and at most in the second one where a
+#: set has FEW members or less; it shares no key with the probability MISSED.
+DIFFER, DIFFER_FEW, FEW, MISSED = 0.16, 0.19, 10, 0.0005
 _RANDOM = np.random.default_rng(SEED)
-_TURNS = _RANDOM.integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-_MIX = _RANDOM.integers(0, 1 << 63, (BANDS, BAND_ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+_TURNS = _RANDOM.integers(0, 1 << 63, SIGNATURE // 64, np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
@@ -121,9 +128,31 @@ def trie_links(keys: np.ndarray, fps: np.ndarray, distance: int = DISTANCE) -> t
     fingerprints, linked pairwise or by way of others of the same forest."""
     order = np.lexsort((fps, keys))
     keys, fps = keys[order], fps[order]
-    n = len(fps)
+    label = _trie_labels(keys, [fps], distance)
+    linked = np.flatnonzero(label != np.arange(len(fps)))
+    return fps[linked], fps[label[linked]]
+
+
+def trie_groups(keys: np.ndarray, words: list[np.ndarray], distance: int) -> np.ndarray:
+    """For each row one row of its key that its fingerprint reaches by links, the same for
+    all that reach one another.  words: the words of the fingerprints, which may repeat."""
+    if not len(keys):
+        return np.zeros(0, np.int64)
+    order = np.lexsort((*reversed(words), keys))
+    keys, words = keys[order], [w[order] for w in words]
+    new = np.concatenate([[True], np.any([c[1:] != c[:-1] for c in (keys, *words)], axis=0)])
+    first = np.flatnonzero(new)
+    label = first[_trie_labels(keys[first], [w[first] for w in words], distance)]
+    out = np.empty(len(keys), np.int64)
+    out[order] = order[label[np.cumsum(new) - 1]]
+    return out
+
+
+def _trie_labels(keys: np.ndarray, words: list[np.ndarray], distance: int) -> np.ndarray:
+    """Labels of the components of sorted, distinct fingerprints of one key."""
+    n, bits = len(keys), 64 * len(words)
     if n < 2:
-        return fps[:0], fps[:0]
+        return np.arange(n)
     cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     root_lo, root_hi = cut, np.concatenate([cut[1:], [n]])
     keep = root_hi - root_lo > 1
@@ -133,7 +162,7 @@ def trie_links(keys: np.ndarray, fps: np.ndarray, distance: int = DISTANCE) -> t
 
     def split(lo: np.ndarray, hi: np.ndarray, depth: int) -> np.ndarray:
         if depth not in ones:
-            ones[depth] = np.concatenate([[0], np.cumsum((fps >> np.uint64(63 - depth)) & np.uint64(1), dtype=np.int32)])
+            ones[depth] = np.concatenate([[0], np.cumsum((words[depth // 64] >> np.uint64(63 - depth % 64)) & np.uint64(1), dtype=np.int32)])
         c = ones[depth]
         return hi - (c[hi] - c[lo])
 
@@ -151,12 +180,12 @@ def trie_links(keys: np.ndarray, fps: np.ndarray, distance: int = DISTANCE) -> t
             single = (ahi - alo == 1) & (bhi - blo == 1) & (alo != blo)
             if single.any():
                 u, v = alo[single & ~known], blo[single & ~known]
-                near = np.bitwise_count(fps[u] ^ fps[v]) <= budget
+                near = sum(np.bitwise_count(w[u] ^ w[v]) for w in words) <= budget
                 if near.any():
                     label = _label(n, u[near], v[near], label)
                     change = np.cumsum(np.concatenate([[0], (label[1:] != label[:-1])]))
             go = ~known & ~single
-            if not go.any() or depth == 64:
+            if not go.any() or depth == bits:
                 continue
             alo, ahi, blo, bhi, diff = alo[go], ahi[go], blo[go], bhi[go], diff[go]
             am, bm = split(alo, ahi, depth), split(blo, bhi, depth)
@@ -171,8 +200,7 @@ def trie_links(keys: np.ndarray, fps: np.ndarray, distance: int = DISTANCE) -> t
             joined = tuple(np.concatenate(c) for c in zip(*nxt, strict=True))
             if len(joined[0]):
                 todo.append((*joined, depth + 1))
-    linked = np.flatnonzero(label != np.arange(n))
-    return fps[linked], fps[label[linked]]
+    return label
 
 
 def _blocks(m: int) -> list[tuple[int, int]]:
@@ -232,20 +260,66 @@ def near_sets(texts: list[bytes | None]) -> Iterator[np.ndarray]:
         yield np.unique(np.array(shingle_hashes(data or b"", NEAR_SHINGLE), np.uint64))
 
 
-def band_keys(found: np.ndarray) -> np.ndarray:
-    """A key for each band of the MinHash signature of a set that is not empty."""
-    least = [(found[i : i + 10_000, None] * _TURNS).min(axis=0) for i in range(0, len(found), 10_000)]
-    return (np.min(least, axis=0).reshape(BANDS, BAND_ROWS) * _MIX).sum(axis=1, dtype=np.uint64)
+def signature(found: np.ndarray) -> np.ndarray:
+    """The SIGNATURE bits of a set, as bytes: each is 1 if set in over half of its hashes."""
+    ones = np.zeros(SIGNATURE, np.int64)
+    for i in range(0, len(found), 255):  # as many as a byte can count
+        h = found[i : i + 255, None] * _TURNS
+        h = (h ^ (h >> np.uint64(32))) * _MIX
+        h ^= h >> np.uint64(29)
+        ones += np.unpackbits(h.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(found))
+
+
+def key_tables(n: int) -> tuple[np.ndarray, int]:
+    """The choices of bits that are keys for n signatures, a row each, and how many of
+    them, the first ones, are enough for sets of more than FEW members."""
+    width = min(max(1, (n // NEAR_BUCKET).bit_length()), 32)
+    enough, few = (math.ceil(math.log(MISSED) / math.log1p(-((1 - share) ** width))) for share in (DIFFER, DIFFER_FEW))
+    draw = np.random.default_rng([SEED, width])
+    return np.array([draw.choice(SIGNATURE, width, replace=False) for _ in range(few)]), enough
 
 
 def _near_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches, "text", 2_000_000):
-        nodes, bands = [], []
+        nodes, signs, sizes = [], [], []
         for found in near_sets(b.column("text").cast(pa.binary()).to_pylist()):
             nodes.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
-            bands.append(band_keys(found).view(np.int64) if len(found) else [])
+            signs.append(signature(found).tobytes())
+            sizes.append(len(found))
         node = pa.array(np.array(nodes, np.uint64).view(np.int64))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("digest"), node, pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "digest", "node", "bands"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("digest"), node, pa.array(signs, pa.binary()), pa.array(sizes, pa.int64())], ["doc_id", "digest", "node", "sign", "size"])
+
+
+def near_groups(nodes: DataFrame, n: int, distance: int = NEAR_DISTANCE) -> DataFrame:
+    """(node, key) of those of n nodes (node, sign, size) that are linked to another one: a
+    group's nodes share a choice of bits, and a trie of these links them."""
+    tables, enough = key_tables(n)
+    names = [f"w{i}" for i in range(NEAR_WORDS)]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = np.int64(1) << np.arange(tables.shape[1])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                signs = np.frombuffer(b"".join(b.column("sign").to_pylist()), np.uint8).reshape(b.num_rows, -1)
+                bits = np.unpackbits(signs, axis=1)
+                keys = np.stack([bits[:, t] @ places + (i << 32) for i, t in enumerate(tables)], axis=1)
+                rows, table = np.nonzero((b.column("size").to_numpy() <= FEW)[:, None] | (np.arange(len(tables)) < enough))
+                words = np.ascontiguousarray(signs[:, : 8 * NEAR_WORDS]).view(np.int64)[rows]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (keys[rows, table], b.column("node").to_numpy()[rows], *words.T))], ["key", "node", *names])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, "key"):
+            key, node = t.column("key").to_numpy(), t.column("node").to_numpy()
+            label = trie_groups(key, [t.column(w).to_numpy().view(np.uint64) for w in names], distance)
+            many = np.bincount(label, minlength=len(label))[label] > 1
+            yield pa.RecordBatch.from_arrays([pa.array(node[many]), pa.array(key[many]), pa.array(node[label[many]])], ["node", "key", "root"])
+
+    kind = ", ".join(f"{c} long" for c in ("key", "node", *names))
+    parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * enough // 300_000 + 1)
+    rows = arrow_map(nodes.select("node", "sign", "size"), deal, kind).repartition(parts, "key").sortWithinPartitions("key")
+    return arrow_map(rows, join, "node long, key long, root long").select("node", F.xxhash64("key", "root").alias("key"))
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,19 +372,19 @@ def near_components(docs: DataFrame) -> DataFrame:
     """(doc_id, digest, component), a row a document: connected by a Jaccard
     similarity of NEAR_SHINGLE-word shingles of 0.8 or more.
 
-    Texts of one set are one node.  Nodes that share a band are compared with the
-    bucket's smallest; buckets that this leaves in several components are then
-    compared among themselves, each list of nodes once."""
+    Texts of one set are one node.  Nodes of a group of ``near_groups`` are compared with
+    its smallest; groups that this leaves in several components are then compared among
+    themselves, each list of nodes once."""
     digested = docs.select("doc_id", _digest().alias("digest"), "text")
-    prints = materialize(arrow_map(digested, _near_prints, "doc_id long, digest binary, node long, bands array<long>"), "near")
-    nodes = prints.groupBy("node").agg(F.min("digest").alias("digest"), F.first("bands").alias("bands"))
-    keyed = nodes.select("node", "digest", F.explode("bands").alias("key"))
-    sizes = keyed.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members")).where("n > 1")
-    # bands that hold the same nodes are one bucket
+    prints = materialize(arrow_map(digested, _near_prints, "doc_id long, digest binary, node long, sign binary, size long"), "near")
+    nodes = prints.where("size > 0").groupBy("node").agg(F.min("digest").alias("digest"), F.first("sign").alias("sign"), F.first("size").alias("size"))
+    keyed = materialize(near_groups(nodes, prints.count()), "near-groups")
+    sizes = keyed.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members"))
+    # groups that hold the same nodes are one bucket
     sizes = materialize(sizes, "near-buckets")
     buckets = sizes.groupBy("a", "n", "members").agg(F.min("key").alias("key"))
     shared = materialize(keyed.join(buckets.select("key", "a", "n"), "key"), "near-shared")
-    involved = shared.select("node", "digest").distinct()
+    involved = nodes.select("node", "digest").join(shared.select("node").distinct(), "node")
     sets = digested.join(involved, "digest").select("node", "text").dropDuplicates(["node"])
     sets = materialize(arrow_map(sets, _sets, "node long, found array<long>"), "near-sets")
     pairs = shared.where("a <> node").select("a", F.col("node").alias("b")).distinct()

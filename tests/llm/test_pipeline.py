@@ -136,3 +136,44 @@ def test_near_duplicate_components_are_those_of_brute_force(spark):
     for r in simhash.near_components(docs).collect():
         got[r["component"]].add(r["doc_id"])
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values())) and any(len(v) > 1 for v in want.values())
+
+
+def test_near_copies_are_linked_by_their_fingerprints(spark):
+    """Signatures of similar sets differ in few bits, of others in half; groups are the
+    components of fingerprints within the distance among those that share a key."""
+    r = np.random.default_rng(4)
+    sets = []
+    for n in (9, 40, 300):
+        for _ in range(20):
+            one = r.integers(0, 1 << 63, n, np.uint64)
+            sets += [one, np.concatenate([one[: round(n * 8 / 9)], r.integers(0, 1 << 63, n - round(n * 8 / 9), np.uint64)])]
+    signs = np.array([simhash.signature(np.unique(x)) for x in sets])
+    bits = np.unpackbits(signs, axis=1)
+    assert (bits[::2] != bits[1::2]).mean() < simhash.DIFFER and abs((bits[:-2:2] != bits[2::2]).mean() - 0.5) < 0.02
+
+    tables, enough = simhash.key_tables(len(sets))
+    far = (bits[:, None, : 64 * simhash.NEAR_WORDS] != bits[None, :, : 64 * simhash.NEAR_WORDS]).sum(axis=2)
+    rows = [(i, signs[i].tobytes(), len(x)) for i, x in enumerate(sets)]
+    nodes = spark.createDataFrame(rows, "node long, sign binary, size long")
+    for distance in (simhash.NEAR_DISTANCE, 20, 0):
+        want = Counter()
+        for k, t in enumerate(tables):
+            meet, done = defaultdict(set), set()
+            for i, x in enumerate(sets):
+                if k < enough or len(x) <= simhash.FEW:
+                    meet[bits[i, t].tobytes()].add(i)
+            for i in sorted(i for b in meet.values() if len(b) > 1 for i in b):
+                group, grown = set(), {i}
+                while grown > group:
+                    group = grown
+                    grown = group | {j for a in group for j in meet[bits[a, t].tobytes()] if far[a, j] <= distance}
+                if len(group) > 1 and i not in done:
+                    done |= group
+                    want[frozenset(group)] += 1
+        got = defaultdict(set)
+        for row in simhash.near_groups(nodes, len(sets), distance).collect():
+            got[row["key"]].add(row["node"])
+        assert Counter(map(frozenset, got.values())) == want
+    linked = {frozenset(g) for g in got.values()}
+    pairs = simhash.near_groups(nodes, len(sets)).select("node").distinct().count()
+    assert pairs == len(sets) and not linked
