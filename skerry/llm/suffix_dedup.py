@@ -287,6 +287,7 @@ def blind_trie_order(data: bytes, starts: list[int], depth: int, limit: int) ->
     reaches, and is put in where they part.  Equal suffixes keep their given order."""
     root: _Node | None = None
     equal: dict[int, list[int]] = {}
+    numbers = [int.from_bytes(data[s + depth:s + limit]) for s in starts]  # bytes part where numbers first differ
     for i, s in enumerate(starts):
         if root is None:
             root = _Node(limit, i)
@@ -296,9 +297,7 @@ def blind_trie_order(data: bytes, starts: list[int], depth: int, limit: int) ->
         while node.children is not None:
             node = node.children.get(data[s + node.skip]) or next(iter(node.children.values()))
         o = starts[node.suffix]
-        common = depth
-        while common < limit and data[s + common] == data[o + common]:
-            common += 1
+        common = limit - ((numbers[i] ^ numbers[node.suffix]).bit_length() + 7) // 8
         if common == limit:
             equal[node.suffix].append(i)
             continue

@@ -638,3 +638,16 @@ def test_queries_return_what_their_contracts_name(spark, name):
     want = [tuple(c.split(" ")) for c in CONTRACTS[name].split(", ")]
     assert rows.dtypes[: len(want)] == want
     assert rows.count() >= 1
+
+
+def test_blind_trie_compares_stretches_and_not_bytes():
+    reads = []
+
+    class Counted(bytes):
+        def __getitem__(self, at):
+            reads.append(at)
+            return super().__getitem__(at)
+
+    data = Counted(b"x" * 90 + b"a" * 10 + b"x" * 90 + b"\0" * 10 + b"x" * 90 + b"a" * 10)
+    assert suffix_dedup.blind_trie_order(data, [0, 100, 200], 32, 100) == ([1, 0, 2], [32, 90, 100])
+    assert len(reads) < 20
