@@ -48,6 +48,10 @@ NEAR_BUCKET = 64
 #: A pair at 0.8 differs in this share of its bits, and at most in the second one where a
 #: set has FEW members or less; it shares no key with the probability MISSED.
 DIFFER, DIFFER_FEW, FEW, MISSED = 0.16, 0.19, 10, 0.0005
+#: Linked sets are compared in blocks of about this many hashes; a task holds two.
+BLOCK = 100_000
+#: Pairs that one task makes a spanning forest of.
+FOREST = 1_000_000
 _RANDOM = np.random.default_rng(SEED)
 _TURNS = _RANDOM.integers(0, 1 << 63, SIGNATURE // 64, np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -292,8 +296,9 @@ def _near_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def near_groups(nodes: DataFrame, n: int, distance: int = NEAR_DISTANCE) -> DataFrame:
-    """(node, key) of those of n nodes (node, sign, size) that are linked to another one: a
-    group's nodes share a choice of bits, and a trie of these links them."""
+    """(node, key, least) of those of n nodes (node, sign, size) that are linked to another
+    one: a group's nodes share a choice of bits, and a trie of these links them.  least: the
+    group's smallest node."""
     tables, enough = key_tables(n)
     names = [f"w{i}" for i in range(NEAR_WORDS)]
 
@@ -314,18 +319,54 @@ def near_groups(nodes: DataFrame, n: int, distance: int = NEAR_DISTANCE) -> Data
             key, node = t.column("key").to_numpy(), t.column("node").to_numpy()
             label = trie_groups(key, [t.column(w).to_numpy().view(np.uint64) for w in names], distance)
             many = np.bincount(label, minlength=len(label))[label] > 1
-            yield pa.RecordBatch.from_arrays([pa.array(node[many]), pa.array(key[many]), pa.array(node[label[many]])], ["node", "key", "root"])
+            least = node.copy()
+            np.minimum.at(least, label, node)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (node[many], key[many], node[label[many]], least[label[many]]))], ["node", "key", "root", "least"])
 
     kind = ", ".join(f"{c} long" for c in ("key", "node", *names))
     parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * enough // 300_000 + 1)
     rows = arrow_map(nodes.select("node", "sign", "size"), deal, kind).repartition(parts, "key").sortWithinPartitions("key")
-    return arrow_map(rows, join, "node long, key long, root long").select("node", F.xxhash64("key", "root").alias("key"))
+    return arrow_map(rows, join, "node long, key long, root long, least long").select("node", F.xxhash64("key", "root").alias("key"), "least")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches, "text", 2_000_000):
         found = [x.view(np.int64) for x in near_sets(b.column("text").cast(pa.binary()).to_pylist())]
-        yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(found, pa.list_(pa.int64()))], ["node", "found"])
+        sizes = pa.array([len(x) for x in found], pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column("node"), sizes, pa.array(found, pa.list_(pa.int64()))], ["node", "size", "found"])
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of a partition's pairs (a, b)."""
+    whole = [b for b in batches if b.num_rows]
+    if whole:
+        t = pa.Table.from_batches(whole)
+        nodes, at = np.unique(np.concatenate([t.column("a").to_numpy(), t.column("b").to_numpy()]), return_inverse=True)
+        label = _label(len(nodes), at[: t.num_rows], at[t.num_rows :], np.arange(len(nodes)))
+        far = np.flatnonzero(label != np.arange(len(nodes)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[label[far]]), pa.array(nodes[far])], ["a", "b"])
+
+
+def block_pairs(placed: DataFrame, block: int) -> DataFrame:
+    """(node, root, key, own): keys of pairs of blocks in which all nodes of a group meet that
+    have different roots.  placed: (grp, node, root, size).
+
+    A group's commonest root has blocks of its own, which meet the others and not one
+    another; own is false in the second block of two, whose nodes meet elsewhere."""
+    roots = placed.groupBy("grp", "root").agg(F.count("*").alias("n"), F.sum("size").alias("held"))
+    most = F.max(F.struct("n", "root", "held")).alias("most")
+    groups = roots.groupBy("grp").agg(F.sum("n").alias("n"), F.sum("held").alias("held"), most).where("n > 2 AND most.n < n")
+    whole = F.col("held") <= 2 * block
+    others = F.when(whole, 1).otherwise(F.ceil((F.col("held") - F.col("most.held")) / block)).cast("int")
+    common = F.when(whole, 0).otherwise(F.ceil(F.col("most.held") / block)).cast("int")
+    groups = groups.select("grp", F.when(~whole, F.col("most.root")).alias("common_root"), others.alias("others"), common.alias("common"))
+    is_common = F.coalesce(F.col("root") == F.col("common_root"), F.lit(False))
+    rows = placed.join(groups, "grp").withColumn("is_common", is_common)
+    spread = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    own = F.when(F.col("is_common"), F.col("others") + spread("common")).otherwise(spread("others"))
+    meets = F.when(F.col("is_common"), F.col("others")).otherwise(F.col("others") + F.col("common"))
+    rows = rows.withColumn("at", own).withColumn("other", F.explode(F.sequence(F.lit(0), meets - 1)))
+    return rows.select("node", "root", F.xxhash64("grp", F.least("at", "other"), F.greatest("at", "other")).alias("key"), (F.col("at") <= F.col("other")).alias("own"))
 
 
 def similar(both: int, a: int, b: int) -> bool:
@@ -333,15 +374,16 @@ def similar(both: int, a: int, b: int) -> bool:
     return 5 * both >= 4 * (a + b - both)
 
 
-def bucket_links(sets: list[np.ndarray], label: np.ndarray) -> list[tuple[int, int]]:
+def bucket_links(sets: list[np.ndarray], label: np.ndarray, own: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links between similar sets whose labels differ, enough of them to connect
-    all that similar pairs connect; pairs that are connected are not compared."""
+    all that similar pairs connect; pairs that are connected are not compared, nor are
+    those of two sets that are not ``own``, if given."""
     n, label, out = len(sets), label.copy(), []
     sizes = np.array([len(x) for x in sets])
     values = np.concatenate(sets)
     order = np.argsort(values, kind="stable")
     values, owner = values[order], np.repeat(np.arange(n), sizes)[order]
-    for i in range(n):
+    for i in range(n) if own is None else np.flatnonzero(own).tolist():
         if (label == label[i]).all():
             continue
         lo, hi = np.searchsorted(values, sets[i]), np.searchsorted(values, sets[i], "right")
@@ -357,12 +399,12 @@ def bucket_links(sets: list[np.ndarray], label: np.ndarray) -> list[tuple[int, i
 
 def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in whole_groups(batches, "key"):
-        key, node, root = (t.column(c).to_numpy() for c in ("key", "node", "root"))
+        key, node, root, own = (t.column(c).to_numpy() for c in ("key", "node", "root", "own"))
         cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
         a, b = [], []
         for lo, hi in zip(cut, cut[1:], strict=False):
             sets = [np.array(x, np.int64) for x in t.column("found").slice(lo, hi - lo).to_pylist()]
-            for i, j in bucket_links(sets, np.unique(root[lo:hi], return_inverse=True)[1]):
+            for i, j in bucket_links(sets, np.unique(root[lo:hi], return_inverse=True)[1], own[lo:hi]):
                 a.append(node[lo + i])
                 b.append(node[lo + j])
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -373,31 +415,28 @@ def near_components(docs: DataFrame) -> DataFrame:
     similarity of NEAR_SHINGLE-word shingles of 0.8 or more.
 
     Texts of one set are one node.  Nodes of a group of ``near_groups`` are compared with
-    its smallest; groups that this leaves in several components are then compared among
-    themselves, each list of nodes once."""
+    its smallest.  What the groups connect is then one group, in which each node is once,
+    however many keys it had; where the comparisons left it in several components, nodes of
+    different ones are compared, in blocks."""
     digested = docs.select("doc_id", _digest().alias("digest"), "text")
     prints = materialize(arrow_map(digested, _near_prints, "doc_id long, digest binary, node long, sign binary, size long"), "near")
     nodes = prints.where("size > 0").groupBy("node").agg(F.min("digest").alias("digest"), F.first("sign").alias("sign"), F.first("size").alias("size"))
-    keyed = materialize(near_groups(nodes, prints.count()), "near-groups")
-    sizes = keyed.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members"))
-    # groups that hold the same nodes are one bucket
-    sizes = materialize(sizes, "near-buckets")
-    buckets = sizes.groupBy("a", "n", "members").agg(F.min("key").alias("key"))
-    shared = materialize(keyed.join(buckets.select("key", "a", "n"), "key"), "near-shared")
-    involved = nodes.select("node", "digest").join(shared.select("node").distinct(), "node")
+    pairs = near_groups(nodes, prints.count()).where("least <> node").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = materialize(pairs, "near-pairs")
+    forest = arrow_map(pairs.repartition(pairs.count() // FOREST + 1), _forest, "a long, b long")
+    groups = materialize(connected_components(forest).select("node", F.col("root").alias("grp")), "near-groups")
+    involved = nodes.select("node", "digest").join(groups.select("node"), "node")
     sets = digested.join(involved, "digest").select("node", "text").dropDuplicates(["node"])
-    sets = materialize(arrow_map(sets, _sets, "node long, found array<long>"), "near-sets")
-    pairs = shared.where("a <> node").select("a", F.col("node").alias("b")).distinct()
-    pairs = pairs.join(sets.select(F.col("node").alias("a"), F.col("found").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("found").alias("y")), "b")
+    sets = materialize(arrow_map(sets, _sets, "node long, size long, found array<long>"), "near-sets")
+    compared = pairs.join(sets.select(F.col("node").alias("a"), F.col("found").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("found").alias("y")), "b")
     both = F.size(F.array_intersect("x", "y"))
-    links = materialize(pairs.where(similar(both, F.size("x"), F.size("y"))).select("a", "b"), "near-links")
+    links = materialize(compared.where(similar(both, F.size("x"), F.size("y"))).select("a", "b"), "near-links")
     roots = connected_components(links)
-    placed = shared.where("n > 2").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    still = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
-    still = materialize(placed.join(still, "key"), "near-open")
+    placed = groups.join(roots, "node", "left").join(sets.select("node", "size"), "node").select("grp", "node", F.coalesce("root", "node").alias("root"), "size")
+    still = materialize(block_pairs(materialize(placed, "near-placed"), BLOCK), "near-open")
     if n := still.count():
-        parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // 10_000 + 1)
-        more = arrow_map(still.join(sets, "node").repartition(parts, "key").sortWithinPartitions("key"), _bucket_links, "a long, b long")
+        parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // 1_000 + 1)
+        more = arrow_map(still.join(sets.select("node", "found"), "node").repartition(parts, "key").sortWithinPartitions("key"), _bucket_links, "a long, b long")
         roots = connected_components(links.unionByName(more))
     return prints.join(roots, "node", "left").select("doc_id", "digest", F.coalesce("root", "node").alias("component"))
 

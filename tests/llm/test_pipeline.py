@@ -177,3 +177,67 @@ def test_near_copies_are_linked_by_their_fingerprints(spark):
     linked = {frozenset(g) for g in got.values()}
     pairs = simhash.near_groups(nodes, len(sets)).select("node").distinct().count()
     assert pairs == len(sets) and not linked
+
+
+def edited_copies(n, seed=3):
+    """Texts of 120 words, each a copy of one with up to 7 words replaced: some pairs are similar, all are linked."""
+    r = np.random.default_rng(seed)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for k in range(n):
+        words = list(base)
+        for at in r.choice(120, int(r.integers(0, 8)), replace=False):
+            words[at] = f"x{k}v{at}"
+        texts.append(" ".join(words))
+    return texts
+
+
+def components_of_texts(texts):
+    """Lists of indices, by comparing all pairs."""
+    sets = [set(x.tolist()) for x in simhash.near_sets([t.encode() for t in texts])]
+    label = list(range(len(sets)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if label[i] != label[j] and simhash.similar(len(x & sets[j]), len(x), len(sets[j])):
+                label = [label[j] if v == label[i] else v for v in label]
+    out = defaultdict(list)
+    for i, v in enumerate(label):
+        out[v].append(i)
+    return sorted(out.values())
+
+
+@pytest.mark.parametrize("block", [100_000, 1_000])
+def test_a_large_group_of_near_copies_is_not_repeated_for_its_keys(spark, monkeypatch, block):
+    """Each node of a group is compared in few blocks, not once for each key it shares;
+    components are those of brute force however small the blocks."""
+    rows, written = {}, simhash.materialize
+
+    def counted(df, label):
+        out = written(df, label)
+        rows[label] = out.count()
+        return out
+
+    monkeypatch.setattr(simhash, "materialize", counted)
+    monkeypatch.setattr(simhash, "BLOCK", block, raising=False)
+    texts = edited_copies(150)
+    got = defaultdict(list)
+    for r in simhash.near_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        got[r["component"]].append(r["doc_id"])
+    assert sorted(map(sorted, got.values())) == components_of_texts(texts) and len(got) > 1
+    blocks = 1 if 150 * 116 <= 2 * block else 2 + 150 * 116 // block
+    assert rows["near-open"] <= blocks * len(texts)
+    assert all(n <= blocks * len(texts) for label, n in rows.items() if label not in ("near-pairs", "near-links"))
+
+
+def test_all_nodes_of_different_roots_meet_in_blocks(spark):
+    """Group 1 is mostly of one root, 2 has as many roots as nodes, 3 is one block, 4 is done."""
+    placed = [(1, i, 0 if i < 60 else i, 10) for i in range(80)] + [(2, i, i, 5) for i in range(100, 140)] + [(3, i, i, 1) for i in range(200, 205)] + [(4, i, 300, 9) for i in range(300, 340)]
+    found = simhash.block_pairs(spark.createDataFrame(placed, "grp long, node long, root long, size long"), 50).collect()
+    meet = defaultdict(list)
+    for r in found:
+        meet[r["key"]].append(r)
+    got = {(min(x["node"], y["node"]), max(x["node"], y["node"])) for rows in meet.values() for x in rows if x["own"] for y in rows if x["root"] != y["root"]}
+    assert got == {(a, b) for g, a, ra, _ in placed for h, b, rb, _ in placed if g == h and ra != rb and a < b}
+    assert max(map(len, meet.values())) < 60 and not any(r["node"] >= 300 for r in found)
+    common = Counter(r["node"] for r in found if r["node"] < 60)
+    assert set(common.values()) == {4}  # the 20 others are 200 hashes, so 4 blocks
